@@ -13,32 +13,40 @@ from pyspark.sql import functions as F
 NODE = "struct<level:int,cell:bigint>"
 
 
-def _node(level, cell) -> Column:
-    return F.struct(F.lit(level).cast("int").alias("level"), cell.cast("bigint").alias("cell"))
+def _node(level: Column, cell: Column) -> Column:
+    return F.struct(level.cast("int").alias("level"), cell.cast("bigint").alias("cell"))
+
+
+def shr(x: Column, j: Column) -> Column:
+    return F.call_function("shiftright", x, j)
+
+
+def _levels(bits: int) -> Column:
+    return F.sequence(F.lit(0), F.lit(bits))
 
 
 def nodes_of(x: Column, bits: int) -> Column:
     """The blocks of levels 0..bits that hold tick x."""
-    return F.array(*[_node(j, F.shiftright(x.cast("bigint"), j)) for j in range(bits + 1)])
+    x = x.cast("bigint")
+    return F.transform(_levels(bits), lambda j: _node(j, shr(x, j)))
 
 
 def cover(lo: Column, hi: Column, bits: int) -> Column:
-    """Blocks of levels 0..bits whose disjoint union is [lo, hi] (both ends included)."""
-    lo, end, parts = lo.cast("bigint"), hi.cast("bigint") + 1, []
-    for j in range(bits + 1):
-        a = -F.shiftright(-lo, j)
-        b = F.shiftright(end, j)
+    """Blocks of levels 0..bits whose disjoint union is [lo, hi] (both ends included).
+
+    On each level an odd first block and an odd end are split off; the top level takes all
+    that is left.
+    """
+    lo, end = lo.cast("bigint"), hi.cast("bigint") + 1
+
+    def level(j):
+        a, b = -shr(-lo, j), shr(end, j)
         some = a < b
-        if j == bits:
-            whole = F.when(some, F.transform(F.sequence(a, F.greatest(b - 1, a)), lambda n, j=j: _node(j, n)))
-            parts.append(F.coalesce(whole, F.array().cast(f"array<{NODE}>")))
-            continue
-        parts.append(
-            F.array_compact(
-                F.array(
-                    F.when(some & (F.pmod(a, F.lit(2)) == 1), _node(j, a)),
-                    F.when(some & (F.pmod(b, F.lit(2)) == 1), _node(j, b - 1)),
-                )
-            )
-        )
-    return F.concat(*parts)
+        edge = F.array_compact(F.array(
+            F.when(some & (F.pmod(a, F.lit(2)) == 1), _node(j, a)),
+            F.when(some & (F.pmod(b, F.lit(2)) == 1), _node(j, b - 1)),
+        ))
+        whole = F.transform(F.sequence(a, b - 1), lambda n: _node(j, n))
+        return F.when((j == bits) & some, whole).when(j == bits, F.array().cast(f"array<{NODE}>")).otherwise(edge)
+
+    return F.flatten(F.transform(_levels(bits), level))

@@ -115,13 +115,13 @@ def interval_join(points: DataFrame, spans: DataFrame, keys, point_id: str, x: s
     keys = list(keys)
     best = (
         spans.where(F.col(start) <= F.col(end))
-        .select(*keys, F.struct((-F.col(start)).alias("neg_start"), F.col(span_id).alias("id")).alias("s"),
+        .select(*keys, F.struct((-F.col(start)).alias("neg_start"), F.col(span_id).alias("id")).alias("__s"),
                 F.explode(cover(F.col(start), F.col(end), bits)).alias("node"))
-        .groupBy(*keys, "node").agg(F.min("s").alias("s"))
+        .groupBy(*keys, "node").agg(F.min("__s").alias("__s"))
     )
     ask = points.select(*keys, point_id, x, F.explode(nodes_of(F.col(x), bits)).alias("node"))
-    hit = ask.join(best, [*keys, "node"]).groupBy(*keys, point_id).agg(F.min("s").alias("s"), F.first(x).alias("__x"))
-    return hit.select(*keys, point_id, F.col("s.id").alias(span_id), (F.col("__x") + F.col("s.neg_start")).alias("gap"))
+    hit = ask.join(best, [*keys, "node"]).groupBy(*keys, point_id).agg(F.min("__s").alias("__s"), F.first(x).alias("__x"))
+    return hit.select(*keys, point_id, F.col("__s.id").alias(span_id), (F.col("__x") + F.col("__s.neg_start")).alias("gap"))
 
 
 # JN-06 -----------------------------------------------------------------
@@ -212,13 +212,13 @@ def nearest_span(left, right, keys, left_id, right_id, x0, x1, y, right_x, right
     """Anchors nearest to both ends of a box, put in time order."""
     keys = list(keys)
     a = Axis(y, right_y, 18, bits)
-    s = nearest_l1(left, right, keys, left_id, right_id, x0, right_x, 100, [a], width, out="s")
-    e = nearest_l1(left, right, keys, left_id, right_id, x1, right_x, 100, [a], width, out="e")
+    s = nearest_l1(left, right, keys, left_id, right_id, x0, right_x, 100, [a], width, out="__s")
+    e = nearest_l1(left, right, keys, left_id, right_id, x1, right_x, 100, [a], width, out="__e")
     t = right.select(*keys, F.col(right_id).alias("__id"), F.col(time).alias("__t"))
     out = s.join(e, [*keys, left_id])
     for side in ("s", "e"):
         tt = t.withColumnRenamed("__id", f"__{side}id").withColumnRenamed("__t", f"__{side}t")
-        out = out.withColumn(f"__{side}id", F.col(f"{side}.id")).join(tt, [*keys, f"__{side}id"], "left")
+        out = out.withColumn(f"__{side}id", F.col(f"__{side}.id")).join(tt, [*keys, f"__{side}id"], "left")
     swap = F.col("__et") < F.col("__st")
     first = F.when(swap, F.col("__eid")).otherwise(F.col("__sid"))
     last = F.when(swap, F.col("__sid")).otherwise(F.col("__eid"))

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .dyadic import shr
 from .scan import Fold, cell_of, scan, stack
 
 
@@ -67,7 +68,7 @@ class Axis:
 
     left: str
     right: str
-    weight: int
+    weight: int | str                  # a number, or a column that both sides hold and that is constant per key
     bits: int
     low_extra: Column | None = None    # added cost when the right row is at or below the left row
     high_extra: Column | None = None   # added cost when it is above
@@ -76,25 +77,17 @@ class Axis:
 
 def _blocks(m: Column, bits: int) -> Column:
     """Blocks that together hold every tick below m."""
-    parts = [
-        F.when(F.shiftright(m, b).bitwiseAND(F.lit(1)) == 1,
-               F.struct(F.lit(b).alias("level"), (F.shiftright(m, b) - 1).alias("cell")))
-        for b in range(bits + 1)
-    ]
-    return F.array_compact(F.array(*parts))
+    odd = F.filter(F.sequence(F.lit(0), F.lit(bits)), lambda b: shr(m, b).bitwiseAND(F.lit(1)) == 1)
+    return F.transform(odd, lambda b: F.struct(b.alias("level"), (shr(m, b) - 1).alias("cell")))
 
 
 def _homes(t: Column, bits: int) -> Column:
     """The even blocks holding tick t: only these are ever asked for."""
-    parts = [
-        F.when(F.shiftright(t, b).bitwiseAND(F.lit(1)) == 0,
-               F.struct(F.lit(b).alias("level"), F.shiftright(t, b).alias("cell")))
-        for b in range(bits + 1)
-    ]
-    return F.array_compact(F.array(*parts))
+    even = F.filter(F.sequence(F.lit(0), F.lit(bits)), lambda b: shr(t, b).bitwiseAND(F.lit(1)) == 0)
+    return F.transform(even, lambda b: F.struct(b.alias("level"), shr(t, b).alias("cell")))
 
 
-def nearest_l1(left: DataFrame, right: DataFrame, keys, left_id: str, right_id: str, lx: str, rx: str, wx: int,
+def nearest_l1(left: DataFrame, right: DataFrame, keys, left_id: str, right_id: str, lx: str, rx: str, wx: int | str,
                axes: Sequence[Axis] = (), width: int | None = None, out="near") -> DataFrame:
     """Nearest right row per left row under wx*|dx| + sum of weight*|d axis| (+ extras).
 
@@ -102,15 +95,20 @@ def nearest_l1(left: DataFrame, right: DataFrame, keys, left_id: str, right_id:
     Returns keys, left_id and struct out(cost, id) for left rows that have a right row.
     """
     keys = list(keys)
-    l = left.select(*keys, F.col(left_id).alias("__id"), F.col(lx).cast("bigint").alias("__x"),
+    def weight(w):
+        return (F.col(w) if isinstance(w, str) else F.lit(w)).cast("bigint")
+
+    weights = [weight(wx).alias("__wx"), *[weight(a.weight).alias(f"__wy{i}") for i, a in enumerate(axes)]]
+    wnames = ["__wx", *[f"__wy{i}" for i in range(len(axes))]]
+    l = left.select(*keys, *weights, F.col(left_id).alias("__id"), F.col(lx).cast("bigint").alias("__x"),
                     *[F.col(a.left).cast("bigint").alias(f"__y{i}") for i, a in enumerate(axes)],
                     *[(e if e is not None else F.lit(0)).cast("bigint").alias(f"__e{i}_{s}")
                       for i, a in enumerate(axes) for s, e in ((0, a.low_extra), (1, a.high_extra))],
                     *[(a.equal_is_low if a.equal_is_low is not None else F.lit(True)).alias(f"__q{i}")
                       for i, a in enumerate(axes)])
-    r = right.select(*keys, F.col(right_id).alias("__id"), F.col(rx).cast("bigint").alias("__x"),
+    r = right.select(*keys, *weights, F.col(right_id).alias("__id"), F.col(rx).cast("bigint").alias("__x"),
                      *[F.col(a.right).cast("bigint").alias(f"__y{i}") for i, a in enumerate(axes)])
-    r = r.groupBy(*keys, "__x", *[f"__y{i}" for i in range(len(axes))]).agg(F.min("__id").alias("__id"))
+    r = r.groupBy(*keys, *wnames, "__x", *[f"__y{i}" for i in range(len(axes))]).agg(F.min("__id").alias("__id"))
     lw, rw = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
     extra = F.lit(0).cast("bigint")
     blocks = []
@@ -132,28 +130,28 @@ def nearest_l1(left: DataFrame, right: DataFrame, keys, left_id: str, right_id:
         l = l.withColumn(f"__b{i}", F.explode(ask))
         r = r.withColumn(f"__b{i}", F.explode(live))
         sign = F.when(F.col(f"__b{i}.side") == 0, 1).otherwise(-1)
-        lw = lw + sign * F.lit(a.weight) * y
-        rw = rw + sign * F.lit(a.weight) * F.col(f"__y{i}")
+        lw = lw + sign * F.col(f"__wy{i}") * y
+        rw = rw + sign * F.col(f"__wy{i}") * F.col(f"__y{i}")
         extra = extra + F.when(F.col(f"__b{i}.side") == 0, F.col(f"__e{i}_0")).otherwise(F.col(f"__e{i}_1"))
         blocks.append(f"__b{i}")
-    l = l.select(*keys, *blocks, "__id", "__x", lw.alias("__w"), extra.alias("__extra"))
-    r = r.select(*keys, *blocks, "__id", "__x", rw.alias("__w"))
+    wide = (F.col("__wx") * F.col("__x")).alias("__xx")
+    l = l.select(*keys, *blocks, "__id", "__x", wide, lw.alias("__w"), extra.alias("__extra"))
+    r = r.select(*keys, *blocks, "__id", "__x", wide, rw.alias("__w"))
     group = [*keys, *blocks]
     both, order = stack(l, r, group, [F.col("__x")], [F.col("__x")], right_first=True)
     is_r = F.col("__r").isNotNull()
-    wx_ = F.lit(wx)
     # left of the query: cost = (wx*lx + lw) - (wx*rx + rw); right of it: (lw - wx*lx) - (rw - wx*rx)
-    back = F.when(is_r, F.struct((wx_ * F.col("__r.__x") + F.col("__r.__w")).alias("v"), (-F.col("__r.__id")).alias("n")))
-    ahead = F.when(is_r, F.struct((wx_ * F.col("__r.__x") - F.col("__r.__w")).alias("v"), F.col("__r.__id").alias("n")))
+    back = F.when(is_r, F.struct((F.col("__r.__xx") + F.col("__r.__w")).alias("v"), (-F.col("__r.__id")).alias("n")))
+    ahead = F.when(is_r, F.struct((F.col("__r.__xx") - F.col("__r.__w")).alias("v"), F.col("__r.__id").alias("n")))
     cells = [cell_of("__o0", width)] if width else []
     done = scan(both, group, [*order, "__side"],
                 [Fold("__back", "max", back), Fold("__ahead", "rmin", ahead, inclusive=False)], cells)
     done = done.where(F.col("__l").isNotNull())
     base = F.col("__l.__extra")
     b = F.when(F.col("__back").isNotNull(), F.struct(
-        (wx_ * F.col("__l.__x") + F.col("__l.__w") - F.col("__back.v") + base).alias("cost"), (-F.col("__back.n")).alias("id")))
+        (F.col("__l.__xx") + F.col("__l.__w") - F.col("__back.v") + base).alias("cost"), (-F.col("__back.n")).alias("id")))
     a = F.when(F.col("__ahead").isNotNull(), F.struct(
-        (F.col("__ahead.v") - wx_ * F.col("__l.__x") + F.col("__l.__w") + base).alias("cost"), F.col("__ahead.n").alias("id")))
+        (F.col("__ahead.v") - F.col("__l.__xx") + F.col("__l.__w") + base).alias("cost"), F.col("__ahead.n").alias("id")))
     return (
         done.select(*keys, F.col("__l.__id").alias(left_id), F.least(b, a).alias("__best"))
         .groupBy(*keys, left_id).agg(F.min("__best").alias(out)).where(F.col(out).isNotNull())

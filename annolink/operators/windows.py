@@ -224,7 +224,7 @@ def argmax_near(profile: DataFrame, predicted: DataFrame, keys, band: Column, ed
     ).drop("__pp", "__np")
     spots = p.select(*keys, "idx", "px", "edge", F.explode(F.sequence("left", "right")).alias("x"))
     cand = spots.join(profile, [*keys, "x"])
-    score = 2 * F.col("run") + F.col("ink") - 0.4 * F.abs(F.col("x") - F.col("px"))
+    score = F.round(2 * F.col("run") + F.col("ink") - 0.4 * F.abs(F.col("x") - F.col("px")), 6)
     top = cand.groupBy(*keys, "idx").agg(
         F.max(F.struct(score.alias("score"), "x", "run", "ink")).alias("top"),
         F.first("edge").alias("edge"), F.first("px").alias("predicted_x"),

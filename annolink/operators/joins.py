@@ -254,38 +254,44 @@ def asof_forward(left, right, keys, left_time, right_time, right_cols: dict[str,
 
 
 # JN-12 -----------------------------------------------------------------
-def prefer_join(left, right, hard, prefs: Sequence[str], x: str, right_id: str, width=None, payload=()) -> DataFrame:
+def prefer_join(left, right, hard, prefs: Sequence[str], x: str, left_id: Sequence[str], right_id: str, width=None,
+                rank: str | None = None, ranks: int = 0, rank_after: int = 0) -> DataFrame:
     """Nearest right row in time among the rows that satisfy the most important preferences.
 
     hard: columns that must be equal. prefs: columns whose equality is wished for, most
-    important first; a NULL wish is neutral. Ordering by the negated wishes and then by
-    time equals one nearest search per set of kept wishes, taken in order; each search is a
-    scan, so a large hard key never meets itself. Adds struct near(gap, id, payload).
-    """
-    hard, prefs = list(hard), list(prefs)
-    out = left.withColumn("near", F.lit(None).cast(_near_type(right, right_id, payload)))
-    for mask in product((1, 0), repeat=len(prefs)):
-        keys = hard + [p for p, on in zip(prefs, mask) if on]
-        wished = [p for p, on in zip(prefs, mask) if on]
-        step = out
-        for p in wished:  # a NULL wish cannot join; it is handled by the mask without it
-            step = step.where(F.col(p).isNotNull())
-        skipped = None
-        if wished:
-            any_null = F.lit(False)
-            for p in wished:
-                any_null = any_null | F.col(p).isNull()
-            skipped = out.where(any_null)
-        found = nearest_1d(step.withColumnRenamed("near", "__old"), right, keys, x, right_id, width, payload, out="__new")
-        found = found.withColumn("near", F.coalesce("__old", "__new")).drop("__old", "__new")
-        out = found if skipped is None else found.unionByName(skipped)
-    return out
+    important first; a NULL wish is neutral. rank: a right column 0..ranks-1 of which less is
+    better, weighed after the first `rank_after` wishes. left_id must be unique.
 
-
-def _near_type(right, right_id, payload):
-    f = {n: t.dataType.simpleString() for n, t in ((fl.name, fl) for fl in right.schema.fields)}
-    inner = ",".join([f"gap:bigint,id:{f[right_id]}", *[f"{c}:{f[c]}" for c in payload]])
-    return f"struct<{inner}>"
+    Ordering by the negated wishes and then by time equals a nearest search for every set of
+    kept wishes. The set is part of the key, so all of them run as one scan, and a large
+    hard key never meets itself. Returns left with struct near(gap, id), NULL if none.
+    """
+    hard, prefs, left_id = list(hard), list(prefs), list(left_id)
+    axes = [[("p", p, 1), ("p", p, 0)] for p in prefs]
+    if rank is not None:
+        axes.insert(rank_after, [("r", rank, i) for i in range(ranks)])
+    options = []
+    for i, choice in enumerate(product(*axes)):
+        mask = sum(1 << prefs.index(n) for kind, n, on in choice if kind == "p" and on)
+        level = next((v for kind, _, v in choice if kind == "r"), 0)
+        options.append(F.struct(F.lit(i).alias("opt"), F.lit(mask).alias("mask"), F.lit(level).alias("level")))
+    masks = F.array(*[F.lit(m) for m in range(1 << len(prefs))])
+
+    def keyed(df):
+        bit = lambda i: F.col("mask").bitwiseAND(F.lit(1 << i)) > 0
+        for i, p in enumerate(prefs):
+            df = df.where(~bit(i) | F.col(p).isNotNull())
+        return df.select(*hard, "mask", "level", *[F.when(bit(i), F.col(p).cast("string")).otherwise("").alias(f"__p{i}") for i, p in enumerate(prefs)],
+                         F.col(x), *[c for c in df.columns if c in ("__rid", "opt") or c.startswith("__id")])
+
+    ids = {f"__id{i}": F.col(c) for i, c in enumerate(left_id)}
+    l = keyed(left.withColumns(ids).withColumn("o", F.explode(F.array(*options))).select("*", "o.*"))
+    r = right.withColumns({"__rid": F.col(right_id), "level": F.col(rank) if rank else F.lit(0)}).withColumn("mask", F.explode(masks))
+    keys = [*hard, "mask", "level", *[f"__p{i}" for i in range(len(prefs))]]
+    near = nearest_1d(l, keyed(r), keys, x, "__rid", width).where("near is not null")
+    best = near.groupBy(*ids).agg(F.min(F.struct("opt", "near")).alias("__b")).select(
+        *[F.col(f"__id{i}").alias(c) for i, c in enumerate(left_id)], F.col("__b.near").alias("near"))
+    return left.join(best, left_id, "left")
 
 
 # JN-13 -----------------------------------------------------------------

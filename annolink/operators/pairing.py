@@ -200,15 +200,65 @@ def match_blocks(a: DataFrame, b: DataFrame, group, pos: str = "pos", token: str
 
 
 # PR-06 -----------------------------------------------------------------
-def align_sequences(a: DataFrame, b: DataFrame, group, pos: str = "pos", token: str = "token") -> DataFrame:
+def align_sequences(a: DataFrame, b: DataFrame, group, pos: str = "pos", token: str = "token", small: int = 20_000) -> DataFrame:
     """Map every position of b to a position of a: longest run first, then left and right of it,
     then again inside each gap of b over the whole of a until nothing is added.
 
-    Positions count from 0. One round settles the longest run of every open range of every
-    group at once (ties: earliest in a, then in b). Returns group, pos, mapped (NULL if none).
+    Positions count from 0; ties go to the earliest in a, then in b. Groups of up to `small`
+    common runs are settled inside one task from those runs alone. Larger groups run as
+    rounds that settle the longest run of every open range at once. Returns group, pos,
+    mapped (NULL if none).
     """
     group = list(group)
-    base = settle(match_blocks(a, b, group, pos, token))
+    base = match_blocks(a, b, group, pos, token)
+    size = base.groupBy(*group).agg(F.count(F.lit(1)).alias("__runs"))
+    base = settle(base.join(size, group))
+    schema = ", ".join([*(f"`{g}` {a.schema[g].dataType.simpleString()}" for g in group), f"`{pos}` bigint", "mapped bigint"])
+
+    def solve(pdf):
+        pairs = _settle_runs(list(zip(pdf["length"], pdf["a_start"], pdf["b_start"])))
+        out = pd.DataFrame(pairs, columns=[pos, "mapped"])
+        for g in group:
+            out[g] = pdf[g].iloc[0]
+        return out[[*group, pos, "mapped"]]
+
+    done = base.where(F.col("__runs") <= small).drop("__runs").groupBy(*group).applyInPandas(solve, schema)
+    big = base.where(F.col("__runs") > small).drop("__runs")
+    if not big.isEmpty():
+        done = done.unionByName(_align_rounds(big, b.join(big.select(*group).distinct(), group, "left_semi"), group, pos))
+    return b.select(*group, pos).join(done, [*group, pos], "left")
+
+
+def _settle_runs(runs):
+    """Longest-run choice over one group's common runs (length, a, b): list of (b position, a position)."""
+    runs = [tuple(int(v) for v in r) for r in runs]
+    mapped = {}
+    end = max((b + n for n, _, b in runs), default=0)
+    while True:
+        before, lo = len(mapped), 0
+        while lo < end:
+            if lo in mapped:
+                lo += 1
+                continue
+            hi = lo
+            while hi < end and hi not in mapped:
+                hi += 1
+            todo = [[(min(b + n, hi) - max(b, lo), a + max(0, lo - b), max(b, lo)) for n, a, b in runs if b < hi and b + n > lo]]
+            while todo:
+                live = todo.pop()
+                if not live:
+                    continue
+                n0, a0, b0 = max(live, key=lambda r: (r[0], -r[1], -r[2]))
+                mapped.update((b0 + i, a0 + i) for i in range(n0))
+                left = [(min(n, a0 - a, b0 - b), a, b) for n, a, b in live]
+                right = [(n - c, a + c, b + c) for n, a, b in live for c in [max(0, a0 + n0 - a, b0 + n0 - b)]]
+                todo += [[r for r in left if r[0] > 0], [r for r in right if r[0] > 0]]
+            lo = hi
+        if len(mapped) == before:
+            return sorted(mapped.items())
+
+
+def _align_rounds(base: DataFrame, b: DataFrame, group, pos) -> DataFrame:
     cells = base.withColumn("__i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1))).select(
         *group, F.col("a_start").alias("__ba"), F.col("b_start").alias("__bb"), (F.col("b_start") + F.col("__i")).alias(pos))
     cells = settle(cells)
@@ -219,7 +269,7 @@ def align_sequences(a: DataFrame, b: DataFrame, group, pos: str = "pos", token:
             F.min(pos).alias("pb"), F.count(F.lit(1)).alias("len")).select(*group, "rid", (F.col("__ba") + F.col("pb") - F.col("__bb")).alias("pa"), "pb", "len")
         found = _longest_first(live, group)
         if found is None:
-            return mapped
+            return mapped.where("mapped is not null")
         new = found.withColumn("__i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("len") - 1))).select(
             *group, (F.col("pb") + F.col("__i")).alias(pos), (F.col("pa") + F.col("__i")).alias("__new"))
         mapped = settle(mapped.join(new, [*group, pos], "left").select(*group, pos, F.coalesce("mapped", "__new").alias("mapped")))

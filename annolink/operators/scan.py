@@ -107,14 +107,14 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], folds: Sequen
     for i, f in enumerate(folds):
         s, w = F.col(f"__s{i}"), cdown if f.backward else cup
         fn = F.last(s, ignorenulls=True) if f.kind == "last" else getattr(F, "sum" if f.kind == "count" else f.kind)(s)
-        carried.append(fn.over(w).alias(f"__k{i}"))
+        carried.append(fn.over(w).alias(f"__carry{i}"))
     on = keys + cell_names
     carry = summary.select(*[F.col(c).alias(f"__j_{c}") for c in on], *carried)
     cond = [F.col(c) == F.col(f"__j_{c}") for c in on]
     out = local.join(carry, cond, "left")
     return out.select(
         *df.columns,
-        *[_merge(f, F.col(f"__l{i}"), F.col(f"__k{i}")).alias(f.name) for i, f in enumerate(folds)],
+        *[_merge(f, F.col(f"__l{i}"), F.col(f"__carry{i}")).alias(f.name) for i, f in enumerate(folds)],
     )
 
 

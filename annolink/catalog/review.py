@@ -32,14 +32,14 @@ def rev_01(spark, d):
 
 
 @query("rev_02_review_assets", """WITH f AS (SELECT s_suppkey AS n, s_nationkey % 5 > 0 AS png FROM supplier WHERE s_nationkey % 7 > 0),
-c AS (SELECT l_partkey AS bbox_id, l_suppkey AS n, png FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_quantity <= 3) JOIN f ON n = l_suppkey)
+c AS (SELECT bbox_id, l_suppkey AS n, png FROM (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS bbox_id, l_suppkey FROM lineitem) JOIN f ON n = l_suppkey)
 SELECT bbox_id, max(n) AS sheet, CASE WHEN count(*) > 1 THEN 'duplicate' WHEN bool_and(png) THEN 'ready' ELSE 'missing' END AS asset_status FROM c GROUP BY bbox_id""")
 def rev_02(spark, d):
     s = t(spark, d, "supplier")
     name = lambda ext: F.concat(F.col("s_suppkey").cast("string"), F.lit(ext))
     idx = s.select(F.col("s_suppkey").alias("sheet_no"), F.lit("p").alias("page_id"), F.lit("slur").alias("class"), F.lit(1).alias("part"), name(".png").alias("png"), name(".csv").alias("csv"))
     files = s.where("s_nationkey % 7 > 0").select(name(".csv").alias("path")).unionByName(s.where("s_nationkey % 5 > 0").select(name(".png").alias("path")))
-    c = t(spark, d, "lineitem").where("l_quantity <= 3").select(F.col("l_suppkey").alias("sheet_no"), F.col("l_partkey").alias("bbox_id")).distinct()
+    c = t(spark, d, "lineitem").select(F.col("l_suppkey").alias("sheet_no"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("bbox_id")).distinct()
     return V.review_assets(idx, c, files).select("bbox_id", F.regexp_replace("review_csv", ".csv$", "").cast("bigint").alias("sheet"), "asset_status")
 
 
@@ -244,10 +244,10 @@ def inc_02(spark, d):
     return I.pending(m, led, have, "1").select("unit_id", "expected_rows", "reason")
 
 
-@query("inc_03_adopt", f"""WITH {_MONTH} SELECT unit_id, have AS row_count, 'completed' AS status FROM m WHERE n = have""")
+@query("inc_03_adopt", f"""WITH {_MONTH} SELECT unit_id, n AS row_count, 'completed' AS status FROM m WHERE n = have OR unit_id % 3 > 0""")
 def inc_03(spark, d):
     o = orders(spark, d).withColumn("unit_id", F.floor(F.col("day") / 30))
-    return I.adopt(I.unit_digest(o, ["unit_id"], ["o_orderkey"]), o.where("o_orderstatus <> 'P'"), ["o_orderkey"], "1")[0].select("unit_id", "row_count", "status")
+    return I.adopt(I.unit_digest(o, ["unit_id"], ["o_orderkey"]), o.where("o_orderstatus <> 'P' or unit_id % 3 > 0"), ["o_orderkey"], "1")[0].select("unit_id", "row_count", "status")
 
 
 @query("inc_04_reusable", f"""WITH {_MONTH} SELECT unit_id, n = have AND unit_id % 2 = 0 AS reusable FROM m""")

@@ -39,21 +39,21 @@ def pair_outer(left: DataFrame, right: DataFrame, keys, first: int | None = None
 
 # JN-02 / JN-03 ------------------------------------------------------------
 def zip_join(left: DataFrame, right: DataFrame, keys, left_order, right_order, left_cols: dict[str, str],
-             right_cols: dict[str, str], left_cells=(), right_cells=()) -> DataFrame:
+             right_cols: dict[str, str], left_cells=(), right_cells=(), ordinal: str = "k") -> DataFrame:
     """k-th left row with the k-th right row of a group; leftovers of both sides stay.
 
-    left_cols / right_cols map source columns to output names. Adds k, n_left, n_right,
+    left_cols / right_cols map source columns to output names. Adds k (or `ordinal`), n_left, n_right,
     pair_status and confidence (smaller count over larger count).
     """
     keys = list(keys)
-    l = number_rows(left, keys, left_order, "k", left_cells).select(
-        *keys, "k", *[F.col(s).alias(o) for s, o in left_cols.items()], F.lit(True).alias("__l"))
-    r = number_rows(right, keys, right_order, "k", right_cells).select(
-        *keys, "k", *[F.col(s).alias(o) for s, o in right_cols.items()], F.lit(True).alias("__r"))
+    l = number_rows(left, keys, left_order, ordinal, left_cells).select(
+        *keys, ordinal, *[F.col(s).alias(o) for s, o in left_cols.items()], F.lit(True).alias("__l"))
+    r = number_rows(right, keys, right_order, ordinal, right_cells).select(
+        *keys, ordinal, *[F.col(s).alias(o) for s, o in right_cols.items()], F.lit(True).alias("__r"))
     nl = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_left"))
     nr = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_right"))
     counts = nl.join(nr, keys, "full_outer").fillna(0, ["n_left", "n_right"])
-    out = l.join(r, [*keys, "k"], "full_outer").join(counts, keys, "left")
+    out = l.join(r, [*keys, ordinal], "full_outer").join(counts, keys, "left")
     paired = F.col("__l").isNotNull() & F.col("__r").isNotNull()
     conf = F.when(
         F.col("n_left") == F.col("n_right"), 1.0
@@ -65,9 +65,9 @@ def zip_join(left: DataFrame, right: DataFrame, keys, left_order, right_order, l
     return out.withColumns({"pair_status": status, "confidence": F.round(conf, 6)}).drop("__l", "__r")
 
 
-def consume_join(left, right, keys, left_order, right_order, left_cols, right_cols, left_cells=(), right_cells=()) -> DataFrame:
+def consume_join(left, right, keys, left_order, right_order, left_cols, right_cols, left_cells=(), right_cells=(), ordinal: str = "k") -> DataFrame:
     """First come, first served on an exact key: every right row is used once (zip of the two queues)."""
-    out = zip_join(left, right, keys, left_order, right_order, left_cols, right_cols, left_cells, right_cells)
+    out = zip_join(left, right, keys, left_order, right_order, left_cols, right_cols, left_cells, right_cells, ordinal)
     return out.where(F.col("pair_status") != "right_only").drop("n_left", "n_right", "confidence").withColumn(
         "pair_status", F.when(F.col("pair_status") == "left_only", "unmatched").otherwise("exact")
     )
@@ -126,17 +126,19 @@ def interval_join(points: DataFrame, spans: DataFrame, keys, point_id: str, x: s
 
 # JN-06 -----------------------------------------------------------------
 def resolve_tiers(left: DataFrame, right: DataFrame, keys, left_id: str, right_id: str, x: str, start: str, end: str,
-                  tolerance: int, bits: int, left_order=None, width=None) -> DataFrame:
+                  tolerance: int, bits: int, left_order=None, width=None, exact_unit: int = 1) -> DataFrame:
     """Exact key, then tolerance, then containment; keys, left_id, right_id, tier for every left row.
 
-    The first two tiers use a right row once; containment may reuse one.
+    The first two tiers use a right row once; containment may reuse one. Times that agree
+    after rounding to exact_unit ticks count as exact.
     """
     keys = list(keys)
     lo = list(left_order or [left_id])
-    l = left.withColumn("__t", F.col(x))
-    r = right.withColumn("__t", F.col(start))
+    near = lambda c: F.round(F.col(c) / exact_unit).cast("bigint")
+    l = left.withColumns({"__t": F.col(x), "__e": near(x)})
+    r = right.withColumns({"__t": F.col(start), "__e": near(start)})
     exact = consume_join(
-        l, r, [*keys, "__t"], lo, [right_id], {left_id: left_id}, {right_id: right_id}
+        l, r, [*keys, "__e"], lo, [right_id], {left_id: left_id}, {right_id: right_id}, ordinal="__nth"
     ).where(F.col("pair_status") == "exact").select(*keys, left_id, right_id, F.lit("exact").alias("tier"))
     exact = settle(exact)
     l2 = settle(l.join(exact, [*keys, left_id], "left_anti"))

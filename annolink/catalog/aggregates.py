@@ -11,7 +11,9 @@ from ..operators.scan import cell_of
 from ..sources.sinks import run_report
 from .base import DAY, EV, LI, OD, events, lines, orders, query, t
 
-CELL = [cell_of("us", DAY)]
+def day_cells():
+    return [cell_of("us", DAY)]
+
 
 
 @query("ag_01_count_by", """SELECT l_returnflag, l_linestatus, CASE WHEN GROUPING(l_returnflag) = 0 AND GROUPING(l_linestatus) = 0 THEN 'l_returnflag*l_linestatus' WHEN GROUPING(l_returnflag) = 0 THEN 'l_returnflag'
@@ -158,7 +160,7 @@ m AS (SELECT * FROM s WHERE cents % 10 = 0 AND rn + 2 <= c)
 SELECT m.user_id, m.event_type, m.event_id AS start_id, CAST(s.rn - m.rn AS INTEGER) AS member_index, s.event_id AS member_id FROM m JOIN s ON s.user_id = m.user_id AND s.event_type = m.event_type AND s.rn BETWEEN m.rn AND m.rn + 2""")
 def ag_11(spark, d):
     e = events(spark, d).withColumn("n", F.lit(3).cast("bigint"))
-    return A.take_next_n(e, ["user_id", "event_type"], ["us", "event_id"], "n", F.col("cents") % 10 == 0, "event_id", CELL)[0]
+    return A.take_next_n(e, ["user_id", "event_type"], ["us", "event_id"], "n", F.col("cents") % 10 == 0, "event_id", day_cells())[0]
 
 
 @query("ag_12_collect_members", f"""WITH {LI} SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, cents) AS member_index, l_partkey, count(*) OVER (PARTITION BY l_orderkey) AS members FROM li""")

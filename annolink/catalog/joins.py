@@ -8,7 +8,9 @@ from ..operators import joins as J
 from ..operators.scan import cell_of
 from .base import DAY, EV, LI, OD, events, lines, orders, query, t
 
-CELL = [cell_of("us", DAY)]
+def day_cells():
+    return [cell_of("us", DAY)]
+
 
 
 @query("jn_01_pair_outer", """WITH l AS (SELECT doc_id, count(*) AS n FROM documents WHERE lang <> 'en' GROUP BY doc_id), r AS (SELECT doc_id, count(*) AS n FROM labels GROUP BY doc_id)
@@ -29,7 +31,7 @@ FROM l FULL JOIN r USING (user_id, k) JOIN c USING (user_id)""")
 def jn_02(spark, d):
     e = events(spark, d).select("user_id", "event_id", "us", "event_type")
     return J.zip_join(e.where("event_type = 'view'"), e.where("event_type = 'purchase'"), ["user_id"], ["us", "event_id"], ["us", "event_id"],
-                      {"event_id": "view_id"}, {"event_id": "purchase_id"}, CELL, CELL)
+                      {"event_id": "view_id"}, {"event_id": "purchase_id"}, day_cells(), day_cells())
 
 
 @query("jn_03_consume_join", f"""WITH {LI}, {OD}, l AS (SELECT l_suppkey AS grp, day, l_orderkey * 10 + l_linenumber AS lid, row_number() OVER (PARTITION BY l_suppkey, day ORDER BY l_orderkey * 10 + l_linenumber, cents, l_partkey) AS k, cents, l_partkey FROM li),
@@ -71,14 +73,14 @@ SELECT o_orderkey, l_suppkey, span_id, gap FROM c WHERE rk = 1""")
 def jn_05(spark, d):
     s = lines(spark, d).select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("span_id"), F.col("day").alias("s"), (F.col("day") + F.col("qty")).alias("e"))
     p = orders(spark, d).select("o_orderkey", (F.col("o_custkey") % 100).alias("l_suppkey"), "day")
-    return J.interval_join(p, s, ["l_suppkey"], "o_orderkey", "day", "s", "e", "span_id", 15)
+    return J.interval_join(p, s, ["l_suppkey"], "o_orderkey", "day", "s", "e", "span_id", 15, levels=5)
 
 
 @query("jn_06_resolve_tiers")
 def jn_06(spark, d):
     l = orders(spark, d).select((F.col("o_custkey") % 100).alias("g"), F.col("o_orderkey").alias("lid"), "day")
     r = lines(spark, d).groupBy("l_orderkey").agg(F.min("l_suppkey").alias("g"), F.min("day").alias("s"), (F.max("day")).alias("e")).select("g", F.col("l_orderkey").alias("rid"), "s", "e")
-    return J.resolve_tiers(l, r, ["g"], "lid", "rid", "day", "s", "e", 2, 15, width=365)
+    return J.resolve_tiers(l, r, ["g"], "lid", "rid", "day", "s", "e", 2, 15, width=365, levels=9)
 
 
 @query("jn_07_nearest_band", """WITH b AS (SELECT CAST(p_brand AS VARCHAR) AS brand, p_size AS band, CAST(round(avg(p_retailprice)) AS BIGINT) AS center FROM part GROUP BY 1, 2),

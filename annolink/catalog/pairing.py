@@ -8,7 +8,9 @@ from ..operators import pairing as P
 from ..operators.scan import cell_of, number_rows
 from .base import DAY, EV, LI, OD, events, lines, orders, query, t
 
-CELL = [cell_of("us", DAY)]
+def day_cells():
+    return [cell_of("us", DAY)]
+
 _W = "OVER (PARTITION BY {k} ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)"
 
 
@@ -27,7 +29,7 @@ UNION ALL SELECT {keys}, NULL, event_id, 'stop_without_start' FROM dd WHERE orph
 def pr_01(spark, d):
     e = events(spark, d).where("event_type in ('signup','purchase')").select(
         "user_id", "us", "event_id", F.when(F.col("event_type") == "signup", "start").otherwise("stop").alias("kind"))
-    return P.pair_lifo(e, ["user_id"], ["us", "event_id"], "event_id", cells=CELL)
+    return P.pair_lifo(e, ["user_id"], ["us", "event_id"], "event_id", cells=day_cells())
 
 
 @query("pr_02_pair_ties")
@@ -35,7 +37,7 @@ def pr_02(spark, d):
     e = events(spark, d).where("event_type in ('signup','purchase','click','view')").select(
         (F.col("user_id") % 7).alias("staff"), (F.col("user_id") % 50).alias("midi"), "us", "event_id", (F.col("user_id") % 3).alias("voice"),
         F.when(F.col("event_type").isin("signup", "click"), "start").otherwise("stop").alias("kind"))
-    return P.pair_ties(e, ["staff", "midi"], ["us", "event_id"], "event_id", "voice", cells=CELL)
+    return P.pair_ties(e, ["staff", "midi"], ["us", "event_id"], "event_id", "voice", cells=day_cells())
 
 
 @query("pr_03_build_spans", f"""WITH {EV}, m AS (SELECT user_id % 5 AS score_id, us, event_id, user_id % 3 AS voice, user_id % 2 AS staff, us // {DAY} AS page,
@@ -96,7 +98,7 @@ x AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN pos END IGNORE NULLS) OV
 SELECT user_id, pos, CASE WHEN v IS NOT NULL THEN v WHEN rv - lv = rp - lp THEN lv + pos - lp END AS mapped,
  CASE WHEN v IS NOT NULL THEN 'matched_fingerprint' WHEN rv - lv = rp - lp THEN 'matched_contextual' ELSE 'unresolved' END AS mapping_status FROM x""")
 def pr_07(spark, d):
-    e = number_rows(events(spark, d), ["user_id"], ["us", "event_id"], "pos", CELL)
+    e = number_rows(events(spark, d), ["user_id"], ["us", "event_id"], "pos", day_cells())
     m = e.select("user_id", "pos", F.when(F.col("event_type") == "error", F.col("pos") + 3).when(F.col("event_type") != "click", F.col("pos")).alias("mapped"))
     return P.fill_bounded_gaps(m, ["user_id"], cells=[cell_of("pos", 10_000)])
 

@@ -9,7 +9,9 @@ from ..operators import windows as W
 from ..operators.scan import cell_of
 from .base import DAY, EV, LI, OD, events, lines, orders, query, t
 
-CELL = [cell_of("us", DAY)]
+def day_cells():
+    return [cell_of("us", DAY)]
+
 
 
 @query("win_01_onset_cursor", f"""WITH {EV}, n AS (SELECT *, CASE event_type WHEN 'click' THEN 'note' WHEN 'view' THEN 'chord'
@@ -25,7 +27,7 @@ def win_01(spark, d):
     kind = (F.when(F.col("event_type") == "click", "note").when(F.col("event_type") == "view", "chord")
             .when(F.col("event_type") == "purchase", "forward").when(F.col("event_type") == "error", "backup").otherwise("other"))
     e = events(spark, d).withColumn("kind", kind)
-    return W.onset_cursor(e, ["user_id"], ["us", "event_id"], duration="cents", cells=CELL).select("event_id", "cursor", "onset", "extent")
+    return W.onset_cursor(e, ["user_id"], ["us", "event_id"], duration="cents", cells=day_cells()).select("event_id", "cursor", "onset", "extent")
 
 
 @query("win_02_carry_forward", f"""WITH {EV}
@@ -36,7 +38,7 @@ def win_02(spark, d):
     e = events(spark, d).select(
         "event_id", "user_id", "us", F.when(F.col("event_type") == "signup", F.col("cents")).alias("divisions"),
         F.when(F.col("event_type") == "error", F.col("props")).alias("beats"))
-    return W.carry_forward(e, ["user_id"], ["us", "event_id"], {"divisions": 1, "beats": "none"}, CELL).select("event_id", "divisions", "beats")
+    return W.carry_forward(e, ["user_id"], ["us", "event_id"], {"divisions": 1, "beats": "none"}, day_cells()).select("event_id", "divisions", "beats")
 
 
 @query("win_03_layout_counters", f"""WITH {EV}, m AS (SELECT event_id, user_id, us, event_type = 'signup' AS np, event_type = 'error' AS ns FROM ev),
@@ -49,7 +51,7 @@ SELECT event_id, CAST(page AS INTEGER) AS page, CAST(CASE WHEN page > 0 THEN 1 E
 def win_03(spark, d):
     e = events(spark, d).select("event_id", "user_id", "us", (F.col("event_type") == "signup").alias("new_page"),
                                 (F.col("event_type") == "error").alias("new_system"))
-    return W.layout_counters(e, ["user_id"], ["us", "event_id"], cells=CELL).select("event_id", "page", "system")
+    return W.layout_counters(e, ["user_id"], ["us", "event_id"], cells=day_cells()).select("event_id", "page", "system")
 
 
 @query("win_04_assign_ids", f"""WITH {EV}
@@ -57,7 +59,7 @@ SELECT event_id, printf('%d:E%07d', user_id, row_number() OVER (PARTITION BY use
  printf('Q%08d', row_number() OVER (ORDER BY us, event_id)) AS global_id FROM ev""")
 def win_04(spark, d):
     e = events(spark, d).select("event_id", "user_id", "us")
-    a = W.assign_ids(e, ["user_id"], ["us", "event_id"], "%s:E%07d", "local_id", CELL)
+    a = W.assign_ids(e, ["user_id"], ["us", "event_id"], "%s:E%07d", "local_id", day_cells())
     return W.assign_ids(a, [], ["us", "event_id"], "Q%08d", "global_id", [cell_of("us", DAY // 24)]).select("event_id", "local_id", "global_id")
 
 
@@ -66,7 +68,7 @@ def win_04(spark, d):
 SELECT event_id, CAST(off AS BIGINT) AS x_offset, CASE WHEN total > 0 THEN CAST(off AS DOUBLE) / CAST(total AS DOUBLE) ELSE 0.0::DOUBLE END AS x_norm FROM a""")
 def win_05(spark, d):
     e = events(spark, d).select("event_id", "user_id", "us", "cents")
-    return W.cumulative_position(e, ["user_id"], ["us", "event_id"], "cents", cells=CELL).select("event_id", "x_offset", "x_norm")
+    return W.cumulative_position(e, ["user_id"], ["us", "event_id"], "cents", cells=day_cells()).select("event_id", "x_offset", "x_norm")
 
 
 @query("win_06_derive_end", f"""WITH {OD}, p AS (SELECT o_custkey, day, min(o_orderkey) AS s, CASE WHEN count(*) > 1 THEN max(o_orderkey) END AS e FROM od GROUP BY o_custkey, day)
@@ -128,7 +130,7 @@ def win_10b(spark, d):
 @query("win_11_suppress")
 def win_11(spark, d):
     o = orders(spark, d).select("o_custkey", "o_orderkey", "cents", F.col("day").alias("lo"), (F.col("day") + 45).alias("hi"))
-    return W.suppress(o, ["o_custkey"], "o_orderkey", "cents", "lo", "hi", 15)
+    return W.suppress(o, ["o_custkey"], "o_orderkey", "cents", "lo", "hi", 15, levels=5)
 
 
 @query("win_12_argmax_near", f"""WITH {EV}, prof AS (SELECT user_id, us // 3600000000 AS x, count(*) AS run, sum(cents % 10) AS ink FROM ev GROUP BY 1, 2),
@@ -150,7 +152,7 @@ def win_12(spark, d):
 SELECT event_id, user_id, cents, previous FROM a WHERE cents <= previous""")
 def win_13(spark, d):
     e = events(spark, d).select("event_id", "user_id", "us", "cents")
-    return W.assert_monotone(e, ["user_id"], ["us", "event_id"], "cents", CELL).drop("us")
+    return W.assert_monotone(e, ["user_id"], ["us", "event_id"], "cents", day_cells()).drop("us")
 
 
 @query("srt_01_time_sort", """WITH e AS (SELECT *, row_number() OVER (ORDER BY value NULLS LAST, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'error' THEN 2 ELSE 3 END, user_id, event_type, lpad(CAST(event_id AS VARCHAR), 12, '0')) AS pos FROM events)

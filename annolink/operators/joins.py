@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import _c
 from ..session import settle
-from .dyadic import cover, nodes_of
+from .dyadic import cover_rows, node_rows
 from .nearest import Axis, nearest_1d, nearest_l1
 from .scan import Fold, cell_of, number_rows, scan, stack
 
@@ -105,7 +105,7 @@ def tolerance_join(left, right, keys, x: str, left_id: str, right_id: str, toler
 
 # JN-05 -----------------------------------------------------------------
 def interval_join(points: DataFrame, spans: DataFrame, keys, point_id: str, x: str, start: str, end: str,
-                  span_id: str, bits: int) -> DataFrame:
+                  span_id: str, bits: int, levels: int | None = None) -> DataFrame:
     """The containing span that starts nearest before each point (ties: smaller id); spans are reusable.
 
     Integer ticks in [0, 2**bits). Spans are cut into dyadic blocks and reduced to one row
@@ -113,20 +113,17 @@ def interval_join(points: DataFrame, spans: DataFrame, keys, point_id: str, x: s
     span_id, gap for points inside some span.
     """
     keys = list(keys)
-    best = (
-        spans.where(F.col(start) <= F.col(end))
-        .select(*keys, F.struct((-F.col(start)).alias("neg_start"), F.col(span_id).alias("id")).alias("__s"),
-                F.explode(cover(F.col(start), F.col(end), bits)).alias("node"))
-        .groupBy(*keys, "node").agg(F.min("__s").alias("__s"))
-    )
-    ask = points.select(*keys, point_id, x, F.explode(nodes_of(F.col(x), bits)).alias("node"))
-    hit = ask.join(best, [*keys, "node"]).groupBy(*keys, point_id).agg(F.min("__s").alias("__s"), F.first(x).alias("__x"))
+    s = spans.where(F.col(start) <= F.col(end)).select(
+        *keys, F.struct((-F.col(start)).alias("neg_start"), F.col(span_id).alias("id")).alias("__s"), F.col(start).alias("__start"), F.col(end).alias("__end"))
+    best = cover_rows(s, F.col("__start"), F.col("__end"), bits, levels=levels).groupBy(*keys, "node").agg(F.min("__s").alias("__s"))
+    ask = node_rows(points.select(*keys, point_id, F.col(x).alias("__px")), F.col("__px"), bits, levels=levels)
+    hit = ask.join(best, [*keys, "node"]).groupBy(*keys, point_id).agg(F.min("__s").alias("__s"), F.first("__px").alias("__x"))
     return hit.select(*keys, point_id, F.col("__s.id").alias(span_id), (F.col("__x") + F.col("__s.neg_start")).alias("gap"))
 
 
 # JN-06 -----------------------------------------------------------------
 def resolve_tiers(left: DataFrame, right: DataFrame, keys, left_id: str, right_id: str, x: str, start: str, end: str,
-                  tolerance: int, bits: int, left_order=None, width=None, exact_unit: int = 1) -> DataFrame:
+                  tolerance: int, bits: int, left_order=None, width=None, exact_unit: int = 1, levels: int | None = None) -> DataFrame:
     """Exact key, then tolerance, then containment; keys, left_id, right_id, tier for every left row.
 
     The first two tiers use a right row once; containment may reuse one. Times that agree
@@ -146,7 +143,7 @@ def resolve_tiers(left: DataFrame, right: DataFrame, keys, left_id: str, right_i
     tol = tolerance_join(l2, r2, keys, "__t", left_id, right_id, tolerance, width)
     tol = tol.select(*keys, left_id, right_id, F.lit("rounded_tolerance").alias("tier"))
     l3 = l2.join(tol, [*keys, left_id], "left_anti")
-    inside = interval_join(l3, right, keys, left_id, x, start, end, right_id, bits)
+    inside = interval_join(l3, right, keys, left_id, x, start, end, right_id, bits, levels)
     inside = inside.select(*keys, left_id, right_id, F.lit("within_tied_span").alias("tier"))
     found = exact.unionByName(tol).unionByName(inside)
     return left.select(*keys, left_id).join(found, [*keys, left_id], "left").fillna("unmatched", ["tier"])
@@ -169,8 +166,8 @@ def containing_band(points: DataFrame, bands: DataFrame, keys, point_id: str, x:
     block. Outside: the nearest upper or lower edge; equal edges prefer the nearer centre.
     """
     keys = list(keys)
-    bx = bands.select(*keys, F.col(center).alias(x), band_id, F.explode(cover(F.col(lo), F.col(hi), bits)).alias("node"))
-    px = points.select(*keys, point_id, x, F.explode(nodes_of(F.col(x), bits)).alias("node"))
+    bx = cover_rows(bands.select(*keys, F.col(center).alias(x), band_id, F.col(lo).alias("__from"), F.col(hi).alias("__to")), F.col("__from"), F.col("__to"), bits).drop("__from", "__to")
+    px = node_rows(points.select(*keys, point_id, x), F.col(x), bits)
     near = nearest_1d(px, bx, [*keys, "node"], x, band_id, width).where(F.col("near").isNotNull())
     inside = near.groupBy(*keys, point_id).agg(F.min("near").alias("near")).select(
         *keys, point_id, F.col("near.id").alias(band_id), F.lit(0).cast("bigint").alias("outside"))

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .dyadic import shr
+from .dyadic import place, shr
 from .scan import Fold, cell_of, scan, stack
 
 
@@ -75,16 +75,25 @@ class Axis:
     equal_is_low: Column | None = None # which side an equal value counts to (default low)
 
 
-def _blocks(m: Column, bits: int) -> Column:
-    """Blocks that together hold every tick below m."""
-    odd = F.filter(F.sequence(F.lit(0), F.lit(bits)), lambda b: shr(m, b).bitwiseAND(F.lit(1)) == 1)
-    return F.transform(odd, lambda b: F.struct(b.alias("level"), (shr(m, b) - 1).alias("cell")))
+def _axis_rows(df: DataFrame, i: int, bits: int, asking: bool) -> DataFrame:
+    """Rows per side (0: right row low, 1: high) and block of axis i, with the block number __b{i}.
 
-
-def _homes(t: Column, bits: int) -> Column:
-    """The even blocks holding tick t: only these are ever asked for."""
-    even = F.filter(F.sequence(F.lit(0), F.lit(bits)), lambda b: shr(t, b).bitwiseAND(F.lit(1)) == 0)
-    return F.transform(even, lambda b: F.struct(b.alias("level"), shr(t, b).alias("cell")))
+    An asking row names the blocks that together hold every tick on that side of it; a live
+    row names the even blocks that hold it, which are the only ones ever asked for.
+    """
+    top, y, side, lv = (1 << bits) - 1, F.col(f"__y{i}"), F.col(f"__side{i}"), F.col("__lv")
+    d = df.withColumn(f"__side{i}", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("__lv", F.explode(F.sequence(F.lit(0), F.lit(bits))))
+    if asking:
+        q = F.col(f"__q{i}").cast("bigint")
+        d = d.withColumn("__m", F.when(side == 0, y + q).otherwise(top - y + 1 - q))
+        d = d.where(shr(F.col("__m"), lv).bitwiseAND(F.lit(1)) == 1)
+        cell = shr(F.col("__m"), lv) - 1
+    else:
+        d = d.withColumn("__m", F.when(side == 0, y).otherwise(top - y))
+        d = d.where(shr(F.col("__m"), lv).bitwiseAND(F.lit(1)) == 0)
+        cell = shr(F.col("__m"), lv)
+    number = place(lv, cell, bits + 1)
+    return d.withColumn(f"__b{i}", number * 2 + side).drop("__lv", "__m")
 
 
 def nearest_l1(left: DataFrame, right: DataFrame, keys, left_id: str, right_id: str, lx: str, rx: str, wx: int | str,
@@ -113,26 +122,12 @@ def nearest_l1(left: DataFrame, right: DataFrame, keys, left_id: str, right_id:
     extra = F.lit(0).cast("bigint")
     blocks = []
     for i, a in enumerate(axes):
-        top = (1 << a.bits) - 1
-        y, q = F.col(f"__y{i}"), F.col(f"__q{i}")
-        ask = F.concat(
-            F.transform(_blocks(y + q.cast("bigint"), a.bits),
-                        lambda n: F.struct(F.lit(0).alias("side"), n["level"].alias("level"), n["cell"].alias("cell"))),
-            F.transform(_blocks(top - y + (~q).cast("bigint"), a.bits),
-                        lambda n: F.struct(F.lit(1).alias("side"), n["level"].alias("level"), n["cell"].alias("cell"))),
-        )
-        live = F.concat(
-            F.transform(_homes(y, a.bits),
-                        lambda n: F.struct(F.lit(0).alias("side"), n["level"].alias("level"), n["cell"].alias("cell"))),
-            F.transform(_homes(top - y, a.bits),
-                        lambda n: F.struct(F.lit(1).alias("side"), n["level"].alias("level"), n["cell"].alias("cell"))),
-        )
-        l = l.withColumn(f"__b{i}", F.explode(ask))
-        r = r.withColumn(f"__b{i}", F.explode(live))
-        sign = F.when(F.col(f"__b{i}.side") == 0, 1).otherwise(-1)
+        y = F.col(f"__y{i}")
+        l, r = _axis_rows(l, i, a.bits, True), _axis_rows(r, i, a.bits, False)
+        sign = F.when(F.col(f"__side{i}") == 0, 1).otherwise(-1)
         lw = lw + sign * F.col(f"__wy{i}") * y
         rw = rw + sign * F.col(f"__wy{i}") * F.col(f"__y{i}")
-        extra = extra + F.when(F.col(f"__b{i}.side") == 0, F.col(f"__e{i}_0")).otherwise(F.col(f"__e{i}_1"))
+        extra = extra + F.when(F.col(f"__side{i}") == 0, F.col(f"__e{i}_0")).otherwise(F.col(f"__e{i}_1"))
         blocks.append(f"__b{i}")
     wide = (F.col("__wx") * F.col("__x")).alias("__xx")
     l = l.select(*keys, *blocks, "__id", "__x", wide, lw.alias("__w"), extra.alias("__extra"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import _c
 from ..session import settle
-from .dyadic import cover, nodes_of
+from .dyadic import cover_rows, node_rows
 from .scan import Fold, number_rows, scan, shift
 
 
@@ -150,7 +150,7 @@ def longest_run(df: DataFrame, keys, pos: str, cells=()) -> DataFrame:
 
 
 # WIN-11 -----------------------------------------------------------------
-def suppress(df: DataFrame, keys, row_id: str, score: str, lo: str, hi: str, bits: int) -> DataFrame:
+def suppress(df: DataFrame, keys, row_id: str, score: str, lo: str, hi: str, bits: int, levels: int | None = None) -> DataFrame:
     """Greedy choice of non-overlapping intervals, best score first (then smaller id).
 
     lo and hi are integer ticks in [0, 2**bits). Each round keeps every interval that beats
@@ -161,42 +161,28 @@ def suppress(df: DataFrame, keys, row_id: str, score: str, lo: str, hi: str, bit
     active = settle(df.select(*keys, row_id, score, lo, hi))
     kept = None
     while True:
-        best = _best_overlap(active, active, keys, row_id, score, lo, hi, bits)
+        best = _best_overlap(active, active, keys, row_id, score, lo, hi, bits, levels)
         winners = active.join(best.where(F.col("best_id") == F.col(row_id)).select(*keys, row_id), [*keys, row_id])
         winners = settle(winners)
         if winners.isEmpty():
             break
         kept = winners if kept is None else kept.unionByName(winners)
-        hit = _best_overlap(active, winners, keys, row_id, score, lo, hi, bits)
+        hit = _best_overlap(active, winners, keys, row_id, score, lo, hi, bits, levels)
         active = settle(active.join(hit.select(*keys, row_id), [*keys, row_id], "left_anti"))
         if active.isEmpty():
             break
     return kept if kept is not None else active
 
 
-def _best_overlap(queries, items, keys, row_id, score, lo, hi, bits) -> DataFrame:
+def _best_overlap(queries, items, keys, row_id, score, lo, hi, bits, levels) -> DataFrame:
     """Best item overlapping each query: it covers the query's start, or starts inside it."""
     rank = F.struct(F.col(score).alias("score"), (-F.col(row_id)).alias("neg_id"))
-    covering = (
-        items.select(*keys, rank.alias("rank"), F.explode(cover(F.col(lo), F.col(hi), bits)).alias("node"))
-        .groupBy(*keys, "node").agg(F.max("rank").alias("rank")).withColumn("way", F.lit(0))
-    )
-    starting = (
-        items.select(*keys, rank.alias("rank"), F.explode(nodes_of(F.col(lo), bits)).alias("node"))
-        .groupBy(*keys, "node").agg(F.max("rank").alias("rank")).withColumn("way", F.lit(1))
-    )
-    ask = queries.select(
-        *keys, row_id,
-        F.explode(
-            F.concat(
-                F.transform(nodes_of(F.col(lo), bits), lambda n: F.struct(n.alias("node"), F.lit(0).alias("way"))),
-                F.transform(
-                    F.when(F.col(hi) > F.col(lo), cover(F.col(lo) + 1, F.col(hi), bits)).otherwise(F.array().cast("array<struct<level:int,cell:bigint>>")),
-                    lambda n: F.struct(n.alias("node"), F.lit(1).alias("way")),
-                ),
-            )
-        ).alias("q"),
-    ).select(*keys, row_id, "q.node", "q.way")
+    it = items.select(*keys, rank.alias("rank"), F.col(lo).alias("__a"), F.col(hi).alias("__b"))
+    covering = cover_rows(it, F.col("__a"), F.col("__b"), bits, levels=levels).groupBy(*keys, "node").agg(F.max("rank").alias("rank")).withColumn("way", F.lit(0))
+    starting = node_rows(it, F.col("__a"), bits, levels=levels).groupBy(*keys, "node").agg(F.max("rank").alias("rank")).withColumn("way", F.lit(1))
+    q = queries.select(*keys, row_id, F.col(lo).alias("__a"), F.col(hi).alias("__b"))
+    ask = node_rows(q, F.col("__a"), bits, levels=levels).select(*keys, row_id, "node", F.lit(0).alias("way")).unionByName(
+        cover_rows(q.where("__b > __a"), F.col("__a") + 1, F.col("__b"), bits, levels=levels).select(*keys, row_id, "node", F.lit(1).alias("way")))
     found = ask.join(covering.unionByName(starting), [*keys, "node", "way"])
     return found.groupBy(*keys, row_id).agg((-F.max("rank")["neg_id"]).alias("best_id"))
 

@@ -117,7 +117,7 @@ def link_notes(events: DataFrame, repeat_map: DataFrame, notes: DataFrame, bits:
     left = occ.where("event_type = 'note' and midi is not null").select("score_id", "midi", F.struct("xml_event_id", "unfolded_index").alias("oid"), tick("start_meas").alias("tick"), "xml_event_id", "unfolded_index")
     left = left.withColumn("oid", F.concat_ws("@", "xml_event_id", F.format_string("%09d", "unfolded_index")))
     right = notes.select("score_id", "midi", "note_id", tick("start_meas").alias("s"), tick("end_meas").alias("e"))
-    hit = resolve_tiers(left.select("score_id", "midi", "oid", "tick"), right, ["score_id", "midi"], "oid", "note_id", "tick", "s", "e", 1500, bits, left_order=["tick", "oid"], exact_unit=1000, width=100 * MICRO)
+    hit = resolve_tiers(left.select("score_id", "midi", "oid", "tick"), right, ["score_id", "midi"], "oid", "note_id", "tick", "s", "e", 1500, bits, left_order=["tick", "oid"], exact_unit=1000, width=100 * MICRO, levels=21)
     occ = occ.withColumn("oid", F.concat_ws("@", "xml_event_id", F.format_string("%09d", "unfolded_index")))
     occ = occ.join(hit.select("score_id", "oid", "note_id", F.when(F.col("tier") == "unmatched", F.lit(None)).otherwise(F.col("tier")).alias("note_match_status")), ["score_id", "oid"], "left")
     first = occ.where("note_id is not null").groupBy("xml_event_id").agg(F.min_by("note_id", "unfolded_index").alias("start_note"))

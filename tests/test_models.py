@@ -103,7 +103,8 @@ def test_containing_and_interval(spark):
         c = [(x - s, i) for _, i, s, e in spans if s <= x <= e]
         if c:
             want.append((p, min(c)[1], min(c)[0]))
-    assert rows(J.interval_join(pt, sp, ["k"], "p", "x", "s", "e", "sid", 8), "p", "sid", "gap") == sorted(want)
+    for levels in (None, 0, 3):
+        assert rows(J.interval_join(pt, sp, ["k"], "p", "x", "s", "e", "sid", 8, levels), "p", "sid", "gap") == sorted(want)
 
 
 def test_resolve_tiers_exact_first(spark):

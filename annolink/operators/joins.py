@@ -12,6 +12,7 @@ from ..functions.text import _c
 from ..session import settle
 from .dyadic import cover_rows, node_rows
 from .nearest import Axis, nearest_1d, nearest_l1
+from .pick import smallest
 from .scan import Fold, cell_of, number_rows, scan, stack
 
 
@@ -114,11 +115,11 @@ def interval_join(points: DataFrame, spans: DataFrame, keys, point_id: str, x: s
     """
     keys = list(keys)
     s = spans.where(F.col(start) <= F.col(end)).select(
-        *keys, F.struct((-F.col(start)).alias("neg_start"), F.col(span_id).alias("id")).alias("__s"), F.col(start).alias("__start"), F.col(end).alias("__end"))
-    best = cover_rows(s, F.col("__start"), F.col("__end"), bits, levels=levels).groupBy(*keys, "node").agg(F.min("__s").alias("__s"))
+        *keys, (-F.col(start)).alias("__neg"), F.col(span_id).alias("__sid"), F.col(start).alias("__start"), F.col(end).alias("__end"))
+    best = smallest(cover_rows(s, F.col("__start"), F.col("__end"), bits, levels=levels), [*keys, "node"], "__neg", "__sid")
     ask = node_rows(points.select(*keys, point_id, F.col(x).alias("__px")), F.col("__px"), bits, levels=levels)
-    hit = ask.join(best, [*keys, "node"]).groupBy(*keys, point_id).agg(F.min("__s").alias("__s"), F.first("__px").alias("__x"))
-    return hit.select(*keys, point_id, F.col("__s.id").alias(span_id), (F.col("__x") + F.col("__s.neg_start")).alias("gap"))
+    hit = ask.join(best, [*keys, "node"]).select(*keys, point_id, (F.col("__px") + F.col("__neg")).alias("gap"), F.col("__sid").alias(span_id))
+    return smallest(hit, [*keys, point_id], "gap", span_id).select(*keys, point_id, span_id, "gap")
 
 
 # JN-06 -----------------------------------------------------------------

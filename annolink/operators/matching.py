@@ -14,6 +14,7 @@ from ..session import settle
 from .assignment import least_cost
 from .nearest import Axis, nearest_l1
 from .ordering import top_k
+from .pick import smallest
 from .scan import Fold, cell_of, number_rows, scan, stack
 
 EXCLUDED = 1_000_000  # fixed value: a cost from here on means "never"
@@ -33,10 +34,8 @@ def greedy_match(edges: DataFrame, block, left: str, right: str, cost: str, limi
     )
     done = None
     while not active.isEmpty():
-        bl = active.groupBy(*block, left).agg(F.min(F.struct(cost, right)).alias("__m")).select(
-            *block, left, F.col(f"__m.{right}").alias(right), F.col(f"__m.{cost}").alias(cost))
-        br = active.groupBy(*block, right).agg(F.min(F.struct(cost, left)).alias("__m")).select(
-            *block, F.col(f"__m.{left}").alias(left), right)
+        bl = smallest(active, [*block, left], cost, right)
+        br = smallest(active, [*block, right], cost, left).drop(cost)
         won = settle(bl.join(br, [*block, left, right]))
         done = won if done is None else done.unionByName(won)
         active = settle(

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .dyadic import place, shr
+from .pick import smallest
 from .scan import Fold, cell_of, scan, stack
 
 
@@ -26,8 +27,10 @@ def neighbours(left: DataFrame, right: DataFrame, keys, x: str, right_id: str, w
     with the smallest id, so copies cost nothing. `width` is the cell width of the scan.
     """
     keys = list(keys)
-    pick = F.min(F.struct(F.col(right_id).alias("id"), *[F.col(c) for c in payload])).alias("best")
-    r = right.groupBy(*keys, x).agg(pick)
+    if payload:
+        r = right.groupBy(*keys, x).agg(F.min(F.struct(F.col(right_id).alias("id"), *[F.col(c) for c in payload])).alias("best"))
+    else:  # a plain minimum aggregates by hashing
+        r = right.groupBy(*keys, x).agg(F.min(right_id).alias("__rid")).select(*keys, x, F.struct(F.col("__rid").alias("id")).alias("best"))
     l = left.withColumn("__seq", F.lit(0))
     both, order = stack(l, r, keys, [F.col(x)], [F.col(x)], right_first=True)
     here = F.when(F.col("__r").isNotNull(), F.struct(F.col(f"__r.{x}").alias("x"), F.col("__r.best").alias("best")))
@@ -147,7 +150,6 @@ def nearest_l1(left: DataFrame, right: DataFrame, keys, left_id: str, right_id:
         (F.col("__l.__xx") + F.col("__l.__w") - F.col("__back.v") + base).alias("cost"), (-F.col("__back.n")).alias("id")))
     a = F.when(F.col("__ahead").isNotNull(), F.struct(
         (F.col("__ahead.v") - F.col("__l.__xx") + F.col("__l.__w") + base).alias("cost"), F.col("__ahead.n").alias("id")))
-    return (
-        done.select(*keys, F.col("__l.__id").alias(left_id), F.least(b, a).alias("__best"))
-        .groupBy(*keys, left_id).agg(F.min("__best").alias(out)).where(F.col(out).isNotNull())
-    )
+    per = done.select(*keys, F.col("__l.__id").alias(left_id), F.least(b, a).alias("__best")).where("__best is not null")
+    best = smallest(per.select(*keys, left_id, F.col("__best.cost").alias("__cost"), F.col("__best.id").alias("__rid")), [*keys, left_id], "__cost", "__rid")
+    return best.select(*keys, left_id, F.struct(F.col("__cost").alias("cost"), F.col("__rid").alias("id")).alias(out))

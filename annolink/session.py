@@ -14,6 +14,7 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
         SparkSession.builder.master(f"local[{cores}]")
         .appName("annolink")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")

@@ -161,7 +161,7 @@ def jn_12(spark, d):
                                F.when(F.col("qty") > 5, F.col("l_returnflag")).alias("staff"), (F.col("l_linenumber") % 5).cast("bigint").alias("meas"))
     staff = F.when(F.col("o_orderstatus") == "F", "A").when(F.col("o_orderstatus") == "O", "N").otherwise("R")
     r = orders(spark, d).select("o_orderkey", (F.col("o_custkey") % 100).alias("g"), staff.alias("staff"), (F.col("o_orderkey") % 5).alias("meas"), "day")
-    out = J.prefer_join(l, r, ["g"], ["staff", "meas"], "day", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "o_orderkey", 365).where("near is not null")
+    out = J.prefer_join(l, r, ["g"], ["staff", "meas"], "day", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cents", "day"], "o_orderkey", 365).where("near is not null")
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cents", "day", F.col("near.id").alias("o_orderkey"), F.col("near.gap").alias("gap"))
 
 

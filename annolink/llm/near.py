@@ -78,7 +78,8 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     order = here.orderBy("n", "node")
     before = F.when(F.col("len") <= WHOLE, F.collect_list(row).over(order.rowsBetween(-WHOLE, -1))).otherwise(
         F.collect_list(row).over(order.rowsBetween(-FEW, -1)))
-    pair = open_.select("node", "n", "k", "component", (F.col("len") <= WHOLE).alias("whole"), F.explode(before).alias("o"))
+    pair = open_.select("node", "n", "k", "component", (F.col("len") <= WHOLE).alias("whole"), before.alias("before"))
+    pair = pair.withColumn("o", F.explode("before"))
     pair = pair.where((F.col("component") != F.col("o.component")) & (100 * F.col("o.n") >= percent * F.col("n")))
     pair = pair.groupBy(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).agg(
         F.count("*").alias("shared"), F.first(F.least("k", "o.k")).alias("k"), F.min("whole").alias("whole"))

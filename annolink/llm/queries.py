@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, counts, lines, near, phrases
+from . import bpe, counts, idfile, licences, lines, near, phrases
 from .text import spread, table
 
 QUERIES: dict = {}
@@ -22,6 +22,16 @@ def query(fn):
     return fn
 
 
+@query
+def op2_licence_scan(spark, d):
+    return licences.scan(table(spark, d, "documents").select("doc_id", "text")).drop("detections")
+
+
+@query
+def op3_simple8b(spark, d):
+    return idfile.stored(table(spark, d, "documents").select("doc_id", "text"), tokenizer("word_bpe_49k.json"))
+
+
 @query
 def op5_token_counts(spark, d):
     return counts.token_counts(spread(table(spark, d, "documents").select("doc_id", "text")), tokenizer("byte_bpe_50k.json"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, counts, idfile, licences, lines, near, phrases
+from . import bpe, counts, idfile, licences, lines, near, phrases, secrets, suffixes, weak
 from .text import spread, table
 
 QUERIES: dict = {}
@@ -22,6 +22,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_weak_labels(spark, d):
+    return weak.score(table(spark, d, "documents").select("doc_id", "text"))
+
+
 @query
 def op2_licence_scan(spark, d):
     return licences.scan(table(spark, d, "documents").select("doc_id", "text")).drop("detections")
@@ -32,6 +37,11 @@ def op3_simple8b(spark, d):
     return idfile.stored(table(spark, d, "documents").select("doc_id", "text"), tokenizer("word_bpe_49k.json"))
 
 
+@query
+def op4_secret_forest(spark, d):
+    return secrets.report(table(spark, d, "documents").select("doc_id", "text"))
+
+
 @query
 def op5_token_counts(spark, d):
     return counts.token_counts(spread(table(spark, d, "documents").select("doc_id", "text")), tokenizer("byte_bpe_50k.json"))
@@ -49,6 +59,13 @@ def op7_line_frequency(spark, d):
     return lines.verdicts(table(spark, d, "documents").select("doc_id", "source", "text"))
 
 
+@query
+def op8_suffix_array(spark, d):
+    out = suffixes.repeated(spread(table(spark, d, "documents").select("doc_id", "text")))
+    return out.select("doc_id", "n_words", "n_repeat_words", F.size("spans").cast("bigint").alias("n_spans"),
+                      F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["first"], s["last"])), ",").alias("spans"))
+
+
 @query
 def op9_minhash(spark, d):
     return near.similar_components(table(spark, d, "documents").select("doc_id", "text"), size=3, percent=85)

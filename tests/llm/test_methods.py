@@ -1,0 +1,43 @@
+"""Methods whose results have no fixed contract: held-out accuracy, planted cases, the pipeline."""
+
+from pyspark.sql import functions as F
+
+from annolink.llm import secrets, suffixes, weak
+
+SRC = "/root/testdata/sf0.01"
+
+
+def test_weak_labels_on_held_out_labels(spark):
+    docs, labels = spark.read.parquet(f"{SRC}/documents.parquet"), spark.read.parquet(f"{SRC}/labels.parquet")
+    got = weak.score(docs).join(labels, "doc_id").agg(F.avg((F.col("kept") == (F.col("quality") == 1)).cast("int"))).first()[0]
+    assert got > 0.8
+
+
+def test_secrets_are_redacted(spark):
+    docs = spark.read.parquet(f"{SRC}/documents.parquet")
+    out = secrets.redact(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    pattern = 'token = "[0-9a-f]{40}"'
+    assert docs.where(F.col("text").rlike(pattern)).count() > 0 and out.where(F.col("text").rlike(pattern)).count() == 0
+    changed = docs.alias("a").join(out.alias("b"), "doc_id").where("a.text <> b.text").count()
+    assert changed < docs.count() / 5
+    one = spark.createDataFrame([(1, None), (2, ""), (3, "plain words only")], "doc_id bigint, text string")
+    assert secrets.report(one).agg(F.sum("n_secrets")).first()[0] == 0
+
+
+def test_repeated_passage(spark):
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(k, " ".join([f"d{k}x{i}" for i in range(10 + 7 * k)] + passage + [f"e{k}x{i}" for i in range(20)])) for k in range(5)]
+    rows += [(9, " ".join(f"z{i}" for i in range(300))), (10, None), (11, "")]
+    got = {r.doc_id: r for r in suffixes.repeated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert len(got) == 8
+    for k in range(5):
+        assert [(s.first, s.last) for s in got[k].spans] == [(10 + 7 * k, 69 + 7 * k)]
+    assert got[9].n_repeat_words == got[10].n_repeat_words == 0
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
+    assert 0 < len(out) == len({r.doc_id for r in out})

@@ -17,15 +17,17 @@ count as one document whose rows share a component.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.matching import components
-from ..session import settle
+from ..session import ensure_checkpoint_dir, settle
 from .text import SPACE_WORD, grams, lower_ascii, words
 
-WHOLE, CELL, FEW, SALTS = 32, 256, 4, 16
+WHOLE, CELL, FEW, SALTS, SMALL = 32, 256, 4, 16, 1_000_000
 
 
 def shingles(text: Column, size: int) -> Column:
@@ -34,14 +36,29 @@ def shingles(text: Column, size: int) -> Column:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the similarity."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", shingles(F.col("text"), size).alias("s"))
+    """Pairs (a, b) whose full sets reach the similarity.
+
+    The ids asked for are broadcast up to SMALL (8 MB) so that texts need no shuffle; beyond it they are joined by one.
+    """
+    pairs = settle(pairs)
+    ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    if ids.count() <= SMALL:
+        ids = F.broadcast(ids)
+    sets = docs.join(ids, "doc_id", "left_semi").select("doc_id", shingles(F.col("text"), size).alias("s")).dropDuplicates(["doc_id"])
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def kept_table(df: DataFrame) -> DataFrame:
+    """A written table in the shared folder; smaller than a checkpoint of the same rows."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/lists-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row per input row."""
     one = docs.select("doc_id", shingles(F.col("text"), size).alias("s"))
@@ -61,13 +78,16 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     length = post.groupBy("v").agg(F.count("*").alias("len")).where("len > 1")
     post = post.join(length, "v")
     cells = F.when(F.col("len") > CELL, F.ceil(F.col("len") / CELL)).otherwise(1)
-    post = settle(post.withColumn("cell", F.pmod(F.xxhash64("node", "v"), cells).cast("int")))
+    post = kept_table(post.withColumn("cell", F.pmod(F.xxhash64("node", "v"), cells).cast("int")))
     here = W.partitionBy("v", "cell")
     # step 1: with the first of the list
     star = post.select("n", F.col("node").alias("b"), F.min(F.struct("node", "n")).over(here).alias("m"))
     star = star.select(F.col("m.node").alias("a"), "b", F.col("m.n").alias("na"), F.col("n").alias("nb")).where("a <> b")
-    star = star.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b").distinct()
-    links = settle(verified(star, docs, size, percent))
+    star = star.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).groupBy("a", "b").agg(F.count("*").alias("lists"))
+    star = settle(star)
+    # of all firsts of its lists, a member is first held against the one it meets most often
+    best = star.groupBy("b").agg(F.max(F.struct("lists", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
+    links = settle(verified(best, docs, size, percent))
     nodes = settle(classes.select(F.col("doc_id").alias("node")))
     label = settle(components(nodes, links.select(F.col("a").alias("node"), F.col("b").alias("other")), []))
     # step 2: members of one list that are still apart
@@ -84,6 +104,10 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     pair = pair.groupBy(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).agg(
         F.count("*").alias("shared"), F.first(F.least("k", "o.k")).alias("k"), F.min("whole").alias("whole"))
     pair = pair.where(~F.col("whole") | (F.col("shared") >= F.greatest(F.lit(1), F.floor(F.col("k") / 4)))).select("a", "b")
+    # in longer lists the other firsts are held against their members here
+    apart = star.select("a", "b").join(label.toDF("a", "ca"), "a").join(label.toDF("b", "cb"), "b").where("ca <> cb")
+    long_ = open_.where(F.col("len") > WHOLE).select(F.col("node").alias("b")).distinct()
+    pair = pair.unionByName(apart.join(long_, "b", "left_semi").select("a", "b")).distinct()
     links = links.unionByName(verified(pair.join(links, ["a", "b"], "left_anti"), docs, size, percent))
     label = components(nodes, links.select(F.col("a").alias("node"), F.col("b").alias("other")), [])
     label = settle(label)

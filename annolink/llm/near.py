@@ -2,52 +2,186 @@
 
 A document's set is its distinct shingle hashes in ascending order; the sketch is the bottom k with
 k = n - ceil(t n) + 1. Two sets with a similarity of t or more always share a value of their sketches,
-because both are prefixes under one order. Equal sets are folded into classes first. The
-inverted lists of sketch values then give candidates in two steps: every member with the first
-of its list, and, between documents not yet connected, members with members. Overlap of the
-sketches estimates the similarity and filters; exact Jaccard on full sets confirms.
+because both are prefixes under one order. Equal sets are folded into classes first, and one member
+stands for its class.
 
-Lists up to WHOLE members are paired completely. Longer lists are dealt at random (by member and
-value) into cells of about CELL members, where each member meets the first and its FEW neighbours in
-order of size; a group of near copies shares many lists and is dealt anew in each of them.
+1. Inverted lists of the sketch values. A member is held against the first of the lists that it meets
+   most often; this joins most groups of near copies without pairs.
+2. Lists of up to WHOLE members: all members still apart are candidates. The overlap of the sketches
+   estimates the similarity; a candidate goes only where so small an overlap has a chance below 1e-12.
+3. Longer lists whose members are still apart: the hash range is cut into more parts than a pair of that
+   size may have differences, so that a similar pair agrees in one whole part. Members of equal parts
+   are candidates, filtered by the same estimate. No list is cut and no partner is dropped.
 
-Null texts and texts without words have empty sets, linked with nothing, and stay. Repeated ids
-count as one document whose rows share a component.
+Every candidate is confirmed on full sets. Null texts and texts without words have empty sets, linked
+with nothing, and stay. Rows of one repeated id are linked with each other; a null id never links.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
+import string
 import uuid
+from bisect import bisect_right
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..operators.matching import components
 from ..session import ensure_checkpoint_dir, settle
-from .text import SPACE_WORD, grams, lower_ascii, words
 
-WHOLE, CELL, FEW, SALTS, SMALL = 32, 256, 4, 16, 1_000_000
+WHOLE, SALTS, SMALL, CROWD = 32, 16, 500_000, 64
+LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of all windows of `size` words; fewer words are one window."""
+    # words are runs without ASCII white space, which bytes.split() knows as such
+    terms = (text or "").encode().translate(LOWER).split()
+    if not terms:
+        return np.zeros(0, dtype=np.int64)
+    h = pd.util.hash_array(np.asarray(terms, dtype=object), categorize=False)
+    n = max(1, len(h) - size + 1)
+    mixed = np.full(n, min(size, len(h)), dtype=np.uint64)
+    for i in range(min(size, len(h))):
+        mixed = mixed * MIX + h[i:i + n]
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(32)
+    return np.unique(mixed.view(np.int64))
+
+
+def lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *arrays])))
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that the sets of long texts do not pile up."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def with_sets(df: DataFrame, size: int) -> DataFrame:
+    """The column text is replaced by s, the shingle set."""
+    rest = [c for c in df.columns if c != "text"]
+
+    def run(batches):
+        for b in pieces(batches, 32):
+            got = lists([shingle_set(t, size) for t in b.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], got], names=[*rest, "s"])
+
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest)
+    return df.mapInArrow(run, f"{schema}, s array<bigint>")
+
+
+def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, n, digest (g1, g2) of the set, sketch; one row per input row."""
+    def run(batches):
+        for b in pieces(batches):
+            n, g1, g2, low = [], [], [], []
+            for text in b.column("text").to_pylist():
+                s = shingle_set(text, size)
+                a, c = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype="<i8")
+                n.append(len(s))
+                g1.append(int(a))
+                g2.append(int(c))
+                low.append(s[:len(s) + (-len(s) * percent // 100) + 1] if len(s) else s)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(g1, pa.int64()), pa.array(g2, pa.int64()), lists(low)],
+                                             names=["doc_id", "n", "g1", "g2", "sketch"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, g1 bigint, g2 bigint, sketch array<bigint>")
+
 
+def size_bounds(percent: int, top: int = 1 << 40) -> list[int]:
+    """Least sizes of the classes: a partner that is similar lies in the same class or the next."""
+    out = [1]
+    while out[-1] < top:
+        out.append(out[-1] * 100 // percent + 1)
+    return out
 
-def shingles(text: Column, size: int) -> Column:
-    """Sorted distinct hashes of all windows of `size` words."""
-    return F.array_sort(F.array_distinct(F.transform(grams(words(lower_ascii(text), SPACE_WORD), size), lambda x: F.xxhash64(x))))
+
+def n_parts(smallest: int, percent: int, bounds: list[int]) -> tuple[int, int]:
+    """Parts of the hash range for a size class, and the most parts in which a similar pair can differ."""
+    big = bounds[smallest + 1] - 1
+    apart = (100 - percent) * (big + big * 100 // percent) // (100 + percent)
+    return apart + 3 + apart // 16, apart
+
+
+def part_keys(s: np.ndarray, percent: int, bounds: list[int]) -> list[tuple[int, int]]:
+    """(key, size class) of the parts of one set, as the smaller and as the larger of a pair.
+
+    Empty parts are named only by sets with so many of them that all equal parts could be empty.
+    """
+    out = []
+    own = bisect_right(bounds, len(s)) - 1
+    for kind in {own, max(0, own - 1)}:
+        parts, apart = n_parts(kind, percent, bounds)
+        at = ((s.view(np.uint64) >> np.uint64(33)) * np.uint64(parts)) >> np.uint64(31)
+        order = np.argsort(at, kind="stable")
+        full, first = np.unique(at[order], return_index=True)
+        mixed = np.bitwise_xor.reduceat((s.view(np.uint64) * MIX)[order], first)
+        key = (mixed ^ (full.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(kind))) * MIX
+        out += [(k, kind) for k in key.view(np.int64).tolist()]
+        if parts - len(full) >= parts - apart:
+            out += [(p, -1 - kind) for p in sorted(set(range(parts)) - set(full.tolist()))]
+    return out
+
+
+def parts_of(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """node, key, kind of (node, text)."""
+    bounds = size_bounds(percent)
+
+    def run(batches):
+        for b in pieces(batches, 64):
+            node, key, kind = [], [], []
+            for i, text in zip(b.column("node").to_pylist(), b.column("text").to_pylist()):
+                got = part_keys(shingle_set(text, size), percent, bounds)
+                node += [i] * len(got)
+                key += [k for k, _ in got]
+                kind += [c for _, c in got]
+            yield pa.RecordBatch.from_arrays([pa.array(node, b.column("node").type), pa.array(key, pa.int64()), pa.array(kind, pa.int32())], names=["node", "key", "kind"])
+
+    return rows.select("node", "text").mapInArrow(run, f"node {rows.schema['node'].dataType.simpleString()}, key bigint, kind int")
+
+
+def needed(k: Column, percent: int) -> Column:
+    """Least overlap of two sketches, the smaller of k values: less has a chance below 1e-12 for a similar pair."""
+    p, out = percent / 100 - 0.05, F.lit(1)
+    for q in (0.1, 0.2, 0.3, 0.4, 0.5):
+        bits = q * math.log(q / p) + (1 - q) * math.log((1 - q) / (1 - p))
+        out = F.when(k >= math.ceil(27.6 / bits), F.floor(k * q).cast("int")).otherwise(out)
+    return out
+
+
+def bounded(rows: DataFrame) -> DataFrame:
+    """Broadcast up to SMALL rows (some 20 MB); beyond it the join shuffles."""
+    return F.broadcast(rows) if rows.count() <= SMALL else rows
 
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the similarity.
+    """Distinct pairs (a, b) whose full sets reach the similarity.
 
-    The ids asked for are broadcast up to SMALL (8 MB) so that texts need no shuffle; beyond it they are joined by one.
+    Sets meet at a; an a with many partners is split into cells of about CROWD partners.
     """
-    pairs = settle(pairs)
-    ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    if ids.count() <= SMALL:
-        ids = F.broadcast(ids)
-    sets = docs.join(ids, "doc_id", "left_semi").select("doc_id", shingles(F.col("text"), size).alias("s")).dropDuplicates(["doc_id"])
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    crowd = pairs.groupBy("a").agg(F.ceil(F.count("*") / CROWD).alias("cells"))
+    dealt = kept_table(pairs.join(crowd, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("cells")).alias("cell")))
+    text = docs.select("doc_id", "text")
+    members = with_sets(text.join(bounded(dealt.withColumnRenamed("b", "doc_id")), "doc_id").select("a", "cell", F.col("doc_id").alias("b"), "text"), size)
+    heads = kept_table(dealt.select(F.col("a").alias("doc_id"), "cell").distinct())
+    heads = with_sets(text.join(bounded(heads), "doc_id").select(F.col("doc_id").alias("a"), "cell", "text"), size).withColumnRenamed("s", "sa")
+    both = members.join(heads, ["a", "cell"])
+    common = F.size(F.array_intersect("sa", "s"))
+    return kept_table(both.where(100 * common >= percent * (F.size("sa") + F.size("s") - common)).select("a", "b").distinct())
 
 
 def kept_table(df: DataFrame) -> DataFrame:
@@ -56,69 +190,79 @@ def kept_table(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/lists-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def close_sizes(a: Column, b: Column, percent: int) -> Column:
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
 def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row per input row."""
-    one = docs.select("doc_id", shingles(F.col("text"), size).alias("s"))
-    n = F.size("s")
-    base = settle(one.select("doc_id", n.cast("bigint").alias("n"), F.xxhash64("s").alias("g1"), F.hash("s").alias("g2"),
-                             F.slice("s", 1, n - F.ceil(n * percent / 100).cast("int") + 1).alias("sketch")))
+    base = kept_table(sketches(docs, size, percent))
     # classes of equal sets
-    full = base.where("n > 0")
+    full = base.where("n > 0 and doc_id is not null")
     group = ["n", "g1", "g2"]
-    first = full.groupBy(*group).agg(F.min("doc_id").alias("cid"), F.count("*").alias("rows"))
+    first = kept_table(full.groupBy(*group).agg(F.min("doc_id").alias("cid"), F.count("*").alias("rows")))
     many = first.where("rows > 1").drop("rows").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     member = base.drop("sketch").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(many, [*group, "salt"], "left")
-    member = settle(member.select("doc_id", "n", F.coalesce("cid", "doc_id").alias("node")))
-    classes = full.select("doc_id", "n", "sketch").dropDuplicates(["doc_id"]).join(first.select(F.col("cid").alias("doc_id")), "doc_id", "left_semi")
-    # inverted lists of at least two members
-    post = classes.select(F.col("doc_id").alias("node"), "n", F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
-    length = post.groupBy("v").agg(F.count("*").alias("len")).where("len > 1")
-    post = post.join(length, "v")
-    cells = F.when(F.col("len") > CELL, F.ceil(F.col("len") / CELL)).otherwise(1)
-    post = kept_table(post.withColumn("cell", F.pmod(F.xxhash64("node", "v"), cells).cast("int")))
-    here = W.partitionBy("v", "cell")
-    # step 1: with the first of the list
-    star = post.select("n", F.col("node").alias("b"), F.min(F.struct("node", "n")).over(here).alias("m"))
-    star = star.select(F.col("m.node").alias("a"), "b", F.col("m.n").alias("na"), F.col("n").alias("nb")).where("a <> b")
-    star = star.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).groupBy("a", "b").agg(F.count("*").alias("lists"))
-    star = settle(star)
-    # of all firsts of its lists, a member is first held against the one it meets most often
-    best = star.groupBy("b").agg(F.max(F.struct("lists", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b")
-    links = settle(verified(best, docs, size, percent))
-    nodes = settle(classes.select(F.col("doc_id").alias("node")))
-    label = settle(components(nodes, links.select(F.col("a").alias("node"), F.col("b").alias("other")), []))
-    # step 2: members of one list that are still apart
-    open_ = post.join(label, "node")
-    mixed = open_.groupBy("v", "cell").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").drop("mixed")
-    open_ = open_.join(mixed, ["v", "cell"])
+    member = kept_table(member.select("doc_id", "n", F.coalesce("cid", "doc_id").alias("node")))
+    classes = full.join(first.select(F.col("cid").alias("doc_id"), *group), ["doc_id", *group], "left_semi").select(F.col("doc_id").alias("node"), "n", "sketch")
+    # inverted lists of at least two members, with their first
+    post = classes.select("node", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
+    head = post.groupBy("v").agg(F.count("*").alias("len"), F.min(F.struct("node", "n")).alias("head")).where("len > 1")
+    post = kept_table(post.join(head, "v"))
+    # step 1: with the first that a member meets most often
+    star = post.where((F.col("node") != F.col("head.node")) & close_sizes(F.col("n"), F.col("head.n"), percent))
+    star = star.groupBy(F.col("head.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("met"), F.max("k").alias("k")).where("4 * met >= k")
+    star = kept_table(star.groupBy("b").agg(F.max(F.struct("met", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b"))
+    links = verified(star, docs, size, percent)
+    # rows of one id with different sets
+    twice = member.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    same_id = member.where("n > 0").join(twice, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    nodes = kept_table(classes.select("node").union(same_id.select("a")).union(same_id.select("b")).distinct())
+    edges = links.union(same_id).select(F.col("a").alias("node"), F.col("b").alias("other"))
+    label = kept_table(components(nodes, edges, []))
+    # members of one list that are still apart
+    open_ = post.select("v", "node", "n", "k", "len").join(label, "node")
+    mixed = open_.groupBy("v").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").select("v")
+    open_ = kept_table(open_.join(mixed, "v", "left_semi"))
+    crowded = kept_table(open_.where(F.col("len") > WHOLE).groupBy("node").agg(F.count("*").alias("crowded"), F.first("n").alias("n"), F.first("component").alias("component")))
+    # step 2: short lists; values of long lists may all be shared too
     row = F.struct("node", "n", "k", "component")
-    order = here.orderBy("n", "node")
-    before = F.when(F.col("len") <= WHOLE, F.collect_list(row).over(order.rowsBetween(-WHOLE, -1))).otherwise(
-        F.collect_list(row).over(order.rowsBetween(-FEW, -1)))
-    pair = open_.select("node", "n", "k", "component", (F.col("len") <= WHOLE).alias("whole"), before.alias("before"))
-    pair = pair.withColumn("o", F.explode("before"))
-    pair = pair.where((F.col("component") != F.col("o.component")) & (100 * F.col("o.n") >= percent * F.col("n")))
-    pair = pair.groupBy(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).agg(
-        F.count("*").alias("shared"), F.first(F.least("k", "o.k")).alias("k"), F.min("whole").alias("whole"))
-    pair = pair.where(~F.col("whole") | (F.col("shared") >= F.greatest(F.lit(1), F.floor(F.col("k") / 4)))).select("a", "b")
-    # in longer lists the other firsts are held against their members here
-    apart = star.select("a", "b").join(label.toDF("a", "ca"), "a").join(label.toDF("b", "cb"), "b").where("ca <> cb")
-    long_ = open_.where(F.col("len") > WHOLE).select(F.col("node").alias("b")).distinct()
-    pair = pair.unionByName(apart.join(long_, "b", "left_semi").select("a", "b")).distinct()
-    links = links.unionByName(verified(pair.join(links, ["a", "b"], "left_anti"), docs, size, percent))
-    label = components(nodes, links.select(F.col("a").alias("node"), F.col("b").alias("other")), [])
-    label = settle(label)
-    many = label.join(first.where("rows > 1").select(F.col("cid").alias("node")), "node", "left_semi")
-    alone = label.where("component <> node").unionByName(many).distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    out = member.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(alone, ["node", "salt"], "left")
+    before = F.collect_list(row).over(W.partitionBy("v").orderBy("node").rowsBetween(-WHOLE, -1))
+    pair = open_.where(F.col("len") <= WHOLE).select("node", "n", "k", "component", before.alias("before")).withColumn("o", F.explode("before"))
+    pair = pair.where((F.col("component") != F.col("o.component")) & close_sizes(F.col("n"), F.col("o.n"), percent))
+    pair = pair.groupBy(F.col("o.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared"), F.max(F.least("k", "o.k")).alias("k"))
+    for side in ("a", "b"):
+        pair = pair.join(crowded.select(F.col("node").alias(side), F.col("crowded").alias(f"more_{side}")), side, "left")
+    more = F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_b", F.lit(0)))
+    pair = pair.where(F.col("shared") + more >= needed(F.col("k"), percent)).select("a", "b")
+    # step 3: long lists, by equal parts of the hash range
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(bounded(crowded.select("node")), "node", "left_semi")
+    part = kept_table(parts_of(texts, size, percent).distinct().join(crowded.select("node", "n", "component"), "node"))
+    apart = part.groupBy("key", "kind").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").select("key", "kind")
+    part = part.join(apart, ["key", "kind"], "left_semi")
+    other = part.select("key", "kind", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("c"))
+    met = part.join(other, ["key", "kind"]).where((F.col("node") < F.col("other")) & (F.col("component") != F.col("c")) & close_sizes(F.col("n"), F.col("m"), percent))
+    met = met.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+    low = classes.join(crowded.select("node"), "node", "left_semi").select("node", F.col("sketch"))
+    met = met.join(low.toDF("a", "la"), "a").join(low.toDF("b", "lb"), "b")
+    met = met.where(F.size(F.array_intersect("la", "lb")) >= needed(F.least(F.size("la"), F.size("lb")), percent)).select("a", "b")
+    more_links = verified(kept_table(pair.union(met).distinct()), docs, size, percent)
+    # components of components
+    joined = more_links.join(label.toDF("a", "node"), "a").join(label.toDF("b", "other"), "b").select("node", "other").distinct()
+    joined = kept_table(joined.where("node <> other"))
+    upper = components(joined.select("node").union(joined.select("other")).distinct(), joined, []).toDF("component", "upper")
+    label = kept_table(label.join(upper, "component", "left").select("node", F.coalesce("upper", "component").alias("component")))
+    # only labels that differ from the node are asked for; a hot class is salted
+    moved = label.where("component <> node").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = member.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(moved, ["node", "salt"], "left")
     comp = F.coalesce("component", "node")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), (F.col("doc_id") == comp).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
 
 
 def drop_similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One document (the smallest id) of each component; all columns stay."""
-    kept = similar_components(docs, size, percent).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """One document (the smallest id) of each component; all columns stay, and so do rows with a null id."""
+    gone = similar_components(docs, size, percent).where("not kept and doc_id is not null").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti")

@@ -9,9 +9,10 @@ stands for its class.
    most often; this joins most groups of near copies without pairs.
 2. Lists of up to WHOLE members: all members still apart are candidates. The overlap of the sketches
    estimates the similarity; a candidate goes only where so small an overlap has a chance below 1e-12.
-3. Longer lists whose members are still apart: the hash range is cut into more parts than a pair of that
-   size may have differences, so that a similar pair agrees in one whole part. Members of equal parts
-   are candidates, filtered by the same estimate. No list is cut and no partner is dropped.
+3. Members of longer lists that are still apart get a second sketch of the same size, in which rare
+   shingles (by counts in 2**BITS hash buckets) come first. Under any one order similar sets share a value of
+   their prefixes, so this loses no link; common passages no longer fill the lists. Members of one list are
+   candidates if what follows the value in both could hold the overlap, filtered by the same estimate. No list is cut and no partner is dropped.
 
 Every candidate is confirmed on full sets. Null texts and texts without words have empty sets, linked
 with nothing, and stay. Rows of one repeated id are linked with each other; a null id never links.
@@ -23,12 +24,12 @@ import hashlib
 import math
 import string
 import uuid
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -36,7 +37,7 @@ from pyspark.sql import Window as W
 from ..operators.matching import components
 from ..session import ensure_checkpoint_dir, settle
 
-WHOLE, SALTS, SMALL, CROWD = 32, 16, 500_000, 64
+WHOLE, SALTS, SMALL, CROWD, BITS = 32, 16, 500_000, 64, 18
 LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -102,56 +103,49 @@ def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, g1 bigint, g2 bigint, sketch array<bigint>")
 
 
-def size_bounds(percent: int, top: int = 1 << 40) -> list[int]:
-    """Least sizes of the classes: a partner that is similar lies in the same class or the next."""
-    out = [1]
-    while out[-1] < top:
-        out.append(out[-1] * 100 // percent + 1)
-    return out
+def frequencies(rows: DataFrame, size: int) -> np.ndarray:
+    """Shingle counts of (text) rows in 2**BITS buckets of the hash: a fixed 2 MB, whatever the input."""
+    def run(batches):
+        total = np.zeros(1 << BITS, dtype=np.int64)
+        for b in pieces(batches):
+            for text in b.column("text").to_pylist():
+                at, n = np.unique(bucket(shingle_set(text, size)), return_counts=True)
+                total[at] += n
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["bucket", "n"])
 
+    table = np.zeros(1 << BITS, dtype=np.int64)
+    got = rows.select("text").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    table[got["bucket"].to_numpy()] = got["n"].to_numpy()
+    return table
 
-def n_parts(smallest: int, percent: int, bounds: list[int]) -> tuple[int, int]:
-    """Parts of the hash range for a size class, and the most parts in which a similar pair can differ."""
-    big = bounds[smallest + 1] - 1
-    apart = (100 - percent) * (big + big * 100 // percent) // (100 + percent)
-    return apart + 3 + apart // 16, apart
 
+def bucket(s: np.ndarray) -> np.ndarray:
+    return ((s.view(np.uint64) * MIX) >> np.uint64(64 - BITS)).astype(np.int64)
 
-def part_keys(s: np.ndarray, percent: int, bounds: list[int]) -> list[tuple[int, int]]:
-    """(key, size class) of the parts of one set, as the smaller and as the larger of a pair.
 
-    Empty parts are named only by sets with so many of them that all equal parts could be empty.
-    """
-    out = []
-    own = bisect_right(bounds, len(s)) - 1
-    for kind in {own, max(0, own - 1)}:
-        parts, apart = n_parts(kind, percent, bounds)
-        at = ((s.view(np.uint64) >> np.uint64(33)) * np.uint64(parts)) >> np.uint64(31)
-        order = np.argsort(at, kind="stable")
-        full, first = np.unique(at[order], return_index=True)
-        mixed = np.bitwise_xor.reduceat((s.view(np.uint64) * MIX)[order], first)
-        key = (mixed ^ (full.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(kind))) * MIX
-        out += [(k, kind) for k in key.view(np.int64).tolist()]
-        if parts - len(full) >= parts - apart:
-            out += [(p, -1 - kind) for p in sorted(set(range(parts)) - set(full.tolist()))]
-    return out
+def rare_first(s: np.ndarray, table: np.ndarray, percent: int) -> np.ndarray:
+    """As many values as the sketch has, those of the rarest buckets first."""
+    if not len(s):
+        return s
+    k = len(s) + (-len(s) * percent // 100) + 1
+    return s[np.lexsort((s, table[bucket(s)]))[:k]]
 
 
-def parts_of(rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """node, key, kind of (node, text)."""
-    bounds = size_bounds(percent)
+def rare_values(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """node, n, v, at: the second sketch of (node, text), with the place of each shingle in order of frequency."""
+    shared = rows.sparkSession.sparkContext.broadcast(frequencies(rows, size))
 
     def run(batches):
         for b in pieces(batches, 64):
-            node, key, kind = [], [], []
-            for i, text in zip(b.column("node").to_pylist(), b.column("text").to_pylist()):
-                got = part_keys(shingle_set(text, size), percent, bounds)
-                node += [i] * len(got)
-                key += [k for k, _ in got]
-                kind += [c for _, c in got]
-            yield pa.RecordBatch.from_arrays([pa.array(node, b.column("node").type), pa.array(key, pa.int64()), pa.array(kind, pa.int32())], names=["node", "key", "kind"])
+            sets = [shingle_set(t, size) for t in b.column("text").to_pylist()]
+            got = [rare_first(x, shared.value, percent) for x in sets]
+            row = np.repeat(np.arange(len(got)), [len(x) for x in got])
+            at = np.concatenate([np.zeros(0, dtype=np.int64), *[np.arange(len(x)) for x in got]])
+            n = np.array([len(x) for x in sets], dtype=np.int64)[row]
+            yield pa.RecordBatch.from_arrays([pc.take(b.column("node"), pa.array(row)), pa.array(n), lists(got).flatten(), pa.array(at)], names=["node", "n", "v", "at"])
 
-    return rows.select("node", "text").mapInArrow(run, f"node {rows.schema['node'].dataType.simpleString()}, key bigint, kind int")
+    return rows.select("node", "text").mapInArrow(run, f"node {rows.schema['node'].dataType.simpleString()}, n bigint, v bigint, at bigint")
 
 
 def needed(k: Column, percent: int) -> Column:
@@ -238,13 +232,15 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
         pair = pair.join(crowded.select(F.col("node").alias(side), F.col("crowded").alias(f"more_{side}")), side, "left")
     more = F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_b", F.lit(0)))
     pair = pair.where(F.col("shared") + more >= needed(F.col("k"), percent)).select("a", "b")
-    # step 3: long lists, by equal parts of the hash range
+    # step 3: long lists, by rare values
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(bounded(crowded.select("node")), "node", "left_semi")
-    part = kept_table(parts_of(texts, size, percent).distinct().join(crowded.select("node", "n", "component"), "node"))
-    apart = part.groupBy("key", "kind").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").select("key", "kind")
-    part = part.join(apart, ["key", "kind"], "left_semi")
-    other = part.select("key", "kind", F.col("node").alias("other"), F.col("n").alias("m"), F.col("component").alias("c"))
-    met = part.join(other, ["key", "kind"]).where((F.col("node") < F.col("other")) & (F.col("component") != F.col("c")) & close_sizes(F.col("n"), F.col("m"), percent))
+    rare = kept_table(rare_values(texts, size, percent).join(bounded(crowded.select("node", "component")), "node"))
+    apart = rare.groupBy("v").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").select("v")
+    rare = rare.join(apart, "v", "left_semi")
+    other = rare.select("v", F.col("node").alias("other"), F.col("n").alias("m"), F.col("at").alias("place"), F.col("component").alias("c"))
+    # at the first value that a similar pair shares, what follows in both holds the whole overlap
+    room = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("place"))
+    met = rare.join(other, "v").where((F.col("node") < F.col("other")) & (F.col("component") != F.col("c")) & ((100 + percent) * room >= percent * (F.col("n") + F.col("m"))))
     met = met.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
     low = classes.join(crowded.select("node"), "node", "left_semi").select("node", F.col("sketch"))
     met = met.join(low.toDF("a", "la"), "a").join(low.toDF("b", "lb"), "b")

@@ -1,4 +1,4 @@
-"""Near-duplicates in long lists against brute force, and the guarantee of equal parts."""
+"""Near-duplicates in long lists against brute force, and the guarantee of the second sketch."""
 
 import random
 
@@ -27,8 +27,9 @@ def brute(rows, size, percent):
 
 
 @pytest.mark.parametrize("percent", [80, 85])
-def test_similar_sets_share_a_part(percent):
-    rng, bounds = np.random.default_rng(5), near.size_bounds(percent)
+def test_similar_sets_share_a_rare_value(percent):
+    rng = np.random.default_rng(5)
+    table = rng.integers(0, 9, 1 << near.BITS)
     for n in (1, 2, 5, 7, 13, 40, 200, 900):
         for _ in range(30):
             a = rng.integers(-2**63, 2**63 - 1, n, dtype=np.int64)
@@ -36,8 +37,8 @@ def test_similar_sets_share_a_part(percent):
             b = np.concatenate([a[cut:], rng.integers(-2**63, 2**63 - 1, int(rng.integers(0, n // 5 + 1)), dtype=np.int64)])
             both = len(set(a.tolist()) & set(b.tolist()))
             if both and 100 * both >= percent * (len(a) + len(b) - both):
-                keys = [set(near.part_keys(np.unique(x), percent, bounds)) for x in (a, b)]
-                assert keys[0] & keys[1], (len(a), len(b), both)
+                low = [set(near.rare_first(np.unique(x), table, percent).tolist()) for x in (a, b)]
+                assert low[0] & low[1], (len(a), len(b), both)
 
 
 def test_long_lists(spark):

@@ -311,10 +311,12 @@ def lookup_one_near(left, right, keys, x: str, right_id: str, tolerance: int) ->
     probe = left.withColumn("__x0", F.col(x)).withColumn("__d", F.explode(steps)).withColumn(x, F.col(x) + F.col("__d"))
     hit = probe.join(r, [*keys, x], "left")
     group = [c for c in left.columns if c != x]
-    return hit.groupBy(*group, F.col("__x0").alias(x)).agg(
-        F.coalesce(F.sum("__n"), F.lit(0)).alias("matches"),
-        F.when(F.coalesce(F.sum("__n"), F.lit(0)) == 1, F.min("__id")).alias(right_id),
-    )
+    # equal left rows are counted and come back as rows of their own
+    copies = (F.count(F.lit(1)) / (2 * tolerance + 1)).cast("bigint")
+    found = hit.groupBy(*[c for c in group if c != "__x0"], F.col("__x0").alias(x)).agg(
+        copies.alias("__copies"), (F.coalesce(F.sum("__n"), F.lit(0)) / copies).cast("bigint").alias("matches"), F.min("__id").alias(right_id))
+    found = found.withColumn(right_id, F.when(F.col("matches") == 1, F.col(right_id)))
+    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).drop("__copy", "__copies")
 
 
 # JN-14 -----------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -348,7 +349,7 @@ def allocate_groups(groups: DataFrame, chords: DataFrame, page_w: float, wrong_s
     the one-by-one order.
     """
     reach = page_w * 0.12
-    step = max(1, int(reach))
+    step = max(1, math.ceil(reach))
     g = groups.withColumns({"__bx": F.sort_array("boxes"), "__n": F.size("boxes"), "__ord": F.struct("system", "x", "y", "group_id")})
     g = g.withColumn("__cell", F.explode(F.array(*[(F.floor(F.col("x") / step) + i).cast("bigint") for i in (-1, 0, 1)])))
     c = chords.withColumns({"__nt": F.sort_array("notes"), "__cell": F.floor(F.col("x") / step).cast("bigint")}).select(

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .dyadic import place, shr
+from .dyadic import _inside, place, shr
 from .pick import smallest
 from .scan import Fold, cell_of, scan, stack
 
@@ -103,7 +103,8 @@ def nearest_l1(left: DataFrame, right: DataFrame, keys, left_id: str, right_id:
                axes: Sequence[Axis] = (), width: int | None = None, out="near") -> DataFrame:
     """Nearest right row per left row under wx*|dx| + sum of weight*|d axis| (+ extras).
 
-    Coordinates are integer ticks, so costs are exact; ties go to the smaller right id.
+    Coordinates are integer ticks, so costs are exact; ties go to the smaller right id. A coordinate
+    of a further axis outside [0, 2**bits) raises.
     Returns keys, left_id and struct out(cost, id) for left rows that have a right row.
     """
     keys = list(keys)
@@ -113,13 +114,13 @@ def nearest_l1(left: DataFrame, right: DataFrame, keys, left_id: str, right_id:
     weights = [weight(wx).alias("__wx"), *[weight(a.weight).alias(f"__wy{i}") for i, a in enumerate(axes)]]
     wnames = ["__wx", *[f"__wy{i}" for i in range(len(axes))]]
     l = left.select(*keys, *weights, F.col(left_id).alias("__id"), F.col(lx).cast("bigint").alias("__x"),
-                    *[F.col(a.left).cast("bigint").alias(f"__y{i}") for i, a in enumerate(axes)],
+                    *[_inside(F.col(a.left), a.bits).alias(f"__y{i}") for i, a in enumerate(axes)],
                     *[(e if e is not None else F.lit(0)).cast("bigint").alias(f"__e{i}_{s}")
                       for i, a in enumerate(axes) for s, e in ((0, a.low_extra), (1, a.high_extra))],
                     *[(a.equal_is_low if a.equal_is_low is not None else F.lit(True)).alias(f"__q{i}")
                       for i, a in enumerate(axes)])
     r = right.select(*keys, *weights, F.col(right_id).alias("__id"), F.col(rx).cast("bigint").alias("__x"),
-                     *[F.col(a.right).cast("bigint").alias(f"__y{i}") for i, a in enumerate(axes)])
+                     *[_inside(F.col(a.right), a.bits).alias(f"__y{i}") for i, a in enumerate(axes)])
     r = r.groupBy(*keys, *wnames, "__x", *[f"__y{i}" for i in range(len(axes))]).agg(F.min("__id").alias("__id"))
     lw, rw = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
     extra = F.lit(0).cast("bigint")

@@ -45,10 +45,10 @@ def pair_ties(df: DataFrame, keys, order, row_id: str, voice: str, kind: str = "
 
     Where a key has one voice this is plain last-in-first-out and runs as windows. Keys with
     several voices depend on every earlier choice; they run as a state machine that reads
-    sorted partitions row by row and keeps the open starts only.
+    sorted partitions row by row and keeps the open starts only. Unknown (NULL) voices are one voice.
     """
     keys, order = list(keys), list(order)
-    solo = df.groupBy(*keys).agg((F.min(voice) != F.max(voice)).alias("__mixed"))
+    solo = df.groupBy(*keys).agg(((F.count_distinct(voice) > 1) | ((F.count(voice) > 0) & (F.count(voice) < F.count(F.lit(1))))).alias("__mixed"))
     d = df.join(solo, keys)
     simple = pair_lifo(d.where(~F.col("__mixed")), keys, order, row_id, kind, cells)
     names = {"stop_without_start": "tie_stop_without_start", "start_without_stop": "tie_start_without_stop"}
@@ -76,7 +76,7 @@ def pair_ties(df: DataFrame, keys, order, row_id: str, voice: str, kind: str = "
                 if kd == "start":
                     open_.append((rid, v))
                     continue
-                same = [i for i, (_, w) in enumerate(open_) if w == v]
+                same = [i for i, (_, w) in enumerate(open_) if w == v or (pd.isna(w) and pd.isna(v))]
                 at = same[-1] if same else 0 if len(open_) == 1 else None
                 if at is not None:
                     rows.append((*key, open_.pop(at)[0], rid, "paired"))

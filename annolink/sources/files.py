@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -58,10 +59,14 @@ def read_positional_csv(spark: SparkSession, path, ddl: str, sep: str = ";", id_
     """Delimited tables whose key is the zero-based row position inside the file."""
     raw = spark.read.text(path, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias(group), F.regexp_replace("value", "^﻿", "").alias("__t"))
     d = _lines(raw, "__t").where(F.trim("line") != "")
+    # blank lines do not count as rows
+    d = d.withColumn("line_no", F.row_number().over(Window.partitionBy(group).orderBy("line_no")))
     head = d.where("line_no = 1").select(group, F.split("line", sep).alias("__h"))
     body = d.where("line_no > 1").join(head, group)
+    # a separator inside quotes does not split; doubled quotes stand for one
+    outside = re.escape(sep) + r'(?=(?:[^"]*"[^"]*")*[^"]*$)'
     cells = F.map_from_arrays(F.transform("__h", lambda h: F.trim(F.regexp_replace(h, '^"|"$', ""))), F.slice(F.concat(
-        F.transform(F.split("line", sep), lambda c: F.regexp_replace(c, '^"|"$', "")), F.array_repeat(F.lit(None).cast("string"), F.size("__h"))), F.lit(1), F.size("__h")))
+        F.transform(F.split("line", outside, -1), lambda c: F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))), F.array_repeat(F.lit(None).cast("string"), F.size("__h"))), F.lit(1), F.size("__h")))
     fields = [f.strip().split(" ", 1) for f in ddl.split(",")]
     body = body.withColumn("__m", cells)
     return body.select(group, (F.col("line_no") - 2).cast("bigint").alias(id_col), *[F.try_element_at("__m", F.lit(n)).try_cast(ty).alias(n) for n, ty in fields if n != id_col])

@@ -1,16 +1,24 @@
 """Repeated passages from a sparse suffix array.
 
-Suffixes are retained at minimiser positions only: the place of the least hash of GRAM words among WINDOW
-neighbouring places. Two equal passages have the same minimisers, and a passage of MIN_WORDS words has
-one in its first WINDOW places, so at least SEED words of it follow. Suffixes are sorted over the cluster
-(range partitions by suffix, document and place, so that a passage of a third of all rows is spread), neighbours
-are compared, and matches are extended left and right through the words carried with each suffix.
-A passage counts if at least MIN_WORDS words are equal. Words are compared by 32-bit (seed) and
-16-bit (extension) hashes. Null and empty texts have no words; repeated ids are places of one document.
+A word is repeated if it lies in a window of MIN_WORDS words that occurs at two places or more. Each window
+belongs to its minimiser, the place of the least hash of GRAM words among its first WINDOW places; equal
+windows have the same one, and at least SEED words of the window follow it. A suffix is kept at each
+minimiser, with exactly the words of the windows that belong to it.
+
+1. Suffixes are sorted over the cluster (range partitions by suffix, prior words, document and place, so that a
+   passage of a third of all rows is spread). The longer of the common prefixes with both neighbours is the
+   longest with any suffix, so it tells which windows can be repeated at all. A row that equals its neighbour in
+   all words is repeated as a whole; one row of such a run stands for its words in step 2.
+2. Hashes of the windows that can be repeated are sorted in the same way; equal neighbours are repeated windows,
+   whatever stands to the left or right of them.
+
+Words are compared by 32-bit (seed) and 16-bit (extension) hashes, windows by 64-bit hashes of these. Null and
+empty texts have no words; repeated ids are places of one document, and equal rows of one id repeat each other.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,20 +33,18 @@ from .text import ITEM_WORD, lower_ascii, words
 GRAM, WINDOW, SEED, MIN_WORDS = 8, 24, 28, 51
 
 
-def minimisers(h: np.ndarray) -> np.ndarray:
-    """Places of the least gram hash in each window of places."""
+def minimisers(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Minimisers of all windows of MIN_WORDS words, and the first and last start of the windows of each."""
     n = len(h) - GRAM + 1
-    if n < 1:
-        return np.zeros(0, dtype=np.int64)
     mix = np.zeros(n, dtype=np.uint64)
     for i in range(GRAM):
         mix = mix * np.uint64(0x9E3779B97F4A7C15) + h[i:i + n]
     mix ^= mix >> np.uint64(29)
     mix *= np.uint64(0xBF58476D1CE4E5B9)
-    if n <= WINDOW:
-        return np.array([int(mix.argmin())])
-    view = np.lib.stride_tricks.sliding_window_view(mix, WINDOW)
-    return np.unique(view.argmin(axis=1) + np.arange(len(view)))
+    view = np.lib.stride_tricks.sliding_window_view(mix, WINDOW)[:len(h) - MIN_WORDS + 1]
+    # places never fall, so the windows of one minimiser are neighbours
+    place, first, many = np.unique(view.argmin(axis=1) + np.arange(len(view)), return_index=True, return_counts=True)
+    return place, first, first + many - 1
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
@@ -47,65 +53,119 @@ def suffixes(docs: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for key, terms in zip(b["doc_id"], b["w"]):
-                if len(terms) < SEED:
+                if len(terms) < MIN_WORDS:
                     continue
                 h = pd.util.hash_array(np.asarray(terms, dtype=object), categorize=False)
                 seed, rest = (h >> np.uint64(32)).astype(">u4"), (h & np.uint64(0xFFFF)).astype(">u2")
-                for p in minimisers(h).tolist():
-                    if p + SEED <= len(h):
-                        out.append((key, p, seed[p:p + SEED].tobytes() + rest[p + SEED:p + SEED + WINDOW].tobytes(), rest[max(0, p - WINDOW):p][::-1].tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "pos", "suffix", "prior"])
+                for p, first, last in zip(*(x.tolist() for x in minimisers(h))):
+                    out.append((key, p, seed[p:p + SEED].tobytes() + rest[p + SEED:last + MIN_WORDS].tobytes(), rest[first:p][::-1].tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "pos", "suffix", "prior"]).astype({"doc_id": "Int64"})
 
     return docs.select("doc_id", words(lower_ascii(F.col("text")), ITEM_WORD).alias("w")).mapInPandas(run, "doc_id bigint, pos bigint, suffix binary, prior binary")
 
 
-def common(a: bytes, b: bytes, size: int = 2) -> int:
-    """Leading equal units of `size` bytes."""
-    n = min(len(a), len(b)) // size
-    for i in range(n):
-        if a[i * size:(i + 1) * size] != b[i * size:(i + 1) * size]:
-            return i
-    return n
+def reach(a: bytes, b: bytes) -> int:
+    """Leading equal words of two suffixes; 0 if their seeds differ."""
+    cut, n = 4 * SEED, min(len(a), len(b))
+    if a[:cut] != b[:cut]:
+        return 0
+    if a[:n] == b[:n]:
+        return SEED + (n - cut) // 2
+    return SEED + next(i for i in range((n - cut) // 2) if a[cut + 2 * i:cut + 2 * i + 2] != b[cut + 2 * i:cut + 2 * i + 2])
 
 
-def matches(sorted_suffixes: DataFrame) -> DataFrame:
-    """Spans of equal neighbours, and the first and last suffix of each task as edges."""
+def window_keys(suffix: bytes, prior: bytes, right: int) -> Iterator[tuple[int, int]]:
+    """(words before the suffix, hash) of its windows with at most `right` words of it."""
+    cut = 4 * SEED
+    most = SEED + (len(suffix) - cut) // 2
+    for o in range(MIN_WORDS - min(right, most), len(prior) // 2 + 1):
+        content = bytes([o]) + prior[:2 * o] + suffix[:cut + 2 * (MIN_WORDS - SEED - o)]
+        yield o, int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "big", signed=True)
+
+
+FOUND = "doc_id bigint, first bigint, last bigint, key bigint, pos bigint, suffix binary, prior binary, right bigint"
+
+
+def matches(sorted_suffixes: DataFrame, ends: bool) -> DataFrame:
+    """Rows equal to a neighbour as (first, last), windows that can be repeated as (key, first), and the first and
+    last suffix of each task as edges (pos, suffix, prior, right so far). ends: the rows are all edges, in one task."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cols = ["doc_id", "first", "last", "pos", "suffix", "prior"]
-        held, cut = None, 4 * SEED
+        cols = [x.split()[0] for x in FOUND.split(", ")]
+        kinds = {x: "Int64" for x in ("doc_id", "first", "last", "key", "pos", "right")}
+
+        def settled(row, right, twin, edge):
+            if edge and not ends:
+                out.append((row[0], None, None, None, row[1], row[2], row[3], right))
+            elif right and (ends or not twin):
+                out.extend((row[0], row[1] - o, None, key, None, None, None, None) for o, key in window_keys(row[2], row[3], right))
+
+        held, right, twin, edge = None, 0, False, True
         for b in batches:
             out = []
-            for row in zip(b["doc_id"], b["pos"], b["suffix"], b["prior"]):
+            for row in zip(b["doc_id"].astype("Int64"), b["pos"], b["suffix"], b["prior"], b["right"]):
                 if held is None:
-                    out.append((row[0], None, None, row[1], row[2], row[3]))
-                elif held[2][:cut] == row[2][:cut]:
-                    left = common(held[3], row[3])
-                    right = SEED + common(held[2][cut:], row[2][cut:])
-                    if left + right >= MIN_WORDS:
-                        out += [(x[0], x[1] - left, x[1] + right - 1, None, None, None) for x in (held, row)]
-                held = row
-            yield pd.DataFrame(out, columns=cols).astype({"first": "Int64", "last": "Int64", "pos": "Int64"})
+                    held, right = row, row[4]
+                    continue
+                r = reach(held[2], row[2])
+                same = held[2] == row[2] and held[3] == row[3]
+                if same:
+                    out += [(x[0], x[1] - len(x[3]) // 2, x[1] + r - 1, None, None, None, None, None) for x in (held, row)]
+                settled(held, max(right, r), twin, edge)
+                held, right, twin, edge = row, max(r, row[4]), same, False
+            yield pd.DataFrame(out, columns=cols, dtype=object).astype(kinds)
         if held is not None:
-            yield pd.DataFrame([(held[0], None, None, held[1], held[2], held[3])], columns=cols).astype({"first": "Int64", "last": "Int64", "pos": "Int64"})
+            out = []
+            settled(held, right, twin, True)
+            yield pd.DataFrame(out, columns=cols, dtype=object).astype(kinds)
+
+    return sorted_suffixes.mapInPandas(run, FOUND)
 
-    return sorted_suffixes.mapInPandas(run, "doc_id bigint, first bigint, last bigint, pos bigint, suffix binary, prior binary")
+
+def equal_windows(sorted_windows: DataFrame) -> DataFrame:
+    """doc_id, first, key of rows whose key is a neighbour's, and the first and last row of each task as edges."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows = None, 0
+        for b in batches:
+            if not len(b):
+                continue
+            rows += len(b)
+            b = b.astype({"doc_id": "Int64"}).assign(edge=False)
+            if held is None:
+                yield b.iloc[:1].assign(edge=True)
+            else:
+                b = pd.concat([held, b], ignore_index=True)
+            key = b["key"].to_numpy()
+            equal = np.zeros(len(b), dtype=bool)
+            equal[1:] = key[1:] == key[:-1]
+            equal[:-1] |= equal[1:]
+            yield b[equal]
+            held = b.iloc[-1:]
+        if rows > 1:
+            yield held.assign(edge=True)
+
+    return sorted_windows.mapInPandas(run, "doc_id bigint, first bigint, key bigint, edge boolean")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_repeat_words, spans [first, last] of repeated passages; a row per document."""
     parts = max(docs.sparkSession.sparkContext.defaultParallelism * 4, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    order = ["suffix", "doc_id", "pos"]
-    ranked = suffixes(docs).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    found = settle(matches(ranked))
-    # two rows per task: neighbours that lie in different tasks
-    edges = matches(found.where("suffix is not null").select("doc_id", "pos", "suffix", "prior").distinct().repartition(1).sortWithinPartitions(*order))
-    spans = found.where("first is not null").unionByName(edges.where("first is not null")).select("doc_id", "first", "last").distinct()
+    order = ["suffix", "prior", "doc_id", "pos"]
+    ranked = suffixes(docs).withColumn("right", F.lit(0).cast("bigint")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    found = settle(matches(ranked, ends=False))
+    # at most two rows per task: neighbours that lie in different tasks
+    edges = settle(matches(found.where("suffix is not null").select("doc_id", "pos", "suffix", "prior", "right").repartition(1).sortWithinPartitions(*order), ends=True))
+    found = found.where("suffix is null").unionByName(edges)
+    order = ["key", "doc_id", "first"]
+    windows = settle(equal_windows(found.where("key is not null").select("doc_id", "first", "key").repartitionByRange(parts, *order).sortWithinPartitions(*order)))
+    ends = equal_windows(windows.where("edge").select("doc_id", "first", "key").repartition(1).sortWithinPartitions(*order))
+    windows = windows.where("not edge").unionByName(ends.where("not edge")).select("doc_id", "first", (F.col("first") + MIN_WORDS - 1).alias("last"))
+    spans = found.where("last is not null").select("doc_id", "first", "last").unionByName(windows).distinct()
     # spans that touch become one
     w = W.partitionBy("doc_id").orderBy("first", "last")
-    reach = spans.withColumn("reach", F.max("last").over(w.rowsBetween(W.unboundedPreceding, -1)))
-    island = reach.withColumn("nth", F.sum(F.when(F.col("reach") >= F.col("first") - 1, 0).otherwise(1)).over(w))
+    reached = spans.withColumn("reach", F.max("last").over(w.rowsBetween(W.unboundedPreceding, -1)))
+    island = reached.withColumn("nth", F.sum(F.when(F.col("reach") >= F.col("first") - 1, 0).otherwise(1)).over(w))
     merged = island.groupBy("doc_id", "nth").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     per = merged.groupBy("doc_id").agg(F.sum(F.col("last") - F.col("first") + 1).alias("n"), F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
     total = docs.select("doc_id", F.regexp_count(lower_ascii(F.col("text")), F.lit(ITEM_WORD)).cast("bigint").alias("n_words"))
-    return total.join(per, "doc_id", "left").select("doc_id", "n_words", F.coalesce("n", F.lit(0).cast("bigint")).alias("n_repeat_words"),
+    return total.join(per.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", "n_words", F.coalesce("n", F.lit(0).cast("bigint")).alias("n_repeat_words"),
                                                     F.coalesce("spans", F.array().cast("array<struct<first:bigint,last:bigint>>")).alias("spans"))

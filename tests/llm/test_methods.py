@@ -1,10 +1,16 @@
 """Methods whose results have no fixed contract: held-out accuracy, planted cases, the pipeline."""
 
+import random
+import re
+from collections import defaultdict
+
 from pyspark.sql import functions as F
 
 from annolink.llm import secrets, suffixes, weak
 
 SRC = "/root/testdata/sf0.01"
+ITEM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def test_weak_labels_on_held_out_labels(spark):
@@ -36,6 +42,43 @@ def test_repeated_passage(spark):
     assert got[9].n_repeat_words == got[10].n_repeat_words == 0
 
 
+def covered(texts):
+    """Places in windows of 51 words that occur at two places or more."""
+    seen, out = defaultdict(list), defaultdict(set)
+    for k, text in texts.items():
+        w = ITEM.findall((text or "").translate(LOWER))
+        for i in range(len(w) - 50):
+            seen[tuple(w[i:i + 51])].append((k, i))
+    for places in seen.values():
+        for k, i in places if len(places) > 1 else ():
+            out[k] |= set(range(i, i + 51))
+    return out
+
+
+def test_popular_tails_hide_no_passage(spark):
+    rng, texts = random.Random(5), {}
+    for tail in range(28, 60, 3):
+        for pair in range(6):
+            # the two documents of a pair share private words before a tail that twelve have
+            shared = [f"s{tail}x{pair}x{i}" for i in range(rng.randint(0, 23))] + [f"t{tail}x{i}" for i in range(tail)]
+            for k in (len(texts), len(texts) + 1):
+                texts[k] = " ".join([*(f"a{k}x{i}" for i in range(30)), *shared, *(f"e{k}x{i}" for i in range(20))])
+    rows = [*texts.items(), (None, None), (1000, "")]
+    want = covered(texts)
+    assert sum(map(len, want.values())) > 1000
+    for parts in (1, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = {r.doc_id: {i for s in r.spans for i in range(s.first, s.last + 1)} for r in suffixes.repeated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+        assert {k: v for k, v in got.items() if v} == want
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_repeats_of_a_table(spark):
+    docs = spark.read.parquet(f"{SRC}/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: {i for s in r.spans for i in range(s.first, s.last + 1)} for r in suffixes.repeated(docs).collect()}
+    assert {k: v for k, v in got.items() if v} == covered({r.doc_id: r.text for r in docs.collect()})
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -52,13 +52,21 @@ def statistics(docs: DataFrame) -> DataFrame:
         "base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
+def folded(lines: Column) -> Column:
+    """(key, n) of the distinct keys among (key, n) lines, n being the words of all copies."""
+    def runs(s):
+        starts = F.filter(F.transform(s, lambda _, i: i), lambda i: (i == 0) | (F.get(s, i - 1)["key"] != F.get(s, i)["key"]))
+        return let(starts, lambda at: F.transform(at, lambda i, j: F.struct(
+            F.get(s, i)["key"].alias("key"), (F.get(s, i)["n"] * (F.coalesce(F.get(at, j + 1), F.size(s)) - i)).alias("n"))))
+    return let(F.array_sort(lines), runs)
+
+
 def removed_lines(docs: DataFrame, max_docs: int) -> DataFrame:
-    """(doc_id, key, n_words) of the lines to remove from each document."""
+    """(doc_id, key, n_words) of the lines to remove from each document; n_words counts every copy."""
     # copies of a line inside a document are folded where the document is read
-    line = docs.select("doc_id", F.col("source"), F.col("text")).select("doc_id", F.explode(let(
-        F.transform(lines_of(F.col("text")), lambda x: F.struct(line_key(F.col("source"), x).alias("key"), F.regexp_count(x, F.lit(SPACE_WORD)).cast("bigint").alias("n"))),
-        lambda a: F.array_distinct(a))).alias("l")).select("doc_id", "l.key", "l.n")
-    common = line.groupBy("key").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") > max_docs).drop("docs")
+    line = docs.select("doc_id", F.explode(folded(F.transform(lines_of(F.col("text")), lambda x: F.struct(
+        line_key(F.col("source"), x).alias("key"), F.regexp_count(x, F.lit(SPACE_WORD)).cast("bigint").alias("n"))))).alias("l")).select("doc_id", "l.key", "l.n")
+    common = line.groupBy("key").agg(F.count_distinct("doc_id").alias("docs"), F.min("doc_id").alias("first")).where(F.col("docs") > max_docs).drop("docs")
     common = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = line.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     return salted.join(common, ["key", "salt"]).where("doc_id <> first").select("doc_id", "key", "n")

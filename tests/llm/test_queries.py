@@ -126,6 +126,22 @@ def test_common_lines(spark):
     assert verdicts(docs.limit(0)).count() == 0 and clean(docs.limit(0)).columns == docs.columns
 
 
+def test_copies_of_a_common_line_deplete(spark):
+    from annolink.llm.lines import clean, verdicts
+
+    def own(k, n):
+        return " ".join(f"o{'abcdefghijklmnop'[k]}{'x' * i}" for i in range(n))
+    line, rest = " ".join(f"c{'y' * i}" for i in range(9)), "\n".join(" ".join(f"r{'z' * (9 * j + i)}" for i in range(9)) for j in range(5))
+    rows = [(k, own(k, 300) + "\n" + line + "\n" + rest, "h") for k in range(8)] + [(9, own(9, 10) + f"\n{line}" * 5 + "\n" + rest, "h")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r.doc_id: r for r in verdicts(docs, max_docs=5).collect()}
+    assert (got[9].n_words, got[9].removed_words, got[9].base_failed, got[9].kept) == (100, 90, False, False)
+    assert got[0].removed_words == 0 and got[1].removed_words == 54 and got[1].kept
+    # rows of one id are one document: six rows, two ids
+    same = spark.createDataFrame([(k % 2, own(k, 60) + "\nshared line", "h") for k in range(6)], docs.schema)
+    assert all(r.removed_words == 0 for r in verdicts(same, max_docs=5).collect()) and clean(same, max_docs=5).count() == 6
+
+
 def test_minhash(spark, data):
     got, sets = result(spark, data, "op9_minhash"), {}
     for k, text in data[1].items():

@@ -38,6 +38,12 @@ def grams(w: Column, n: int) -> Column:
     return let(w, windows)
 
 
+def row_key(*cols: str) -> Column:
+    """64-bit hash of the columns a verdict rests on: equal rows share it, a null differs from every value, and
+    rows of one id with different texts are told apart."""
+    return F.xxhash64(*[x for c in cols for x in (F.col(c).isNull(), F.col(c))])
+
+
 def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

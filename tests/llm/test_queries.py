@@ -142,6 +142,30 @@ def test_copies_of_a_common_line_deplete(spark):
     assert all(r.removed_words == 0 for r in verdicts(same, max_docs=5).collect()) and clean(same, max_docs=5).count() == 6
 
 
+def unique_words(k, n):
+    return " ".join(f"u{'abcdefghijklmnopqrstuvwxyz'[k]}{'x' * i}" for i in range(n))
+
+
+def test_a_copy_of_a_common_line_stays(spark):
+    from annolink.llm.lines import clean
+
+    def left(rows):
+        out = clean(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), max_docs=3).collect()
+        return {r.doc_id: r.text for r in out}
+    line = "subscribe to our letter"
+    # the first holder fails the base rules
+    rows = [(0, line, "h")] + [(k, unique_words(k, 60) + "\n" + line, "h") for k in range(1, 7)]
+    got = left(rows)
+    assert sorted(got) == [1, 2, 3, 4, 5, 6] and [k for k in got if line in got[k]] == [1]
+    # the first holder of `line` is depleted by the lines that row 0 holds: the first that stays takes over
+    big = unique_words(25, 100)
+    got = left([(0, unique_words(0, 90) + "\n" + big, "h"), (1, big + "\n" + line, "h")] + [(k, unique_words(k, 120) + "\n" + big + "\n" + line, "h") for k in range(2, 6)])
+    assert sorted(got) == [0, 2, 3, 4, 5] and [k for k in got if line in got[k]] == [2] and [k for k in got if big in got[k]] == [0]
+    # all holders are depleted: the first stays whole
+    got = left([(0, unique_words(0, 90) + "\n" + big, "h")] + [(k, big + "\n" + line, "h") for k in range(1, 6)])
+    assert got == {0: unique_words(0, 90) + "\n" + big, 1: big + "\n" + line}
+
+
 def test_minhash(spark, data):
     got, sets = result(spark, data, "op9_minhash"), {}
     for k, text in data[1].items():

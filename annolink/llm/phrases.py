@@ -4,7 +4,8 @@ The index holds (term, doc_id, pos). A test window asks for its rarest terms fir
 two rarest are shifted by the terms' places in the window and intersected, and what is left is
 compared word by word. Only lists of asked terms are written out. Null and empty texts have no
 words; an item without words asks nothing; equal windows of several items are searched once;
-repeated document ids are searched together and give one result row per input row.
+each input row is searched by itself and gives one result row, also if its id is repeated or null: rows
+are told apart by a 64-bit hash of id and text.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .text import ITEM_WORD, grams, lower_ascii, words
+from .text import ITEM_WORD, grams, lower_ascii, row_key, words
 
 #: Terms asked for are broadcast up to this number (some 30 MB); beyond it they are joined by a shuffle.
 SMALL = 200_000
@@ -37,7 +38,8 @@ def postings(docs: DataFrame, asked: DataFrame, rows: int) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(doc_id, wid, start, len) of all exact occurrences of the windows."""
+    """(row, wid, start, len) of all exact occurrences of the windows."""
+    docs = docs.select(row_key("doc_id", "text").alias("row"), "text")
     slots = windows.select("wid", F.size("terms").alias("len"), F.posexplode("terms").alias("off", "term"))
     vocabulary = settle(slots.select("term").distinct())
     n_terms = vocabulary.count()
@@ -49,16 +51,16 @@ def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
     ranked = settle(ranked.where(F.col("r")[0]["df"] > 0).select("wid", "len", F.slice("r", 1, 2).alias("r")))
     probes = ranked.select("wid", "len", F.size("r").alias("need"), F.explode("r").alias("x")).select("wid", "len", "need", "x.off", "x.term")
     n_probes = probes.count()
-    lists = postings(docs, probes.select("term").distinct(), n_probes)
-    shifted = lists.join(limited(probes, n_probes), "term").where("pos >= off")
-    met = shifted.groupBy("doc_id", "wid", (F.col("pos") - F.col("off")).alias("start")).agg(
+    lists = postings(docs.withColumnRenamed("row", "doc_id"), probes.select("term").distinct(), n_probes)
+    shifted = lists.join(limited(probes, n_probes), "term").where("pos >= off").withColumnRenamed("doc_id", "row")
+    met = shifted.groupBy("row", "wid", (F.col("pos") - F.col("off")).alias("start")).agg(
         F.count_distinct("off").alias("got"), F.first("need").alias("need"), F.first("len").alias("len"))
-    met = met.where("got = need").select("doc_id", "wid", "start", "len")
+    met = met.where("got = need").select("row", "wid", "start", "len")
     met = met.join(windows.select("wid", "terms"), "wid")
-    asked = met.groupBy("doc_id").agg(F.collect_list(F.struct("wid", "start", "len", "terms")).alias("m"))
-    text = docs.select("doc_id", words(lower_ascii(F.col("text")), ITEM_WORD).alias("w"))
-    exact = asked.join(text, "doc_id").select("doc_id", F.filter("m", lambda x: F.slice(F.col("w"), x["start"] + 1, x["len"]) == x["terms"]).alias("m"))
-    return exact.select("doc_id", F.explode("m").alias("m")).select("doc_id", "m.wid", "m.start", "m.len")
+    asked = met.groupBy("row").agg(F.collect_list(F.struct("wid", "start", "len", "terms")).alias("m"))
+    text = docs.select("row", words(lower_ascii(F.col("text")), ITEM_WORD).alias("w"))
+    exact = asked.join(text, "row").select("row", F.filter("m", lambda x: F.slice(F.col("w"), x["start"] + 1, x["len"]) == x["terms"]).alias("m"))
+    return exact.select("row", F.explode("m").alias("m")).select("row", "m.wid", "m.start", "m.len")
 
 
 def near(docs: DataFrame, first: str, second: str, within: int) -> DataFrame:
@@ -75,18 +77,18 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     windows, owners = windows_of(items, n)
     windows = settle(windows)
     found = settle(occurrences(docs, windows).distinct())
-    hit = found.groupBy("doc_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list(
+    hit = found.groupBy("row").agg(F.size(F.array_distinct(F.flatten(F.collect_list(
         F.sequence(F.col("start"), F.col("start") + F.col("len") - 1))))).cast("bigint").alias("n_hit"))
-    which = found.select("doc_id", "wid").distinct().join(owners, "wid").groupBy("doc_id").agg(
+    which = found.select("row", "wid").distinct().join(owners, "wid").groupBy("row").agg(
         F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    total = docs.select("doc_id", F.regexp_count(lower_ascii(F.col("text")), F.lit(ITEM_WORD)).cast("bigint").alias("n_words"))
-    out = total.join(hit, "doc_id", "left").join(which, "doc_id", "left")
+    total = docs.select("doc_id", row_key("doc_id", "text").alias("row"), F.regexp_count(lower_ascii(F.col("text")), F.lit(ITEM_WORD)).cast("bigint").alias("n_words"))
+    out = total.join(hit, "row", "left").join(which, "row", "left")
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
                       F.coalesce("items", F.array().cast("array<string>")).alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
-    """Documents without any test window; all columns stay."""
+    """Rows without any test window; all columns stay."""
     windows, _ = windows_of(items, n)
-    bad = occurrences(docs, settle(windows)).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    bad = occurrences(docs, settle(windows)).select(F.col("row").alias("__row")).distinct()
+    return docs.withColumn("__row", row_key("doc_id", "text")).join(bad, "__row", "left_anti").select(*docs.columns)

@@ -6,7 +6,8 @@ the candidates that strict signatures settle: known key shapes or an assignment
 (positive), and plain words or paths without digits (negative). At most MAX_LABELLED of them, those with the
 smallest hash, train the forest; every candidate is scored. With one class only (also on empty
 tables) the strict signature decides. Null and empty texts have no candidates; equal candidates of
-one document count once; repeated ids are one document.
+one row count once; each row is judged by itself, also if its id is repeated or null: rows are told
+apart by a 64-bit hash of id and text.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
+from .text import row_key
 
 MAX_LABELLED = 20_000
 #: Candidate shape with up to 40 characters before it, secret names, common words.
@@ -68,10 +70,10 @@ def findings(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """One row per document: candidates, secrets, largest score, and the secrets' texts in order."""
-    f = findings(docs).groupBy("doc_id").agg(F.count("*").alias("n_candidates"), F.sum(F.col("is_secret").cast("bigint")).alias("n_secrets"),
+    """One row per input row: candidates, secrets, largest score, and the secrets' texts in order."""
+    f = findings(docs.select(row_key("doc_id", "text").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row").groupBy("row").agg(F.count("*").alias("n_candidates"), F.sum(F.col("is_secret").cast("bigint")).alias("n_secrets"),
                                              F.max("score").alias("score"), F.array_sort(F.collect_set(F.when(F.col("is_secret"), F.col("secret")))).alias("secrets"))
-    out = docs.select("doc_id").join(f, "doc_id", "left")
+    out = docs.select("doc_id", row_key("doc_id", "text").alias("row")).join(f, "row", "left")
     zero = F.lit(0).cast("bigint")
     return out.select("doc_id", F.coalesce("n_candidates", zero).alias("n_candidates"), F.coalesce("n_secrets", zero).alias("n_secrets"),
                       F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce(F.array_join("secrets", " "), F.lit("")).alias("secrets"))
@@ -80,7 +82,8 @@ def report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """All documents; secrets in their texts are replaced by [SECRET], longest first."""
     cols = docs.columns
-    f = findings(docs).where("is_secret").groupBy("doc_id").agg(F.collect_set("secret").alias("__found"))
+    keyed = docs.withColumn("__row", row_key("doc_id", "text"))
+    f = findings(keyed.select(F.col("__row").alias("doc_id"), "text")).where("is_secret").groupBy(F.col("doc_id").alias("__row")).agg(F.collect_set("secret").alias("__found"))
     ordered = F.transform(F.sort_array(F.transform("__found", lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))), asc=False), lambda x: x["s"])
     text = F.when(F.col("__found").isNull(), F.col("text")).otherwise(F.aggregate(ordered, F.col("text"), lambda acc, s: F.replace(acc, s, F.lit("[SECRET]"))))
-    return docs.join(f, "doc_id", "left").withColumn("text", text).select(*cols)
+    return keyed.join(f, "__row", "left").withColumn("text", text).select(*cols)

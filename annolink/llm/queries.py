@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, counts, idfile, licences, lines, near, phrases, secrets, suffixes, weak, whiten
+from . import bpe, counts, idfile, licences, lines, mix, near, phrases, secrets, suffixes, weak, whiten
 from .text import spread, table
 
 QUERIES: dict = {}
@@ -76,6 +76,11 @@ def op10_bpe(spark, d):
     return bpe.digest(spread(table(spark, d, "documents").select("doc_id", "text")), tokenizer("byte_bpe_50k.json"))
 
 
+@query
+def op11_mixing(spark, d):
+    return mix.report(table(spark, d, "documents"))
+
+
 @query
 def op13_whitening(spark, d):
     return whiten.whiten(table(spark, d, "embeddings")).withColumn("deviation", F.col("deviation").cast("bigint"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, counts, idfile, licences, lines, mix, near, phrases, secrets, suffixes, weak, whiten
+from . import bpe, counts, idfile, licences, lines, mix, near, phrases, search, secrets, suffixes, weak, whiten
 from .text import spread, table
 
 QUERIES: dict = {}
@@ -81,6 +81,24 @@ def op11_mixing(spark, d):
     return mix.report(table(spark, d, "documents"))
 
 
+@query
+def op12_lexical_search(spark, d):
+    return search.search(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL["op12_lexical_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+s AS (SELECT count(*) AS nd, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+q AS (SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+t AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * nd + 2) / (2 * df + 1))) AS BIGINT) AS weight FROM (SELECT term, count(*) AS df FROM t GROUP BY term), s),
+p AS (SELECT r, doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // l))) AS impact FROM t JOIN f USING (term), s),
+x AS (SELECT item_id, r, doc_id, CAST(sum(c * impact) AS BIGINT) AS score FROM q JOIN p USING (term) GROUP BY ALL HAVING sum(c * impact) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM x
+QUALIFY rank <= 20"""
+
+
 @query
 def op13_whitening(spark, d):
     return whiten.whiten(table(spark, d, "embeddings")).withColumn("deviation", F.col("deviation").cast("bigint"))

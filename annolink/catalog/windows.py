@@ -60,7 +60,7 @@ SELECT event_id, printf('%d:E%07d', user_id, row_number() OVER (PARTITION BY use
 def win_04(spark, d):
     e = events(spark, d).select("event_id", "user_id", "us")
     a = W.assign_ids(e, ["user_id"], ["us", "event_id"], "%s:E%07d", "local_id", day_cells())
-    return W.assign_ids(a, [], ["us", "event_id"], "Q%08d", "global_id", [cell_of("us", DAY // 24)]).select("event_id", "local_id", "global_id")
+    return W.assign_ids(a, [], ["us", "event_id"], "Q%08d", "global_id").select("event_id", "local_id", "global_id")
 
 
 @query("win_05_cumulative_position", f"""WITH {EV}, a AS (SELECT *, coalesce(sum(cents) OVER (PARTITION BY user_id ORDER BY us, event_id
@@ -162,11 +162,7 @@ def srt_01(spark, d):
     e = t(spark, d, "events").select(
         "event_id", F.col("value").cast("string").alias("start_meas"), F.lit("NA").alias("end_meas"), kind.alias("source_record_type"),
         F.col("user_id").cast("string").alias("yolo_line"), F.col("event_type").alias("class"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("record_id"))
-    ordered = O.time_sort(e).select("event_id", F.col("start_meas").cast("double").alias("v"), "source_record_type", F.col("yolo_line").cast("bigint").alias("u"), "class", "record_id")
-    from ..operators.scan import number_rows
-
-    rank = F.when(F.col("source_record_type") == "yolo", 0).when(F.col("source_record_type") == "xml_event", 1).when(F.col("source_record_type") == "xml_node", 2).otherwise(3)
-    return number_rows(ordered.withColumn("sr", rank), [], ["v", "sr", "u", "class", "record_id"], "pos", [F.floor(F.col("v")).cast("bigint")]).select("event_id", "pos")
+    return O.time_rank(e, out="pos").select("event_id", "pos")
 
 
 @query("srt_02_priority_sort", f"""WITH {LI}
@@ -176,7 +172,7 @@ def srt_02(spark, d):
     li = lines(spark, d).withColumns({
         "combined_status": F.when(F.col("l_returnflag") == "R", "ambiguous").otherwise("candidate"),
         "confidence": F.when((F.col("l_linestatus") == "F") & (F.col("l_linenumber") == 1), "n/a").otherwise((F.col("qty") / 100.0).cast("string"))})
-    out = O.priority_rank(li, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cents", "day"], fine=cell_of("l_orderkey", 100_000))
+    out = O.priority_rank(li, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cents", "day"])
     return out.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "day", "qty", "cents", "queue_rank")
 
 
@@ -184,17 +180,13 @@ def srt_02(spark, d):
  CASE o_orderstatus WHEN 'O' THEN 'review' ELSE 'unresolved' END AS status, (cents % 100) / 100.0::DOUBLE AS c FROM od WHERE o_orderstatus <> 'F')
 SELECT o_orderkey AS yolo_line, saved_action, status, row_number() OVER (ORDER BY CASE WHEN saved_action IN ('pending','uncertain','skipped') THEN 0 ELSE 1 END, c, lpad(CAST(o_custkey AS VARCHAR), 9, '0'), o_orderkey) AS pos FROM q""")
 def srt_03(spark, d):
-    from ..operators.scan import number_rows
-
     o = orders(spark, d)
     rows = o.select(F.lpad(F.col("o_custkey").cast("string"), 9, "0").alias("page_id"), F.col("o_orderkey").alias("yolo_line"), F.col("o_orderpriority").alias("class"),
                     F.when(F.col("o_orderstatus") == "F", "matched").when(F.col("o_orderstatus") == "O", "review").otherwise("NA").alias("status"),
                     ((F.col("cents") % 100) / 100.0).alias("confidence"))
     dec = o.where("o_orderkey % 3 < 2").select(F.lpad(F.col("o_custkey").cast("string"), 9, "0").alias("page_id"), F.col("o_orderkey").alias("yolo_line"),
                                                F.when(F.col("o_orderkey") % 3 == 0, "confirm").otherwise("skipped").alias("action"))
-    q = O.reader_queue(rows, dec)
-    cells = [F.col("open_rank"), F.col("matched_rank"), F.col("conf_rank")]
-    return number_rows(q, [], O.READER_ORDER, "pos", cells).select("yolo_line", "saved_action", "status", "pos")
+    return O.reader_rank(O.reader_queue(rows, dec), "pos").select("yolo_line", "saved_action", "status", "pos")
 
 
 @query("srt_04_top_k", f"""WITH {EV} SELECT user_id, event_id, cents, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY cents DESC, event_id) AS INTEGER) AS rank FROM ev) WHERE rank <= 3""")

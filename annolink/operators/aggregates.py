@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import _c, id_list, norm_text, try_float
+from .ranking import rank_rows
 from .scan import number_rows
 
 
@@ -165,8 +166,7 @@ def manual_groups(manual: DataFrame, keys, bbox: str = "bbox_id", cls: str = "cl
         F.count(F.lit(1)).alias("group_size"), F.sort_array(F.collect_set(cls)).alias("classes"), F.sort_array(F.collect_set(status)).alias("statuses"),
         F.min(conf).alias("min_confidence"), F.max(conf).alias("max_confidence"), F.when(amb, "P1_ambiguous").otherwise("P2_candidate").alias("priority_tier"),
         *[F.sort_array(F.collect_set(s)).alias(f"{s}s") for s in sets])
-    cells = [F.col("priority_tier"), F.col("min_confidence"), *[F.col(k) for k in keys[:1]]]
-    return number_rows(g, [], ["priority_tier", "min_confidence", *keys], "group_rank", cells).withColumn("group_id", F.format_string("G%05d", "group_rank"))
+    return rank_rows(g, ["priority_tier", "min_confidence", *keys], "group_rank").withColumn("group_id", F.format_string("G%05d", "group_rank"))
 
 
 def group_members(manual: DataFrame, groups: DataFrame, keys, bbox="bbox_id", status="source_status", confidence="confidence", cells=()) -> DataFrame:
@@ -183,7 +183,7 @@ def batches(queue: DataFrame, batch: str = "batch_id", status="source_status", c
     b = queue.groupBy(batch).agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(F.col(status) == "ambiguous").alias("ambiguous"), F.count_if(F.col(status) == "candidate").alias("candidate"),
         F.min(conf).alias("min_confidence"), F.max(conf).alias("max_confidence"), F.min(rank).alias("best_rank"))
-    return number_rows(b, [], ["best_rank", batch], "batch_rank", [F.floor(F.col("best_rank") / 100_000)])
+    return rank_rows(b, ["best_rank", batch], "batch_rank")
 
 
 # AG-11 -----------------------------------------------------------------

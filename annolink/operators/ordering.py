@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classes import lookup
 from ..functions.text import _c, norm_text, try_float, try_int
+from .ranking import rank_rows
 from .scan import number_rows
 
 SOURCE_RANK = {"yolo": 0, "xml_event": 1, "xml": 1, "xml_node": 2}  # fixed values
@@ -30,6 +31,11 @@ def time_sort(df: DataFrame, source="source_record_type", within_files=False) ->
     return df.sortWithinPartitions(*order) if within_files else df.orderBy(*order)
 
 
+def time_rank(df: DataFrame, source="source_record_type", out="time_rank") -> DataFrame:
+    """Exact place of every row in musical time over the whole table."""
+    return rank_rows(df, time_order(source), out)
+
+
 # SRT-02 -----------------------------------------------------------------
 def priority_columns(status="combined_status", confidence="confidence") -> dict[str, Column]:
     """Risk first: ambiguous before the rest, then low confidence (unreadable counts as -1)."""
@@ -41,10 +47,10 @@ def priority_columns(status="combined_status", confidence="confidence") -> dict[
 
 def priority_rank(df: DataFrame, tail, out="queue_rank", status="combined_status", confidence="confidence",
                   keys=(), fine: Column | None = None) -> DataFrame:
-    """Exact rank in risk-first order over the whole table (or per keys).
+    """Exact rank in risk-first order over the whole table, by ranges of the full order (or per keys).
 
-    Cells are the status and a hundredth of confidence, or a finer column that grows with
-    the order, so that no task sees more than one such slice.
+    Per keys, cells are the status and a hundredth of confidence, or a finer column that grows
+    with the order, so that no task sees more than one such slice.
     """
     pc = priority_columns(status, confidence)
     out_df = df.withColumns(pc)
@@ -77,6 +83,11 @@ def reader_queue(rows: DataFrame, decisions: DataFrame, page=None, class_name=No
 READER_ORDER = ["open_rank", "matched_rank", "conf_rank", "page_id", "line_rank"]
 
 
+def reader_rank(queue: DataFrame, out="queue_rank") -> DataFrame:
+    """Exact place of every row of a reader_queue over the whole table."""
+    return rank_rows(queue, READER_ORDER, out)
+
+
 # SRT-04 -----------------------------------------------------------------
 def top_k(df: DataFrame, keys, order: list[Column], k: int, out="rank") -> DataFrame:
     """k first rows per group; map tasks already drop rows past their own k-th."""

@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import rank_rows
+
 
 @dataclass(frozen=True)
 class Fold:
@@ -119,7 +121,9 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], folds: Sequen
 
 
 def number_rows(df, keys, order, out="rn", cells=()) -> DataFrame:
-    """Exact row number per group."""
+    """Exact row number per group; without keys over the whole table, by ranges of the order (cells are not needed)."""
+    if not keys:
+        return rank_rows(df, list(order), out)
     return scan(df, keys, order, [Fold(out, "count")], cells)
 
 

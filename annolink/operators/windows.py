@@ -68,10 +68,8 @@ def assign_ids(df: DataFrame, keys, order, fmt: str, out: str, cells=()) -> Data
     """Padded running id, per group or, with no keys, over the whole table.
 
     fmt takes the group's key text first when there are keys, for example "%s:E%07d". A
-    whole-table id needs cells: only their counts meet in one task.
+    whole-table id is ranked by ranges of the order (see ranking.py).
     """
-    if not keys and not cells:
-        raise ValueError("a whole-table numbering needs cells")
     numbered = number_rows(df, keys, order, "__rn", cells)
     args = [F.concat_ws(":", *keys)] if keys else []
     return numbered.withColumn(out, F.format_string(fmt, *args, F.col("__rn"))).drop("__rn")

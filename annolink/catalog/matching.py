@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import matching as M
 from ..operators.scan import number_rows
+from ..operators.spans import match_spans
 from .base import DAY, EV, LI, OD, events, lines, orders, query, t
 
 
@@ -107,6 +108,48 @@ def mt_07(spark, d):
     return r.select("l_orderkey", "l_partkey", "rank", "score", "second_score", "mutual_best", status.alias("status"), reason.alias("reason"))
 
 
+_GEOMETRY = """p AS (SELECT c_nationkey % 3 AS page_id, c_custkey % 3 AS system, c_custkey AS yolo_line, CAST((CAST(floor(c_acctbal) AS BIGINT) + 1000) % 1000 AS DOUBLE) AS cx,
+  CAST(c_custkey * 37 % 50 + 100 * (c_custkey % 3) + 20 AS DOUBLE) AS cy, CAST(20 + c_custkey * 11 % 280 AS DOUBLE) AS w FROM customer),
+ s AS (SELECT s_nationkey % 3 AS page_id, s_suppkey AS span_id, s_suppkey % 3 AS sa, (s_suppkey * 7 // 5) % 3 AS sb, CAST((CAST(floor(s_acctbal) AS BIGINT) + 1000) % 1000 AS DOUBLE) AS x0,
+  CAST((CAST(floor(s_acctbal) AS BIGINT) + 1000) % 1000 + 30 + s_suppkey * 7 % 250 AS DOUBLE) AS x1, s_suppkey % 2 = 0 AS under, s_suppkey % 4 <> 0 AS confirmed,
+  CAST(s_suppkey * 53 % 50 + 100 * (s_suppkey % 3) + 40 AS DOUBLE) AS y0, CAST(s_suppkey * 29 % 50 + 100 * ((s_suppkey * 7 // 5) % 3) + 40 AS DOUBLE) AS y1 FROM supplier),
+ g AS (SELECT *, unnest(generate_series(least(sa, sb), greatest(sa, sb))) AS system FROM s),
+ k AS (SELECT *, CASE WHEN sa = sb THEN 'full' WHEN system = sa THEN 'start' WHEN system = sb THEN 'end' ELSE 'middle' END AS kind FROM g),
+ j AS (SELECT *, CASE WHEN kind IN ('full', 'start') THEN x0 ELSE 0.0::DOUBLE END AS a, CASE WHEN kind IN ('full', 'end') THEN x1 ELSE 1200.0::DOUBLE END AS b,
+  CASE WHEN kind IN ('full', 'start') THEN y0 WHEN kind = 'end' THEN y1 ELSE 100.0::DOUBLE * system + 50 END AS ya, CASE WHEN kind IN ('full', 'end') THEN y1 WHEN kind = 'start' THEN y0 ELSE 100.0::DOUBLE * system + 50 END AS yb FROM k),
+ f AS (SELECT page_id, system, yolo_line, span_id, kind, confirmed, cx, cy, w, under, least(a, b) AS l, greatest(a, b) AS r, greatest(8.0::DOUBLE, abs(b - a)) AS span, CASE WHEN under THEN greatest(ya, yb) ELSE least(ya, yb) END AS ny FROM p JOIN j USING (page_id, system)),
+ h AS (SELECT *, abs(cx - (l + r) / 2) / greatest(18.0::DOUBLE, span * 0.35::DOUBLE) AS xr, greatest(0.05::DOUBLE, w / span) AS ratio, least(greatest(11.0::DOUBLE, span * 0.38::DOUBLE), 35.0::DOUBLE) AS lift FROM f),
+ e AS (SELECT page_id, system, yolo_line, span_id, kind, confirmed, 0.42::DOUBLE * exp(-0.5::DOUBLE * xr * xr) + 0.28::DOUBLE * exp(-abs(ln(ratio)) / 0.65::DOUBLE)
+   + 0.23::DOUBLE * exp(-0.5::DOUBLE * pow(abs(cy - CASE WHEN under THEN ny + lift ELSE ny - lift END) / 20.0::DOUBLE, 2)) + 0.07::DOUBLE * exp(-greatest(0.0::DOUBLE, CASE WHEN under THEN ny - cy ELSE cy - ny END) / 10.0::DOUBLE) AS score FROM h)"""
+
+
+@query("mt_07_span_matching", f"""WITH RECURSIVE {_GEOMETRY},
+q AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY 1 - score, yolo_line, span_id, system) AS place, span_id * 3 + system AS seg,
+ first_value(span_id) OVER (PARTITION BY page_id, yolo_line ORDER BY score DESC, span_id) AS best_span, coalesce(nth_value(score, 2) OVER (PARTITION BY page_id, yolo_line ORDER BY score DESC, span_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0) AS second,
+ first_value(yolo_line) OVER (PARTITION BY page_id, span_id, system ORDER BY 1 - score, yolo_line) AS first_box FROM e WHERE score >= 0.42),
+take AS (SELECT page_id, []::BIGINT[] AS boxes, []::BIGINT[] AS segs, 0::BIGINT AS place FROM (SELECT DISTINCT page_id FROM q)
+ UNION ALL SELECT page_id, list_append(boxes, yolo_line), list_append(segs, seg), place FROM (SELECT t.page_id, t.boxes, t.segs, q.yolo_line, q.seg, q.place, row_number() OVER (PARTITION BY t.page_id ORDER BY q.place) AS rn
+  FROM take t JOIN q ON q.page_id = t.page_id AND q.place > t.place AND NOT list_contains(t.boxes, q.yolo_line) AND NOT list_contains(t.segs, q.seg)) WHERE rn = 1)
+SELECT page_id, yolo_line, span_id, system, kind AS segment_type, round(least(0.99, 1 - (1 - score)), 6) AS confidence, round(second, 6) AS second_score, first_box = yolo_line AS mutual_best, best_span = span_id AS box_best,
+ CASE WHEN confirmed AND score >= 0.82 AND least(0.99, score) - second >= 0.12 AND first_box = yolo_line AND best_span = span_id AND kind = 'full' THEN 'matched' ELSE 'review' END AS status
+FROM q JOIN take USING (page_id, place)""")
+def mt_07_spans(spark, d):
+    wrap = lambda c: (F.floor(c).cast("bigint") + 1000) % 1000
+    c, s = F.col("c_custkey"), F.col("s_suppkey")
+    boxes = t(spark, d, "customer").select(
+        (F.col("c_nationkey") % 3).alias("page_id"), (c % 3).alias("system"), c.alias("yolo_line"), wrap("c_acctbal").cast("double").alias("center_x"),
+        (c * 37 % 50 + 100 * (c % 3) + 20).cast("double").alias("center_y"), (20 + c * 11 % 280).cast("double").alias("width_px"))
+    start, end, left = s % 3, F.floor(s * 7 / 5) % 3, wrap("s_acctbal")
+    spans = t(spark, d, "supplier").select(
+        (F.col("s_nationkey") % 3).alias("page_id"), s.alias("span_id"), start.alias("start_system"), end.alias("end_system"), left.cast("double").alias("x0"), (left + 30 + s * 7 % 250).cast("double").alias("x1"),
+        (s * 53 % 50 + 100 * start + 40).cast("double").alias("y0"), (s * 29 % 50 + 100 * end + 40).cast("double").alias("y1"),
+        F.when(s % 2 == 0, "under").otherwise("over").alias("orientation"), (s % 4 != 0).alias("confirmed"))
+    systems = spans.select("page_id").distinct().withColumn("system", F.explode(F.array(*[F.lit(i) for i in range(3)]))).withColumns(
+        {"x_left": F.lit(0.0), "x_right": F.lit(1200.0), "upper_center": 100.0 * F.col("system") + 50, "staff_spacing": F.lit(10.0)})
+    out = match_spans(boxes, spans, systems)
+    return out.select("page_id", "yolo_line", "span_id", "system", "segment_type", F.round("confidence", 6).alias("confidence"), F.round("second_score", 6).alias("second_score"), "mutual_best", "box_best", "status")
+
+
 @query("mt_08_rank_with_locks", f"""WITH {_EDGE}, s AS (SELECT *, l_partkey // 2 AS cand, CASE WHEN l_partkey % 2 = 0 THEN 'full' ELSE 'start' END AS st FROM e),
 rv AS (SELECT o_orderkey AS l_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'matched' ELSE 'scan' END AS ms, o_custkey AS cand FROM orders WHERE o_orderstatus = 'P'),
 q AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM rv WHERE rv.l_orderkey = s.l_orderkey) AND NOT (st = 'full' AND EXISTS (SELECT 1 FROM rv WHERE ms = 'matched' AND rv.cand = s.cand))),

@@ -191,22 +191,37 @@ def expand_segments(spans: DataFrame, systems: DataFrame, keys, ends_only: bool
 
 
 # MT-06 -----------------------------------------------------------------
+SPAN_WEIGHTS = {"x_center_score": 0.42, "width_score": 0.28, "vertical_score": 0.23, "orientation_score": 0.07}  # fixed values
+
+
+def predicted_span() -> Column:
+    """Width a span's box should have, from seg_x0 and seg_x1."""
+    return F.greatest(F.lit(8.0), F.abs(F.col("seg_x1") - F.col("seg_x0")))
+
+
+def _note_side() -> Column:
+    return F.when(F.col("orientation") == "under", F.greatest("seg_y0", "seg_y1")).otherwise(F.least("seg_y0", "seg_y1"))
+
+
+def expected_height() -> Column:
+    """Height at which a span's box should have its middle, from seg_x0 to seg_y1, staff_spacing and orientation."""
+    sp, note_y = F.greatest(F.lit(1.0), F.col("staff_spacing")), _note_side()
+    lift = F.least(F.greatest(sp * 1.1, predicted_span() * 0.38), sp * 3.5)
+    return F.when(F.col("orientation") == "under", note_y + lift).otherwise(note_y - lift)
+
+
 def segment_score(df: DataFrame, out="score") -> DataFrame:
     """Geometric agreement of a box and a segment in [0, 1].
 
     Needs center_x, center_y, width_px, seg_x0, seg_x1, seg_y0, seg_y1, staff_spacing, orientation.
     """
-    span = F.greatest(F.lit(8.0), F.abs(F.col("seg_x1") - F.col("seg_x0")))
+    span, note_y = predicted_span(), _note_side()
     x_err = F.abs(F.col("center_x") - (F.col("seg_x0") + F.col("seg_x1")) / 2)
     x_tol = F.greatest(F.lit(18.0), span * 0.35)
     ratio = F.greatest(F.lit(0.05), F.col("width_px") / span)
     sp = F.greatest(F.lit(1.0), F.col("staff_spacing"))
-    lift = F.least(F.greatest(sp * 1.1, span * 0.38), sp * 3.5)
-    under = F.col("orientation") == "under"
-    note_y = F.when(under, F.greatest("seg_y0", "seg_y1")).otherwise(F.least("seg_y0", "seg_y1"))
-    expected = F.when(under, note_y + lift).otherwise(note_y - lift)
-    wrong = F.greatest(F.lit(0.0), F.when(under, note_y - F.col("center_y")).otherwise(F.col("center_y") - note_y))
-    y_err = F.abs(F.col("center_y") - expected)
+    wrong = F.greatest(F.lit(0.0), F.when(F.col("orientation") == "under", note_y - F.col("center_y")).otherwise(F.col("center_y") - note_y))
+    y_err = F.abs(F.col("center_y") - expected_height())
     parts = {
         "x_center_score": F.exp(-0.5 * (x_err / x_tol) * (x_err / x_tol)),
         "width_score": F.exp(-F.abs(F.log(ratio)) / 0.65),
@@ -214,7 +229,9 @@ def segment_score(df: DataFrame, out="score") -> DataFrame:
         "orientation_score": F.exp(-wrong / sp),
     }
     df = df.withColumns({**parts, "x_center_error_px": x_err, "predicted_span_px": span, "vertical_error_px": y_err})
-    total = 0.42 * F.col("x_center_score") + 0.28 * F.col("width_score") + 0.23 * F.col("vertical_score") + 0.07 * F.col("orientation_score")
+    total = None
+    for name, weight in SPAN_WEIGHTS.items():
+        total = weight * F.col(name) if total is None else total + weight * F.col(name)
     return df.withColumn(out, total)
 
 

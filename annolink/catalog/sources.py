@@ -25,6 +25,38 @@ def src_01b(spark, d):
     return boxes.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("boxes"), F.sum("class_id").alias("class_sum"), F.sum("x").cast("bigint").alias("x_sum"), F.max("yolo_line").alias("last_line"))
 
 
+def _csv_lines(spark, d, record, header):
+    """Documents as delimited files, one per source, cut into physical lines: texts bring quotes and line breaks."""
+    docs = t(spark, d, "documents")
+    body = docs.select("source", "doc_id", F.posexplode(F.split(record, "\n")).alias("n", "line"))
+    body = body.select("source", (F.floor(F.col("doc_id") / 200) + 1).alias("block"), (F.col("doc_id") * (1 << 24) + F.col("n")).alias("pos"), "line")
+    head = docs.select("source").distinct().select("source", F.lit(0).cast("bigint").alias("block"), F.lit(-1).cast("bigint").alias("pos"), header.alias("line"))
+    every = head.unionByName(body)
+    return every.select(F.col("source").alias("file"), F.concat("source", F.lit(".csv")).alias("name"), "block", "pos", "line")
+
+
+def _quoted(c):
+    return F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+
+
+@query("src_03_positional_rows", """SELECT source AS score_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS note_id, doc_id, md5(text) AS digest, length(text) AS chars, n_chars FROM documents""")
+def src_03(spark, d):
+    record = F.concat_ws(";", "doc_id", _quoted(F.col("text")), "n_chars")
+    lines_ = _csv_lines(spark, d, record, F.lit('doc_id;"text";n_chars'))
+    out = SF.positional_rows(lines_, "doc_id bigint, text string, n_chars bigint")
+    return out.select("score_id", "note_id", "doc_id", F.md5("text").alias("digest"), F.length("text").cast("bigint").alias("chars"), "n_chars")
+
+
+@query("src_05_heterogeneous_rows", """SELECT concat(source, '.csv') AS source_file, row_number() OVER (PARTITION BY source ORDER BY doc_id) + 1 AS source_row, CAST(doc_id AS VARCHAR) AS doc_id, CAST(n_chars AS VARCHAR) AS n_chars,
+ CASE WHEN ascii(right(source, 1)) % 2 = 0 THEN md5(text) END AS body, CASE WHEN ascii(right(source, 1)) % 2 = 1 THEN md5(text) END AS remark FROM documents""")
+def src_05(spark, d):
+    even = F.ascii(F.right("source", F.lit(1))) % 2 == 0
+    record = F.when(even, F.concat_ws(",", "doc_id", _quoted(F.col("text")), "n_chars")).otherwise(F.concat_ws(",", _quoted(F.col("text")), "n_chars", F.lit("extra"), "doc_id"))
+    header = F.when(even, F.lit("doc_id,body,n_chars")).otherwise(F.lit('remark,n_chars,"a, b",doc_id'))
+    out = SF.heterogeneous_rows(_csv_lines(spark, d, record, header))
+    return out.select("source_file", "source_row", "doc_id", "n_chars", F.md5("body").alias("body"), F.md5("remark").alias("remark"))
+
+
 @query("src_06_shred_pages")
 def src_06(spark, d):
     n = SM.shred(t(spark, d, "pages"), "page_id", "html", "html")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.text import try_float, try_int
+from ..session import settle
+from . import delimited
 
 
 def _lines(df: DataFrame, text: str) -> DataFrame:
@@ -55,49 +56,40 @@ def read_categories(spark: SparkSession, path) -> DataFrame:
 
 
 # SRC-03 -----------------------------------------------------------------
+def _stem(name) -> Column:
+    return F.regexp_replace(name, r"\.[^.]*$", "")
+
+
+def positional_rows(lines: DataFrame, ddl: str, sep: str = ";", id_col: str = "note_id", group: str = "score_id") -> DataFrame:
+    """Records of delimited lines (see delimited.py) whose key is the zero-based row position inside the file."""
+    d = delimited.rows(lines, sep)
+    cols = {n: c.alias(n) for n, c in delimited.typed(d, ddl).items() if n != id_col}
+    return d.select(_stem("name").alias(group), (F.col("row") - 2).cast("bigint").alias(id_col), *cols.values())
+
+
 def read_positional_csv(spark: SparkSession, path, ddl: str, sep: str = ";", id_col: str = "note_id", group: str = "score_id") -> DataFrame:
     """Delimited tables whose key is the zero-based row position inside the file."""
-    raw = spark.read.text(path, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias(group), F.regexp_replace("value", "^﻿", "").alias("__t"))
-    d = _lines(raw, "__t").where(F.trim("line") != "")
-    # blank lines do not count as rows
-    d = d.withColumn("line_no", F.row_number().over(Window.partitionBy(group).orderBy("line_no")))
-    head = d.where("line_no = 1").select(group, F.split("line", sep).alias("__h"))
-    body = d.where("line_no > 1").join(head, group)
-    # a separator inside quotes does not split; doubled quotes stand for one
-    outside = re.escape(sep) + r'(?=(?:[^"]*"[^"]*")*[^"]*$)'
-    cells = F.map_from_arrays(F.transform("__h", lambda h: F.trim(F.regexp_replace(h, '^"|"$', ""))), F.slice(F.concat(
-        F.transform(F.split("line", outside, -1), lambda c: F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))), F.array_repeat(F.lit(None).cast("string"), F.size("__h"))), F.lit(1), F.size("__h")))
-    fields = [f.strip().split(" ", 1) for f in ddl.split(",")]
-    body = body.withColumn("__m", cells)
-    return body.select(group, (F.col("line_no") - 2).cast("bigint").alias(id_col), *[F.try_element_at("__m", F.lit(n)).try_cast(ty).alias(n) for n, ty in fields if n != id_col])
+    return positional_rows(delimited.read_lines(spark, path), ddl, sep, id_col, group)
 
 
 # SRC-04 -----------------------------------------------------------------
 def read_table(spark: SparkSession, path, ddl: str) -> DataFrame:
-    """CSV with a header under a given schema; columns are taken by name, a byte order mark is skipped."""
-    names = [f.strip().split(" ", 1) for f in ddl.split(",")]
-    raw = spark.read.option("header", True).option("enforceSchema", False).option("multiLine", True).option("escape", '"').csv(path)
-    have = {c.lstrip("﻿"): c for c in raw.columns}
-    return raw.select(*[(F.col(f"`{have[n]}`").try_cast(ty) if n in have else F.lit(None).cast(ty)).alias(n) for n, ty in names])
+    """CSV with a header under a given schema; columns are taken by name, a byte order mark is skipped, an empty field is null."""
+    d = delimited.rows(delimited.read_lines(spark, path))
+    return d.select(*[c.alias(n) for n, c in delimited.typed(d, ddl, empty_is_null=True).items()])
 
 
 # SRC-05 -----------------------------------------------------------------
-def read_heterogeneous_csv(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """CSVs with different headers as one table of text columns, with source_file and source_row.
+def heterogeneous_rows(lines: DataFrame, sep: str = ",") -> DataFrame:
+    """Lines of CSVs with different headers as one table of text columns, with source_file and source_row (the header is row 1)."""
+    d = settle(delimited.rows(lines, sep))
+    cols = [delimited.unquoted(delimited.field(n)).alias(n) for n in delimited.header_names(d)]
+    return d.select(F.col("name").alias("source_file"), F.col("row").alias("source_row"), *cols)
 
-    Files are grouped by header first: reading them as one directory would bind by position.
-    """
-    heads: dict[tuple, list[str]] = {}
-    for r in spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("p"), F.split(F.regexp_replace("value", "^﻿", ""), r"\r?\n")[0].alias("h")).toLocalIterator():
-        heads.setdefault(tuple(r["h"].split(",")), []).append(r["p"])
-    out = None
-    for head, files in sorted(heads.items()):
-        raw = spark.read.text(files, wholetext=True).select(F.col("_metadata.file_name").alias("source_file"), F.regexp_replace("value", "^﻿", "").alias("__t"))
-        d = _lines(raw, "__t").where((F.col("line_no") > 1) & (F.trim("line") != ""))
-        ddl = ", ".join(f"`{h.strip()}` string" for h in head)
-        part = d.select("source_file", F.col("line_no").alias("source_row"), F.from_csv("line", ddl).alias("c")).select("source_file", "source_row", "c.*")
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+
+def read_heterogeneous_csv(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """CSVs with different headers as one table of text columns, with source_file and source_row."""
+    return heterogeneous_rows(delimited.read_lines(spark, list(paths)))
 
 
 # SRC-08 -----------------------------------------------------------------

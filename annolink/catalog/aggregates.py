@@ -229,6 +229,26 @@ def set_03(spark, d):
     return R.combine_lossless(b, o, o.where("o_orderstatus <> 'F'"))
 
 
+@query("set_03_combined_rows", """WITH e AS (SELECT o_orderkey AS xml_event_id, o_custkey AS bbox_id, o_orderpriority AS class, o_orderstatus AS event_type, o_custkey % 7 = 0 AS linked, o_orderkey % 5 = 0 AS is_primary,
+  to_json({'xml_event_id': o_orderkey, 'class': o_orderpriority, 'event_type': o_orderstatus, 'page': o_custkey % 9}) AS js, o_custkey % 9 AS page FROM orders),
+p AS (SELECT bbox_id, count(*) AS n, string_agg(CAST(xml_event_id AS VARCHAR), ',' ORDER BY NOT is_primary, xml_event_id) AS ids, string_agg(CAST(js AS VARCHAR), ',' ORDER BY NOT is_primary, xml_event_id) AS events,
+  first(xml_event_id ORDER BY NOT is_primary, xml_event_id) AS fi, first(page ORDER BY NOT is_primary, xml_event_id) AS fp FROM e WHERE NOT linked GROUP BY 1),
+b AS (SELECT c_custkey AS bbox_id, c_mktsegment AS class, c_nationkey AS hint, CASE c_nationkey % 3 WHEN 0 THEN 'matched' WHEN 1 THEN 'candidate' ELSE 'xml_missing' END AS st FROM customer)
+SELECT CAST(b.bbox_id AS VARCHAR) AS record_id, 'yolo' AS row_origin, CASE WHEN n > 0 AND st = 'matched' THEN 'aligned' WHEN n > 0 THEN st WHEN st = 'xml_missing' THEN 'yolo_only' ELSE 'unresolved' END AS combined_status, st AS source_alignment_status,
+ class, hint, coalesce(n, 0) AS event_count, md5(concat('[', coalesce(ids, ''), ']')) AS ids, md5(concat('[', coalesce(events, ''), ']')) AS events, fi AS event_id, fp AS event_page FROM b LEFT JOIN p USING (bbox_id)
+UNION ALL SELECT CAST(xml_event_id AS VARCHAR), 'xml', 'xml_only', 'xml_only', class, NULL, 1, md5(concat('[', xml_event_id, ']')), md5(concat('[', CAST(js AS VARCHAR), ']')), xml_event_id, page FROM e WHERE linked""")
+def set_03_rows(spark, d):
+    s = F.col("c_nationkey") % 3
+    b = t(spark, d, "customer").select(F.col("c_custkey").alias("bbox_id"), F.col("c_mktsegment").alias("class"), F.col("c_nationkey").alias("hint"),
+                                       F.when(s == 0, "matched").when(s == 1, "candidate").otherwise("xml_missing").alias("alignment_status"))
+    o = t(spark, d, "orders")
+    e = o.select(F.col("o_orderkey").alias("xml_event_id"), F.col("o_orderpriority").alias("class"), F.col("o_orderstatus").alias("event_type"), (F.col("o_custkey") % 9).alias("page"))
+    links = o.where("o_custkey % 7 <> 0").select(F.col("o_custkey").alias("bbox_id"), F.col("o_orderkey").alias("xml_event_id"), (F.col("o_orderkey") % 5 == 0).alias("is_primary"))
+    out = R.combine_rows(b, e, links)
+    return out.select("record_id", "row_origin", "combined_status", "source_alignment_status", "class", "hint", F.col("xml_event_count").cast("bigint").alias("event_count"),
+                      F.md5("xml_event_ids_json").alias("ids"), F.md5("xml_events_json").alias("events"), F.col("event_xml_event_id").alias("event_id"), "event_page")
+
+
 @query("set_05_set_checks", """SELECT 'missing_on_the_right' AS rule, CAST(c_custkey AS VARCHAR) AS detail FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')
 UNION ALL SELECT DISTINCT 'missing_on_the_left', CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'P' AND o_custkey NOT IN (SELECT c_custkey FROM customer)
 UNION ALL SELECT DISTINCT 'in_both', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey IN (SELECT s_suppkey FROM supplier)

@@ -128,3 +128,46 @@ def combine_lossless(boxes: DataFrame, events: DataFrame, links: DataFrame, box_
     right = lone.select(F.col(event_key).cast("string").alias("record_id"), F.lit("xml").alias("row_origin"), F.lit("xml_only").alias("combined_status"),
                         F.lit(1).cast("bigint").alias("event_count"), F.col(event_key).cast("string").alias("primary_event"))
     return left.unionByName(right)
+
+
+CONTROL = ["record_id", "row_origin", "combined_status", "source_alignment_status", "xml_event_ids_json", "xml_event_count", "xml_events_json"]  # fixed values
+#: Box columns that a row of an event alone takes from its event (fixed values).
+FROM_EVENT = {"score_id": "score_id", "xml_path": "source_xml_path", "xml_page": "page", "xml_measure": "xml_measure", "staff": "staff", "target_type": "event_type"}
+
+
+def combine_rows(boxes: DataFrame, events: DataFrame, links: DataFrame, official=S.OFFICIAL) -> DataFrame:
+    """The full combined row: official columns, control columns, the boxes' own columns, and event_* of the primary event.
+
+    boxes: bbox_id, alignment_status and any others. events: xml_event_id and any others. links: bbox_id, xml_event_id,
+    is_primary; each link counts. Every box is one row with all its linked events as JSON (primary ones first, then by
+    id); every event without a link is one row of its own. Columns that a side lacks are null.
+    """
+    extra = [c for c in events.columns if c not in official]
+    whole = F.to_json(F.struct(*events.columns))
+    ev = events.withColumn("__json", whole)
+    row = F.struct((~F.col("is_primary")).alias("p"), F.col("xml_event_id").alias("i"), F.col("__json").alias("j"), F.struct(*extra).alias("e"))
+    met = links.select("bbox_id", "xml_event_id", "is_primary").join(ev.select(*dict.fromkeys(["xml_event_id", "__json", *extra])), "xml_event_id").select("bbox_id", row.alias("r"))
+    listed = lambda c: F.concat(F.lit("["), F.array_join(c, ","), F.lit("]"))
+    per = met.groupBy("bbox_id").agg(F.array_sort(F.collect_list(F.struct("r.p", "r.i", "r.j"))).alias("__l"), F.min_by("r.e", F.struct("r.p", "r.i")).alias("__first"))
+    ids = lambda c: listed(F.transform(c, lambda x: F.to_json(F.array(x)).substr(F.lit(2), F.length(F.to_json(F.array(x))) - 2)))
+    b = boxes.join(per, "bbox_id", "left").withColumn("__n", F.coalesce(F.size("__l"), F.lit(0)))
+    some, status = F.col("__n") > 0, F.col("alignment_status")
+    state = F.when(some & (status == "matched"), "aligned").when(some, status).when(status == "xml_missing", "yolo_only").otherwise("unresolved")
+    own = [c for c in boxes.columns if c not in official and c not in CONTROL]
+    kind = dict(boxes.dtypes)
+    at = lambda c, cols: F.col(c) if c in cols else F.lit(None).cast("string")
+    none = F.array().cast("array<string>")
+    left = b.select(
+        *[at(c, boxes.columns).alias(c) for c in official], F.col("bbox_id").cast("string").alias("record_id"), F.lit("yolo").alias("row_origin"), state.alias("combined_status"),
+        status.alias("source_alignment_status"), F.coalesce(ids(F.transform("__l", lambda x: x["i"])), listed(none)).alias("xml_event_ids_json"), F.col("__n").alias("xml_event_count"),
+        F.coalesce(listed(F.transform("__l", lambda x: x["j"])), listed(none)).alias("xml_events_json"), *own, *[F.col(f"__first.{c}").alias(f"event_{c}") for c in extra])
+    lone = ev.join(links.select("xml_event_id"), "xml_event_id", "left_anti")
+    given = {c: F.col(e) for c, e in FROM_EVENT.items() if e in events.columns}
+    more = [c for c in given if c not in official and c not in own]
+    fill = lambda c: given[c].cast(kind[c]) if c in given else F.lit(None).cast(kind[c])
+    right = lone.select(
+        *[(F.col(c).cast(kind.get(c, "string")) if c in events.columns else F.lit(None).cast(kind.get(c, "string"))).alias(c) for c in official],
+        F.col("xml_event_id").cast("string").alias("record_id"), F.lit("xml").alias("row_origin"), F.lit("xml_only").alias("combined_status"), F.lit("xml_only").alias("source_alignment_status"),
+        ids(F.array("xml_event_id")).alias("xml_event_ids_json"), F.lit(1).alias("xml_event_count"), listed(F.array("__json")).alias("xml_events_json"),
+        *[fill(c).alias(c) for c in own], *[given[c].alias(c) for c in more], *[F.col(c).alias(f"event_{c}") for c in extra])
+    return left.unionByName(right, allowMissingColumns=True)

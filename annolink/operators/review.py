@@ -17,6 +17,11 @@ from .scan import number_rows
 from .windows import round_robin, sample_extremes
 
 KEY = ["page_id", "yolo_line"]
+#: Target columns and the decision columns that correct them, the first stated one counts (fixed values).
+TARGETS = {
+    "target_x_px": ["review_start_target_x_px", "review_target_x_px"], "target_y_px": ["review_start_target_y_px", "review_target_y_px"],
+    "end_target_x_px": ["review_end_target_x_px"], "end_target_y_px": ["review_end_target_y_px"],
+}
 
 
 def _id(df_keys=KEY) -> Column:
@@ -180,15 +185,20 @@ def gate(df: DataFrame, errors: DataFrame) -> DataFrame:
 def apply_decisions(rows: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows after the decisions, log). not_a_symbol and bad_bbox remove the row from the result, not from the log.
 
-    Approval is only ever set by a correction (of values or of the class).
+    Approval is only ever set by a correction (of values or of the class). A correction may also move the target
+    points; the start of a span goes before the single point.
     """
-    pre = [*S.SEMANTIC, "staff", "corrected_class_id", "corrected_class", "comment", "action"]
+    pre = [*S.SEMANTIC, "staff", "corrected_class_id", "corrected_class", "comment", "action", *[c for sources in TARGETS.values() for c in sources]]
     d = decisions.where(F.coalesce(norm_text("action"), F.lit("pending")) != "pending").select(*KEY, *[F.col(c).alias(f"__d_{c}") for c in pre if c in decisions.columns])
     j = rows.join(d, KEY, "left").withColumn("__act", F.coalesce("__d_action", F.lit("none")))
     act = F.col("__act")
     blank, correct, wrong, confirm = act.isin("reject", "scan_only", "bad_bbox", "wrong_class"), act == "correct", act == "wrong_class", act == "confirm"
     new = {c: F.when(blank, "").when(correct, blank_na(f"__d_{c}")).otherwise(F.col(c)) for c in S.SEMANTIC}
     new["xml_staff"] = F.when(correct, blank_na("__d_staff")).otherwise(F.col("xml_staff"))
+    for c, sources in TARGETS.items():
+        given = [norm_text(f"__d_{x}") for x in sources if x in decisions.columns]
+        if c in rows.columns and given:
+            new[c] = F.when(correct, F.coalesce(*[g.cast(rows.schema[c].dataType) for g in given], F.col(c))).otherwise(F.col(c))
     new["class"] = F.when(wrong, F.col("__d_corrected_class")).otherwise(F.col("class"))
     new["class_id"] = F.when(wrong, F.col("__d_corrected_class_id").cast(rows.schema["class_id"].dataType)).otherwise(F.col("class_id"))
     new["alignment_status"] = F.when(blank, "unresolved").when(correct | confirm, "matched").otherwise(recode_status("status", STATUS_REVIEW))

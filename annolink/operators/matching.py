@@ -422,13 +422,16 @@ def allocate_groups(groups: DataFrame, chords: DataFrame, page_w: float, wrong_s
 
 
 # MT-11 -----------------------------------------------------------------
-def optimal_match(edges: DataFrame, block, left: str, right: str, cost: str, small: int = 4096) -> DataFrame:
+def optimal_match(edges: DataFrame, block, left: str, right: str, cost: str, small: int = 4096, ties: int = 1_000_000) -> DataFrame:
     """Perfect matching of least total integer cost per block; a block without one gets no rows.
 
-    left and right are bigint ids. Blocks of up to `small` edges are solved inside one task, ties broken towards the smaller
-    right ids in left order. Larger ones run as an auction over the edge table: every free
-    left row bids for its best right row, prices rise, and with integer costs scaled by the
-    block size the result is optimal; no block is ever gathered in one place.
+    left and right are bigint ids. Among equal totals the answer that gives the first left row the smallest right row
+    wins, then the second, and so on, whatever the size of the block.
+
+    Blocks of up to `small` edges are solved inside one task. Larger ones run as an auction over the edge table: every
+    free left row bids for its best right row, prices rise, and with integer costs scaled by the block size the result
+    is optimal. The prices then show which edges can be part of any optimal answer; what these edges connect is solved
+    for itself, with the tie rule. Such a group of more than `ties` edges raises instead of being gathered.
     """
     block = list(block)
     e = edges.groupBy(*block, left, right).agg(F.min(F.col(cost).cast("bigint")).alias("cost"))
@@ -437,23 +440,37 @@ def optimal_match(edges: DataFrame, block, left: str, right: str, cost: str, sma
     nr = e.select(*block, right).distinct().groupBy(*block).agg(F.count(F.lit(1)).alias("__nr"))
     sizes = sizes.join(nl, block).join(nr, block).where(F.col("__nl") == F.col("__nr"))
     e = settle(e.join(sizes, block))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in e.select(*block, left, right, "cost").schema)
+    small_part = _solved(e.where(F.col("__edges") <= small), block, block, left, right)
+    big = e.where(F.col("__edges") > small)
+    if big.isEmpty():
+        return small_part
+    close = settle(_auction(big, block, left, right))
+    if not close.groupBy(*block, "component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > ties).isEmpty():
+        raise ValueError(f"more than {ties} edges of one block are tied with each other")
+    return small_part.unionByName(_solved(close, block, [*block, "component"], left, right))
+
+
+def _solved(e: DataFrame, block, group, left, right) -> DataFrame:
+    """Least-cost matching of each group, inside one task each."""
+    cols = [*block, left, right, "cost"]
 
     def solve(pdf):
         pairs = least_cost(pdf[left].tolist(), pdf[right].tolist(), pdf["cost"].tolist())
         head = {b: pdf[b].iloc[0] for b in block}
-        return pd.DataFrame([{**head, left: l, right: r, "cost": c} for l, r, c in pairs], columns=[*block, left, right, "cost"])
+        return pd.DataFrame([{**head, left: l, right: r, "cost": c} for l, r, c in pairs], columns=cols)
 
-    small_part = e.where(F.col("__edges") <= small).select(*block, left, right, "cost").groupBy(*block).applyInPandas(solve, schema)
-    big = e.where(F.col("__edges") > small)
-    if big.isEmpty():
-        return small_part
-    return small_part.unionByName(_auction(big, block, left, right))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in e.select(*cols).schema)
+    return e.select(*dict.fromkeys([*group, *cols])).groupBy(*group).applyInPandas(solve, schema)
 
 
 def _auction(e: DataFrame, block, left, right) -> DataFrame:
-    """Auction with bid step 1 on costs scaled by (n + 1)."""
-    e = settle(e.select(*block, left, right, "cost", (F.col("cost") * (F.col("__nl") + 1)).alias("__c")))
+    """Edges that can be part of an optimal matching, with the group that they connect (component).
+
+    Auction with bid step 1 on costs scaled by (n + 1). At its end a chosen edge costs a row at most 1 more than its
+    best one, prices included; so the excess of all edges of an optimal matching adds up to n at most, and an edge
+    with more excess is in none.
+    """
+    e = settle(e.select(*block, left, right, "cost", "__nl", (F.col("cost") * (F.col("__nl") + 1)).alias("__c")))
     # a block whose rows cannot all be served would never end: check by the largest matching first
     e = settle(e.join(_perfect_blocks(e, block, left, right), block, "left_semi"))
     price = settle(e.select(*block, right).distinct().withColumn("__p", F.lit(0).cast("bigint")))
@@ -475,7 +492,13 @@ def _auction(e: DataFrame, block, left, right) -> DataFrame:
         win = settle(win.select(*block, right, (-F.col("w.n")).alias(left), F.col("w.__bid").alias("__bid")))
         own = settle(own.join(win, [*block, right], "left_anti").unionByName(win.select(*block, right, left)))
         price = settle(price.join(win.select(*block, right, "__bid"), [*block, right], "left").select(*block, right, F.coalesce("__bid", "__p").alias("__p")))
-    return own.join(e, [*block, left, right]).select(*block, left, right, "cost")
+    offers = e.join(price, [*block, right]).withColumn("__v", F.col("__c") + F.col("__p"))
+    best = offers.groupBy(*block, left).agg(F.min("__v").alias("__best"))
+    close = settle(offers.join(best, [*block, left]).where(F.col("__v") - F.col("__best") <= F.col("__nl")).select(
+        *block, left, right, "cost", (F.col(left) * 2).alias("node"), (F.col(right) * 2 + 1).alias("other")))
+    nodes = close.select(*block, "node").unionByName(close.select(*block, F.col("other").alias("node"))).distinct()
+    group = components(nodes, close.select(*block, "node", "other"), block)
+    return close.join(group, [*block, "node"]).select(*block, "component", left, right, "cost")
 
 
 def _perfect_blocks(e, block, left, right) -> DataFrame:

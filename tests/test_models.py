@@ -182,10 +182,24 @@ def test_optimal_match_small_and_auction(spark):
             want_total[b] = min(opts)[0]
             want_pairs += [(b, l, r) for l, r in zip(ls, min(opts)[1])]
     assert rows(small, "b", "l", "r") == want_pairs
-    total = {}
-    for r in auction.collect():
-        total[r["b"]] = total.get(r["b"], 0) + r["cost"]
-    assert total == want_total
+    assert rows(auction, "b", "l", "r") == want_pairs
+    assert {r["b"]: r["t"] for r in auction.groupBy("b").agg(F.sum("cost").alias("t")).collect()} == want_total
+
+
+def test_optimal_match_ties_at_every_size(spark):
+    """Costs of 0 and 1 have very many optimal answers; both paths give the same one."""
+    rnd = random.Random(71)
+    data = [(b, l, r + 50, rnd.randrange(2)) for b in range(5) for l in range(5) for r in range(5) if l == r or rnd.random() < 0.85]
+    df = spark.createDataFrame(data, "b int, l long, r long, c long")
+    want = []
+    for b in range(5):
+        e = {(l, r): c for bb, l, r, c in data if bb == b}
+        order = min((sum(e[p] for p in enumerate(q)), q) for q in itertools.permutations(range(50, 55)) if all(p in e for p in enumerate(q)))[1]
+        want += [(b, l, r) for l, r in enumerate(order)]
+    for small in (0, 22, 4096):
+        assert rows(M.optimal_match(df, ["b"], "l", "r", "c", small=small), "b", "l", "r") == want
+    with pytest.raises(ValueError):
+        M.optimal_match(df, ["b"], "l", "r", "c", small=0, ties=2)
 
 
 def test_pair_lifo(spark):

@@ -1,7 +1,10 @@
 """Byte-level BPE by a contiguous rank array, and exact token counts of a compiled transducer.
 
-`encode` and `count` read whole texts. A null text is the empty text, which has no tokens.
-Repeated rows give repeated results; other columns never take part.
+`encode` reads whole texts. A null text is the empty text, which has no tokens. Repeated rows give repeated results;
+ids, null ones too, go through as they are; other columns never take part.
+
+Texts are split by the `regex` module, whose classes of some rare characters are not the library's. A text that has
+one of them is split by a slower pattern over the library's own classes.
 """
 
 from __future__ import annotations
@@ -11,10 +14,13 @@ import json
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .chars import Classes, classes_of
+from .near import pieces
+
 #: The split of byte-level texts before merging, and the largest rank.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 NONE = 1 << 60
@@ -30,7 +36,7 @@ def byte_letters() -> dict[str, int]:
 class Vocabulary:
     """Ranks of merged byte strings, ids and added tokens of a byte-level BPE file."""
 
-    def __init__(self, path: str, cache: int = 1 << 18):
+    def __init__(self, path: str, classes: Classes | None = None, cache: int = 1 << 18):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letter = byte_letters()
@@ -42,7 +48,9 @@ class Vocabulary:
         self.ids = {raw(t): i for t, i in spec["model"]["vocab"].items() if t not in self.added}
         self.bytes = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.added.items()}
         self.rank = {(raw(a), raw(b)): r for r, (a, b) in enumerate(spec["model"]["merges"])}
-        self.split = regex.compile(SPLIT)
+        self.classes = classes or classes_of(path)
+        self.split, self.split_odd = regex.compile(SPLIT), self.classes.split_pattern()
+        self.odd, self.odd_byte = self.classes.odd_characters(), self.classes.odd_byte()
         self.stops = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.known: dict[str, tuple[int, ...]] = {}
         self.cache = cache
@@ -113,13 +121,19 @@ class Vocabulary:
                 look(before[i])
         return [piece[i:end[i]] for i in range(n) if alive[i]]
 
+    def is_odd(self, text: str) -> bool:
+        """Whether the text has a character that the two modules class differently."""
+        high = np.frombuffer(text.encode(), dtype=np.uint8).max(initial=0) >= self.odd_byte
+        return bool(high) and not self.odd.isdisjoint(text)
+
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
+        split = self.split_odd if self.is_odd(text) else self.split
         for part in self.stops.split(text) if self.added else [text]:
             if part in self.added:
                 out.append(self.added[part])
             else:
-                for piece in self.split.findall(part):
+                for piece in split.findall(part):
                     out.extend(self.word(piece))
         return out
 
@@ -130,36 +144,43 @@ class Vocabulary:
 _LOADED: dict[str, Vocabulary] = {}
 
 
-def vocabulary(path: str) -> Vocabulary:
+def vocabulary(path: str, classes: Classes | None = None) -> Vocabulary:
     """One vocabulary per Python worker."""
     if path not in _LOADED:
-        _LOADED[path] = Vocabulary(path)
+        _LOADED[path] = Vocabulary(path, classes)
     return _LOADED[path]
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, ids array<int>, decoded string); one output row per input row, null as empty text."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = vocabulary(path)
-        for b in batches:
-            ids = [v.encode(x or "") for x in b["text"]]
-            yield pd.DataFrame({"key": b["key"], "ids": ids, "decoded": [v.decode(i) for i in ids]})
+    classes = classes_of(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(path, classes)
+        for b in pieces(batches, 64):
+            ids = [v.encode(x or "") for x in b.column("text").to_pylist()]
+            columns = [b.column("key"), pa.array(ids, pa.list_(pa.int32())), pa.array([v.decode(i) for i in ids], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "ids", "decoded"])
 
     rows = docs.selectExpr(f"`{id_col}` AS key", f"`{text_col}` AS text")
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInPandas(run, f"key {kind}, ids array<int>, decoded string").withColumnRenamed("key", id_col)
+    return rows.mapInArrow(run, f"key {kind}, ids array<int>, decoded string").withColumnRenamed("key", id_col)
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
     """As `encode`, with digests made beside the ids so that neither ids nor texts leave the task."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = vocabulary(path)
-        for b in batches:
+    classes = classes_of(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(path, classes)
+        for b in pieces(batches):
             out = []
-            for key, text in zip(b["doc_id"], b["text"]):
+            for text in b.column("text").to_pylist():
                 ids = v.encode(text or "")
-                out.append((key, len(ids), hashlib.sha256(np.asarray(ids, dtype="<u4").tobytes()).hexdigest(),
-                            hashlib.sha256(v.decode(ids).encode()).hexdigest()))
-            yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                out.append((len(ids), hashlib.sha256(np.asarray(ids, dtype="<u4").tobytes()).hexdigest(), hashlib.sha256(v.decode(ids).encode()).hexdigest()))
+            n, first, second = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())],
+                                             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    rows = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text")
+    return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -7,7 +7,8 @@ are composed by a parallel prefix scan (doubling). With the entry state of each
 transitions that close a piece are found at once, and each piece emits its count.
 
 Contractions ('s, 't, ...) and the blank before a word need one character of look-back and are
-settled on the pieces the machine marks. A null text is the empty text; it has no tokens.
+settled on the pieces the machine marks. A null text is the empty text; it has no tokens. Ids, null ones too, go
+through as they are. The classes are the library's own (see chars.py).
 """
 
 from __future__ import annotations
@@ -15,28 +16,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-import regex
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import vocabulary
+from .chars import BLANK, SPACE, classes_of
+from .near import pieces
 
-#: Character classes, which are also the states of the machine: the class of the character before.
-LETTER, NUMBER, BLANK, SPACE, OTHER = range(5)
 CHUNK = 4096
-_KIND = {LETTER: regex.compile(r"\p{L}"), NUMBER: regex.compile(r"\p{N}"), SPACE: regex.compile(r"\p{White_Space}")}
-_CLASS = np.full(0x110000, 255, dtype=np.uint8)
-
-
-def classes(points: np.ndarray) -> np.ndarray:
-    """Class of each code point; each distinct one is looked up once per worker."""
-    got = _CLASS[points]
-    if (got == 255).any():
-        for p in np.unique(points[got == 255]):
-            c = chr(p)
-            _CLASS[p] = BLANK if c == " " else next((k for k, r in _KIND.items() if r.match(c)), OTHER)
-        got = _CLASS[points]
-    return got
 
 
 def machine() -> tuple[np.ndarray, np.ndarray]:
@@ -73,10 +60,10 @@ def entry_states(cls: np.ndarray, start: int) -> np.ndarray:
     return np.concatenate([[start], maps[:-1, start]]).astype(np.int64)
 
 
-def starts(text: str) -> np.ndarray:
-    """Positions where pieces start."""
+def starts(text: str, table: np.ndarray) -> np.ndarray:
+    """Positions where pieces start; table: class of every code point."""
     points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
-    cls = classes(points).astype(np.int64)
+    cls = table[points].astype(np.int64)
     n = len(cls)
     if n == 0:
         return np.zeros(0, dtype=np.int64)
@@ -105,14 +92,14 @@ def starts(text: str) -> np.ndarray:
     return np.flatnonzero(opens)
 
 
-def count(text: str, v) -> int:
+def count(text: str, v, table: np.ndarray) -> int:
     """Tokens that the machine emits over one text."""
     total = 0
     for part in v.stops.split(text):
         if part in v.added:
             total += 1
         elif part:
-            at = starts(part).tolist()
+            at = starts(part, table).tolist()
             at.append(len(part))
             word = v.word
             for a, b in zip(at, at[1:]):
@@ -122,11 +109,15 @@ def count(text: str, v) -> int:
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit; one row per input row."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = vocabulary(path)
-        for b in batches:
-            text = [x or "" for x in b["text"]]
-            n = [count(x, v) for x in text]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": [len(x.encode()) for x in text], "n_tokens": n, "over_limit": [k > limit for k in n]})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    classes = classes_of(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, table = vocabulary(path, classes), classes.table()
+        for b in pieces(batches):
+            text = [x or "" for x in b.column("text").to_pylist()]
+            n = [count(x, v, table) for x in text]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x.encode()) for x in text], pa.int64()), pa.array(n, pa.int64()), pa.array([k > limit for k in n], pa.bool_())],
+                                             names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+
+    rows = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text")
+    return rows.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")

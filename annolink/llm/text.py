@@ -48,7 +48,7 @@ def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df, key: str = "doc_id"):
-    """Deal rows over all tasks when the input has fewer file splits than the session has slots."""
+def spread(df):
+    """Deal rows evenly over all tasks where the input has fewer splits than the session has slots; else leave it alone."""
     slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(4 * slots, key)
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(4 * slots)

@@ -9,6 +9,8 @@ from ..operators import quality as Q
 from ..operators import reconcile as R
 from ..operators.scan import cell_of
 from ..sources.sinks import run_report
+from ..streaming import attempts as AT
+from ..streaming import incremental as I
 from .base import DAY, EV, LI, OD, events, lines, orders, query, t
 
 def day_cells():
@@ -218,6 +220,21 @@ def set_02(spark, d):
     return R.build_links(boxes, evs, occ).select("bbox_id", "xml_event_id", "relation_type", "link_method", "is_primary")
 
 
+@query("ag_15_isolated_units", """WITH b AS (SELECT DISTINCT c_nationkey FROM customer WHERE c_custkey IN (20, 77)), u AS (SELECT c_nationkey, count(*) AS n, c_nationkey IN (SELECT c_nationkey FROM b) AS bad FROM customer GROUP BY 1)
+SELECT CASE WHEN bad THEN 'failed' ELSE 'completed' END AS status, count(*) AS units, CAST(sum(CASE WHEN bad THEN 0 ELSE n END) AS BIGINT) AS rows, CAST(sum(CASE WHEN bad THEN 0 ELSE n END) AS BIGINT) AS stored FROM u GROUP BY bad""")
+def ag_15_units(spark, d):
+    src = t(spark, d, "customer").select(F.col("c_nationkey").alias("unit_id"), "c_custkey", "c_acctbal")
+    out = AT.scratch(spark)
+    todo = I.pending(I.unit_digest(src, ["unit_id"], ["c_custkey", "c_acctbal"]), spark.createDataFrame([], "unit_id int, digest string, version string, status string, row_count bigint"))
+    bad = F.when(F.col("c_custkey").isin(20, 77), F.raise_error(F.concat(F.lit("unreadable row "), "c_custkey")).cast("double")).otherwise(F.col("c_acctbal"))
+    AT.run_units(todo, src, lambda df: df.withColumn("c_acctbal", bad), f"{out}/rows", f"{out}/ledger", "")
+    ledger = spark.read.parquet(f"{out}/ledger")
+    found = AT.committed(spark, f"{out}/rows", f"{out}/ledger").groupBy("unit_id").agg(F.count(F.lit(1)).alias("stored"))
+    state = AT.last_entries(ledger).join(found, "unit_id", "left")
+    counts = A.batch_summary(src.select("unit_id").distinct(), AT.unit_results(ledger), "unit_id")
+    return counts.join(state.groupBy("status").agg(F.sum(F.coalesce("stored", F.lit(0))).alias("stored")), "status")
+
+
 @query("set_03_combine_lossless", """WITH l AS (SELECT o_custkey AS bbox_id, o_orderkey AS eid FROM orders WHERE o_orderstatus <> 'F'), p AS (SELECT bbox_id, count(*) AS n, min(eid) AS f FROM l GROUP BY 1)
 SELECT CAST(c_custkey AS VARCHAR) AS record_id, 'yolo' AS row_origin, CASE WHEN n > 0 AND c_nationkey % 3 = 0 THEN 'aligned' WHEN n > 0 AND c_nationkey % 3 = 1 THEN 'candidate' WHEN n > 0 THEN 'xml_missing' WHEN c_nationkey % 3 = 2 THEN 'yolo_only' ELSE 'unresolved' END AS combined_status,
  coalesce(n, 0) AS event_count, CAST(f AS VARCHAR) AS primary_event FROM customer LEFT JOIN p ON bbox_id = c_custkey

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classes import recode_status
 from ..operators.quality import expect_same_keys, expect_unique
+from ..session import settle
 
 
 # INC-01 -----------------------------------------------------------------
@@ -46,18 +47,20 @@ def pending(manifest: DataFrame, ledger: DataFrame, outputs: DataFrame | None =
 
 
 def run_pending(todo: DataFrame, source: DataFrame, build: Callable[[DataFrame], DataFrame], out_path: str, ledger_path: str, version: str) -> int:
-    """Build the pending units into their own partitions and note them in the ledger; returns how many."""
-    todo = todo.select("unit_id", "digest", "expected_rows").persist()
+    """Build the pending units into their own partitions and note them in the ledger; returns how many.
+
+    Only the pending units are built, written and counted; other partitions are not read. One error fails the run;
+    attempts.run_units keeps failing units apart.
+    """
+    todo = settle(todo.select("unit_id", "digest", "expected_rows"))
     n = todo.count()
     if n:
-        out = build(source.join(todo.select("unit_id"), "unit_id", "left_semi"))
+        out = settle(build(source.join(todo.select("unit_id"), "unit_id", "left_semi")))
         out.write.mode("overwrite").partitionBy("unit_id").option("partitionOverwriteMode", "dynamic").parquet(out_path)
-        done = todo.sparkSession.read.schema(out.schema).parquet(out_path).groupBy("unit_id").agg(F.count(F.lit(1)).alias("row_count"))
-        done = done.withColumn("unit_id", F.col("unit_id").cast(todo.schema["unit_id"].dataType))
+        done = out.groupBy("unit_id").agg(F.count(F.lit(1)).alias("row_count"))
         todo.join(done, "unit_id", "left").select(
             "unit_id", "digest", F.lit(version).alias("version"), F.when(F.col("expected_rows").isNull() | (F.coalesce("row_count", F.lit(0)) == F.col("expected_rows")), "completed").otherwise("failed").alias("status"),
             F.coalesce("row_count", F.lit(0).cast("bigint")).alias("row_count"), F.current_timestamp().alias("noted_at")).write.mode("append").parquet(ledger_path)
-    todo.unpersist()
     return n
 
 
@@ -121,7 +124,8 @@ def prepare_score(sources: DataFrame, build: Callable[[DataFrame], DataFrame], l
     """Score-level tables shared by all pages, built once per content.
 
     sources: score_id and the content columns; the unit is the score and its digest covers
-    every column, so a changed source is built again and an unchanged one is not.
+    every column, so a changed source is built again and an unchanged one is not. ledger: all its entries, or the
+    last one of each unit.
     """
     cols = [c for c in sources.columns if c != "score_id"]
     m = unit_digest(sources, ["score_id"], cols, version).withColumnRenamed("score_id", "unit_id")
@@ -129,5 +133,5 @@ def prepare_score(sources: DataFrame, build: Callable[[DataFrame], DataFrame], l
     if ledger is None:
         todo = m
     else:
-        todo = pending(m, ledger, version=version)
+        todo = pending(m, latest(ledger) if "noted_at" in ledger.columns else ledger, version=version)
     return run_pending(todo, sources.withColumnRenamed("score_id", "unit_id"), lambda d: build(d.withColumnRenamed("unit_id", "score_id")).withColumnRenamed("score_id", "unit_id"), out_path, ledger_path, version)

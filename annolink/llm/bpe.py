@@ -123,18 +123,21 @@ class Vocabulary:
 
     def is_odd(self, text: str) -> bool:
         """Whether the text has a character that the two modules class differently."""
+        if text.isascii():
+            return False
         high = np.frombuffer(text.encode(), dtype=np.uint8).max(initial=0) >= self.odd_byte
         return bool(high) and not self.odd.isdisjoint(text)
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         split = self.split_odd if self.is_odd(text) else self.split
+        known, word = self.known.get, self.word
         for part in self.stops.split(text) if self.added else [text]:
             if part in self.added:
                 out.append(self.added[part])
             else:
                 for piece in split.findall(part):
-                    out.extend(self.word(piece))
+                    out += known(piece) or word(piece)
         return out
 
     def decode(self, ids) -> str:

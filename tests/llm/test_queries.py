@@ -191,5 +191,6 @@ def test_empty_tables(spark, data, tmp_path):
     d = str(tmp_path)
     for name in ("documents", "benchmark", "labels"):
         spark.read.parquet(f"{data[0]}/{name}.parquet").limit(0).write.parquet(f"{d}/{name}.parquet")
+    spark.read.parquet(f"{SRC}/embeddings.parquet").limit(0).write.parquet(f"{d}/embeddings.parquet")
     for name, fn in queries.QUERIES.items():
         assert fn(spark, d).count() == 0, name

@@ -231,4 +231,4 @@ def jn_17(spark, d):
         F.floor((F.get("embedding", F.lit(1)) + 1) * 500).cast("bigint").alias("y"))
     a = e.where("side = 0").withColumnRenamed("vec_id", "click_id")
     b = e.where("side = 1").withColumnRenamed("vec_id", "cand_id")
-    return J.snap_points(a, b, ["block"], "click_id", "cand_id", "x", "y", 10, 8.0).drop("block")
+    return J.snap_points(a, b, ["block"], "click_id", "cand_id", "x", "y", 8.0).drop("block")

@@ -217,7 +217,7 @@ SELECT user_id, event_id, CAST(rank AS INTEGER) AS rank, note_id, distance4 FROM
 def mt_13(spark, d):
     e = events(spark, d).select("user_id", "event_id", F.floor(F.col("us") / 60_000_000).alias("x"), F.col("cents").alias("y"), "event_type")
     notes = e.where("event_type = 'click'").withColumnRenamed("event_id", "note_id").drop("event_type")
-    return M.candidate_lists(e.where("event_type = 'purchase'").drop("event_type"), notes, ["user_id"], "event_id", "note_id", 8, 1440 * 7)
+    return M.candidate_lists(e.where("event_type = 'purchase'").drop("event_type"), notes, ["user_id"], "event_id", "note_id", 8)
 
 
 @query("mt_13_measure_order", f"""WITH {EV} SELECT event_id AS note_id, row_number() OVER (PARTITION BY user_id, us // {DAY}, event_type ORDER BY us // 60000000, cents, event_id) AS measure_note_order FROM ev""")

@@ -13,6 +13,7 @@ from ..session import settle
 from .dyadic import cover_rows, node_rows
 from .nearest import Axis, nearest_1d, nearest_l1
 from .pick import smallest
+from .plane import k_nearest, squared
 from .scan import Fold, cell_of, number_rows, scan, stack
 
 
@@ -374,36 +375,12 @@ def require(df: DataFrame, wanted: DataFrame, keys) -> tuple[DataFrame, DataFram
 
 
 # JN-17 -----------------------------------------------------------------
-def snap_points(clicks: DataFrame, cands: DataFrame, keys, click_id: str, cand_id: str, x: str, y: str, bits: int,
-                max_distance: float, width=None) -> DataFrame:
-    """Nearest candidate by straight-line distance; the distance is given even when it is too far.
-
-    The nearest row under |dx|+|dy| gives a radius that the true nearest cannot exceed. The
-    plane is then searched on the grid level of that radius only. Candidates at one
-    coordinate count once (smaller id). Coordinates are integers in [0, 2**bits).
+def snap_points(clicks: DataFrame, cands: DataFrame, keys, click_id: str, cand_id: str, x: str, y: str, max_distance: float) -> DataFrame:
+    """Nearest candidate by straight-line distance, the smaller id of equals; the distance is given even when it is
+    too far. A key without candidates has NULLs. Coordinates are integers.
     """
     keys = list(keys)
-    c = cands.groupBy(*keys, x, y).agg(F.min(cand_id).alias(cand_id))
-    k = clicks.select(*keys, click_id, x, y)
-    near = nearest_l1(k, c, keys, click_id, cand_id, x, x, 1, [Axis(y, y, 1, bits)], width)
-    bound = k.join(near, [*keys, click_id], "left")
-    level = F.ceil(F.log2(F.greatest(F.col("near.cost"), F.lit(1)).cast("double"))).cast("int")
-    bound = bound.withColumn("level", level)
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    size = F.pow(F.lit(2.0), F.col("level"))
-    ask = bound.where(F.col("level").isNotNull()).withColumn("__s", F.explode(steps)).select(
-        *keys, click_id, F.col(x).alias("__x"), F.col(y).alias("__y"), "level",
-        (F.floor(F.col(x) / size) + F.col("__s.i")).cast("bigint").alias("gx"),
-        (F.floor(F.col(y) / size) + F.col("__s.j")).cast("bigint").alias("gy"),
-    )
-    levels = ask.select(*keys, "level", "gx", "gy").distinct()
-    grid = c.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(bits + 1))))
-    grid = grid.withColumns(
-        {"gx": F.floor(F.col(x) / F.pow(F.lit(2.0), "level")).cast("bigint"), "gy": F.floor(F.col(y) / F.pow(F.lit(2.0), "level")).cast("bigint")}
-    ).join(levels, [*keys, "level", "gx", "gy"], "left_semi")
-    d2 = (F.col("__x") - F.col(x)) * (F.col("__x") - F.col(x)) + (F.col("__y") - F.col(y)) * (F.col("__y") - F.col(y))
-    best = ask.join(grid, [*keys, "level", "gx", "gy"]).groupBy(*keys, click_id).agg(
-        F.min(F.struct(d2.alias("d2"), F.col(cand_id).alias("id"))).alias("b"))
-    out = clicks.select(*keys, click_id).join(best, [*keys, click_id], "left")
-    dist = F.sqrt(F.col("b.d2").cast("double"))
-    return out.select(*keys, click_id, F.when(dist <= max_distance, F.col("b.id")).alias(cand_id), F.col("b.d2").alias("distance2"))
+    near = k_nearest(clicks, cands, keys, click_id, cand_id, 1, squared, x, y, out="distance2")
+    out = clicks.select(*keys, click_id).join(near.select(*keys, click_id, cand_id, "distance2"), [*keys, click_id], "left")
+    close = F.sqrt(F.col("distance2").cast("double")) <= max_distance
+    return out.select(*keys, click_id, F.when(close, F.col(cand_id)).alias(cand_id), "distance2")

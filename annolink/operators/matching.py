@@ -16,6 +16,7 @@ from .assignment import least_cost
 from .nearest import Axis, nearest_l1
 from .ordering import top_k
 from .pick import smallest
+from .plane import k_nearest, weighted_l1
 from .scan import Fold, cell_of, number_rows, scan, stack
 
 EXCLUDED = 1_000_000  # fixed value: a cost from here on means "never"
@@ -542,32 +543,15 @@ def measure_order(notes: DataFrame, keys, cells=()) -> DataFrame:
     return number_rows(notes, keys, ["x", "y", "note_id"], "measure_note_order", cells)
 
 
-def candidate_lists(rows: DataFrame, notes: DataFrame, keys, row_id: str, note_id: str, k: int = 64, width: int | None = None) -> DataFrame:
+def candidate_lists(rows: DataFrame, notes: DataFrame, keys, row_id: str, note_id: str, k: int = 64) -> DataFrame:
     """k nearest notes per row by 4*|dx| + 3*|dy| (quarter ticks), ties by x, y, id.
 
-    rows and notes: keys, id, x, y (integers). The k notes before and after a row along x
-    bound its k-th distance; only notes whose |dx| can still matter are then compared.
-    Rows about a span are not expanded: their list is the page's note table itself.
+    rows and notes: keys, id, x, y (integers). Rows about a span are not expanded: their list is the page's note
+    table itself.
     """
     keys = list(keys)
-    n = number_rows(notes.select(*keys, note_id, "x", "y"), keys, ["x", note_id], "pos", [cell_of("x", width)] if width else [])
-    n = settle(n)
-
-    def rank_of(queries, at, name, strict):
-        both, order = stack(queries, n.select(*keys, F.col("x")), keys, [F.col(at)], [F.col("x")], right_first=not strict)
-        out = scan(both, keys, [*order, "__side"], [Fold(name, "sum", F.when(F.col("__r").isNotNull(), 1).otherwise(0))], [cell_of("__o0", width)] if width else [])
-        return out.where(F.col("__l").isNotNull()).select("__l.*", name)
-
-    q = rank_of(rows.select(*keys, row_id, F.col("x").alias("qx"), F.col("y").alias("qy")), "qx", "at", False)
-    dist = 4 * F.abs(F.col("qx") - F.col("x")) + 3 * F.abs(F.col("qy") - F.col("y"))
-    near = q.withColumn("pos", F.explode(F.sequence(F.col("at") - (k - 1), F.col("at") + k))).join(n, [*keys, "pos"]).withColumn("d", dist)
-    kth = top_k(near, [*keys, row_id], [F.col("d"), F.col("pos")], k).groupBy(*keys, row_id).agg(F.max("d").alias("far"), F.count(F.lit(1)).alias("seen"))
-    b = q.drop("at").join(kth, [*keys, row_id])
-    reach = F.when(F.col("seen") == k, F.ceil(F.col("far") / 4)).otherwise(F.lit(1 << 40)).cast("bigint")
-    b = b.withColumns({"__lo": F.col("qx") - reach, "__hi": F.col("qx") + reach})
-    b = rank_of(rank_of(b, "__lo", "p0", True), "__hi", "p1", False)
-    c = b.withColumn("pos", F.explode(F.sequence(F.col("p0") + 1, F.col("p1")))).join(n, [*keys, "pos"]).withColumn("distance4", dist)
-    return top_k(c, [*keys, row_id], [F.col("distance4"), F.col("x"), F.col("y"), F.col(note_id)], k).select(*keys, row_id, "rank", note_id, "distance4")
+    near = k_nearest(rows, notes, keys, row_id, note_id, k, weighted_l1(4, 3), ties=("x", "y"), out="distance4")
+    return near.select(*keys, row_id, "rank", note_id, "distance4")
 
 
 # MT-14 -----------------------------------------------------------------

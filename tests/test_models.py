@@ -85,7 +85,7 @@ def test_snap_points(spark):
     rnd = random.Random(13)
     a = [(0, i, rnd.randrange(128), rnd.randrange(128)) for i in range(30)]
     b = [(0, i, rnd.randrange(128), rnd.randrange(128)) for i in range(25)]
-    got = J.snap_points(spark.createDataFrame(a, "k int, c int, x long, y long"), spark.createDataFrame(b, "k int, n int, x long, y long"), ["k"], "c", "n", "x", "y", 7, 9.0)
+    got = J.snap_points(spark.createDataFrame(a, "k int, c int, x long, y long"), spark.createDataFrame(b, "k int, n int, x long, y long"), ["k"], "c", "n", "x", "y", 9.0)
     want = []
     for _, i, x, y in a:
         d, j = min(((x - p) ** 2 + (y - q) ** 2, n) for _, n, p, q in b)

@@ -6,17 +6,19 @@ The top four bits of a word are the selector. Selectors 0 to 13 pack COUNTS[s] i
 lowest bits first; the last word of a block may be filled with zeros. Selector 15 is the escape: the
 word after it holds one id of up to 64 bits. Blocks are decoded apart, all words of a selector at once.
 
-A null text is the empty text: it has the end id alone. Repeated document ids are repeated documents.
+A null text is the empty text: it has the end id alone. Null document ids come first and stay null. Repeated
+document ids are repeated documents, in order of a hash of their texts.
 """
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,6 +29,8 @@ from ..session import ensure_checkpoint_dir
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 ESCAPE = 15
 BLOCK_IDS = 1 << 18
+#: Characters encoded in one call, unless a single text is longer.
+CALL_CHARS = 1 << 17
 SCHEMA = "part int, block int, doc_ids array<bigint>, offsets array<bigint>, n_ids bigint, words binary"
 
 
@@ -97,38 +101,55 @@ def unpack(data: bytes, n: int) -> np.ndarray:
 
 def write_ids(docs: DataFrame, tokenizer: str, target: str, end_id: int) -> None:
     """Encode whole texts and write the blocks in order of doc_id."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         from tokenizers import Tokenizer
 
+        # a task is one core: the threads of the library would only add memory
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tok = Tokenizer.from_file(tokenizer)
         tok.no_padding()
         tok.no_truncation()
         part, block = TaskContext.get().partitionId(), 0
-        held: list = []
-        size = 0
+        keys, held, size = [], [], 0
 
         def flush():
-            offsets = np.concatenate([[0], np.cumsum([len(i) for _, i in held])])
-            ids = np.concatenate([i for _, i in held])
-            return pd.DataFrame([(part, block, [k for k, _ in held], offsets.tolist(), len(ids), pack(ids))],
-                                columns=["part", "block", "doc_ids", "offsets", "n_ids", "words"])
+            offsets = np.cumsum([0, *map(len, held)])
+            return pa.RecordBatch.from_arrays([
+                pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([keys], pa.list_(pa.int64())), pa.array([offsets], pa.list_(pa.int64())),
+                pa.array([offsets[-1]], pa.int64()), pa.array([pack(np.concatenate(held))], pa.binary())], ["part", "block", "doc_ids", "offsets", "n_ids", "words"])
 
         for b in batches:
-            keys, texts = b["doc_id"].tolist(), [x or "" for x in b["text"]]
-            for i in range(0, len(keys), 64):
-                for key, e in zip(keys[i:i + 64], tok.encode_batch(texts[i:i + 64], add_special_tokens=False)):
-                    held.append((key, np.asarray([*e.ids, end_id], dtype=np.uint64)))
-                    size += len(held[-1][1])
+            for ids, texts in calls(b):
+                # no offsets are asked for, and the library's own rows are dropped with the call
+                for key, e in zip(ids, tok.encode_batch_fast(texts, add_special_tokens=False)):
+                    keys.append(key)
+                    held.append(np.array([*e.ids, end_id], dtype=np.uint32))
+                    size += len(held[-1])
                     if size >= BLOCK_IDS:
                         yield flush()
-                        held, size, block = [], 0, block + 1
+                        keys, held, size, block = [], [], 0, block + 1
         if held:
             yield flush()
 
     parts = max(1, docs.sparkSession.sparkContext.defaultParallelism * 4)
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInPandas(run, SCHEMA).write.parquet(target)
+    order = ["doc_id", "tie"]
+    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ordered.select("doc_id", "text").mapInArrow(run, SCHEMA).write.parquet(target)
+
+
+def calls(batch: pa.RecordBatch) -> Iterator[tuple[list, list]]:
+    """Ids and texts of a batch in runs of about CALL_CHARS characters."""
+    ids, texts, chars = [], [], 0
+    for key, text in zip(batch.column(0), batch.column(1)):
+        ids.append(key.as_py())
+        texts.append(text.as_py() or "")
+        chars += len(texts[-1])
+        if chars >= CALL_CHARS:
+            yield ids, texts
+            ids, texts, chars = [], [], 0
+    if ids:
+        yield ids, texts
 
 
 def read_ids(spark, source: str) -> DataFrame:
@@ -137,17 +158,18 @@ def read_ids(spark, source: str) -> DataFrame:
     `start` is the sum of all blocks before (one small row each, summed per part first) and the
     document's place in its block.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.itertuples(index=False):
-                ids = unpack(row.words, row.n_ids).astype("<u4")
-                cut = np.asarray(row.offsets)
-                yield pd.DataFrame({
-                    "part": row.part, "block": row.block, "doc_id": np.asarray(row.doc_ids, dtype=np.int64), "place": cut[:-1], "n_tokens": np.diff(cut),
-                    "ids_crc32": [zlib.crc32(ids[a:e].tobytes()) for a, e in zip(cut, cut[1:])]})
+            for part, block, keys, offsets, n, words in zip(*b.columns):
+                ids = unpack(words.as_py(), n.as_py()).astype("<u4")
+                cut = offsets.values.to_numpy()
+                many = len(cut) - 1
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([part.as_py()] * many, pa.int32()), pa.array([block.as_py()] * many, pa.int32()), keys.values, pa.array(cut[:-1]), pa.array(np.diff(cut)),
+                    pa.array([zlib.crc32(ids[a:e]) for a, e in zip(cut, cut[1:])], pa.int64())], ["part", "block", "doc_id", "place", "n_tokens", "ids_crc32"])
 
     blocks = spark.read.schema(SCHEMA).parquet(source)
-    rows = blocks.mapInPandas(run, "part int, block int, doc_id bigint, place bigint, n_tokens bigint, ids_crc32 bigint")
+    rows = blocks.select("part", "block", "doc_ids", "offsets", "n_ids", "words").mapInArrow(run, "part int, block int, doc_id bigint, place bigint, n_tokens bigint, ids_crc32 bigint")
     sizes = blocks.select("part", "block", "n_ids")
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))
     # as many rows as the file has parts

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from annolink.llm import queries
+from annolink.llm import idfile, queries
 from annolink.llm.idfile import pack, unpack
 from annolink.llm.licences import BASE
 from annolink.llm.queries import QUERIES, tokenizer
@@ -194,3 +194,19 @@ def test_empty_tables(spark, data, tmp_path):
     spark.read.parquet(f"{SRC}/embeddings.parquet").limit(0).write.parquet(f"{d}/embeddings.parquet")
     for name, fn in queries.QUERIES.items():
         assert fn(spark, d).count() == 0, name
+
+
+def test_id_files_with_null_and_repeated_ids(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(queries.tokenizer("word_bpe_49k.json"))
+    big = 2 ** 53 + 1
+    rows = [(None, "a b"), (None, None), (5, "x y z"), (5, "x"), (5, "x"), (big, "long " * 50_000), (big + 1, "")]
+    got = idfile.stored(spark.createDataFrame(rows, "doc_id bigint, text string"), queries.tokenizer("word_bpe_49k.json")).collect()
+    count = [len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows]
+    assert sorted(((r.doc_id or 0), r.n_tokens) for r in got) == sorted(((k or 0), n) for (k, _), n in zip(rows, count))
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == [None, None, 5, 5, 5, big, big + 1]

@@ -2,24 +2,27 @@
 
 Heuristic labellers vote good, bad or abstain on each document. Expectation-maximisation estimates their
 accuracies from the counts of vote patterns (at most 3 ** labellers rows, however many documents).
-The posterior labels of a bounded sample (MAX_FIT documents with the smallest hash) train a
-hashed linear scorer that reads words only; every document is scored. On an empty table the prior is
-one half. Null and empty texts get the votes of an empty text; repeated rows give repeated results.
+The posterior labels of a bounded sample (the MAX_FIT different rows with the smallest hash of id and text)
+train a hashed linear scorer that reads words only; every document is scored. Votes are taken once and kept with
+the texts in a table of the shared folder. On an empty table the prior is one half. Null and empty texts get the
+votes of an empty text; a null id is an id like any other; repeated rows give repeated results and are fitted once.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settle
-from .text import SPACE_WORD, let, lower_ascii, words
+from ..session import ensure_checkpoint_dir
+from .text import SPACE_WORD, let, lower_ascii, row_key, words
 
 MAX_FIT = 10_000
 HASHES = 1 << 15
@@ -70,9 +73,25 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     return prior, chance
 
 
+def smallest_hashes(v: DataFrame, rows: int) -> int:
+    """The MAX_FIT-th smallest different hash, or the greatest if there are fewer."""
+    share = min(1.0, 2 * MAX_FIT / max(rows, 1))
+    while True:
+        # hashes are even over 64 bits: a first guess of the range is widened until it holds enough
+        cut = (1 << 63) - 1 if share >= 1 else -(1 << 63) + int(share * (1 << 64))
+        found = v.where(F.col("h") <= cut).select("h").distinct().orderBy("h").limit(MAX_FIT).agg(F.count(F.lit(1)).alias("n"), F.max("h").alias("last")).first()
+        if found["n"] == MAX_FIT or share >= 1:
+            return found["last"] if found["n"] else -(1 << 63)
+        share = min(1.0, share * 8)
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, votes as a string, posterior, score of the linear scorer, kept."""
-    v = votes(docs)
+    spark = docs.sparkSession
+    ensure_checkpoint_dir(spark)
+    target = f"{spark.sparkContext.getCheckpointDir()}/votes-{uuid.uuid4().hex}"
+    votes(docs).withColumn("h", row_key("doc_id", "text")).write.parquet(target)
+    v = spark.read.parquet(target)
     cols = [f"v_{x}" for x in LABELLERS]
     rows = v.groupBy(*cols).count().collect()  # at most 3 ** 8 patterns
     prior, chance = expectation_maximisation(np.array([[r[c] for c in cols] for r in rows], dtype=int).reshape(-1, len(cols)), np.array([r["count"] for r in rows], dtype=float))
@@ -86,11 +105,15 @@ def score(docs: DataFrame) -> DataFrame:
     def features(df):
         return hashed.transform(df.withColumn("w", words(lower_ascii(F.col("text")), SPACE_WORD)))
 
-    fit_ids = v.select("doc_id", "posterior", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(MAX_FIT)
-    sample = settle(docs.select("doc_id", "text").join(fit_ids, "doc_id"))
+    # distinct rows up to the MAX_FIT-th smallest hash; copies of a row meet in partial aggregates
+    last = smallest_hashes(v, sum(r["count"] for r in rows))
+    sample = v.where(F.col("h") <= last).groupBy("h").agg(F.first("text").alias("text"), F.first("posterior").alias("posterior"))
     if rows:
+        # bounded by MAX_FIT rows; fitting reads them in every step
+        sample = sample.persist(StorageLevel.DISK_ONLY)
         both = sample.withColumn("x", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("posterior").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("posterior")).alias("weight")))))
         model = LogisticRegression(maxIter=15, regParam=0.01, weightCol="weight").fit(features(both.select("text", "x.label", "x.weight")).select("features", "label", "weight"))
+        sample.unpersist()
         v = model.transform(features(v)).withColumn("score", vector_to_array("probability")[1])
     else:
         v = v.withColumn("score", F.col("posterior"))

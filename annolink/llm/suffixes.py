@@ -9,16 +9,17 @@ minimiser, with exactly the words of the windows that belong to it.
    passage of a third of all rows is spread). The longer of the common prefixes with both neighbours is the
    longest with any suffix, so it tells which windows can be repeated at all. A row that equals its neighbour in
    all words is repeated as a whole; one row of such a run stands for its words in step 2.
-2. Hashes of the windows that can be repeated are sorted in the same way; equal neighbours are repeated windows,
-   whatever stands to the left or right of them.
+2. Texts that have such windows are read again. 64-bit hashes of the exact words of these windows are sorted in
+   the same way; equal neighbours are repeated windows, whatever stands to the left or right of them.
 
-Words are compared by 32-bit (seed) and 16-bit (extension) hashes, windows by 64-bit hashes of these. Null and
-empty texts have no words; repeated ids are places of one document, and equal rows of one id repeat each other.
+Step 1 compares words by 32-bit (seed) and 16-bit (extension) hashes, which can only name windows too many; rows
+count as equal in all words if a 64-bit hash of all their words agrees as well. Null and empty texts have no words.
+Each row is judged by its own text, whatever its id: rows of one id are rows like any others, ids may be null, and
+equal rows of one id repeat each other.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .text import ITEM_WORD, lower_ascii, words
+from .text import ITEM_WORD, lower_ascii, row_key, words
 
 GRAM, WINDOW, SEED, MIN_WORDS = 8, 24, 28, 51
 
@@ -47,21 +48,44 @@ def minimisers(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return place, first, first + many - 1
 
 
+def word_hashes(terms) -> np.ndarray:
+    return pd.util.hash_array(np.asarray(terms, dtype=object), categorize=False)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64 bits without pattern."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def span_hashes(h: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words from first to end - 1, from running sums of a polynomial (modulo 2 ** 64)."""
+    base = 0x9E3779B97F4A7C15
+    up, down = (np.full(len(h) + 1, x, dtype=np.uint64) for x in (base, pow(base, -1, 1 << 64)))
+    up[0] = down[0] = 1
+    up, down = np.cumprod(up), np.cumprod(down)
+    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mixed(h) * up[:-1], dtype=np.uint64)])
+    return mixed((total[end] - total[first]) * down[first]).view(np.int64)
+
+
 def suffixes(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, suffix (seed and what follows), prior (words before, nearest first)."""
+    """key, pos, suffix (seed and what follows), prior (words before, nearest first), whole (hash of all their words)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for key, terms in zip(b["doc_id"], b["w"]):
+            for key, terms in zip(b["key"], b["w"]):
                 if len(terms) < MIN_WORDS:
                     continue
-                h = pd.util.hash_array(np.asarray(terms, dtype=object), categorize=False)
+                h = word_hashes(terms)
                 seed, rest = (h >> np.uint64(32)).astype(">u4"), (h & np.uint64(0xFFFF)).astype(">u2")
-                for p, first, last in zip(*(x.tolist() for x in minimisers(h))):
-                    out.append((key, p, seed[p:p + SEED].tobytes() + rest[p + SEED:last + MIN_WORDS].tobytes(), rest[first:p][::-1].tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "pos", "suffix", "prior"]).astype({"doc_id": "Int64"})
+                place, firsts, lasts = minimisers(h)
+                whole = span_hashes(h, firsts, lasts + MIN_WORDS)
+                for p, first, last, exact in zip(*(x.tolist() for x in (place, firsts, lasts, whole))):
+                    out.append((key, p, seed[p:p + SEED].tobytes() + rest[p + SEED:last + MIN_WORDS].tobytes(), rest[first:p][::-1].tobytes(), exact))
+            yield pd.DataFrame(out, columns=["key", "pos", "suffix", "prior", "whole"])
 
-    return docs.select("doc_id", words(lower_ascii(F.col("text")), ITEM_WORD).alias("w")).mapInPandas(run, "doc_id bigint, pos bigint, suffix binary, prior binary")
+    return docs.select("key", words(lower_ascii(F.col("text")), ITEM_WORD).alias("w")).mapInPandas(run, "key bigint, pos bigint, suffix binary, prior binary, whole bigint")
 
 
 def reach(a: bytes, b: bytes) -> int:
@@ -74,44 +98,45 @@ def reach(a: bytes, b: bytes) -> int:
     return SEED + next(i for i in range((n - cut) // 2) if a[cut + 2 * i:cut + 2 * i + 2] != b[cut + 2 * i:cut + 2 * i + 2])
 
 
-def window_keys(suffix: bytes, prior: bytes, right: int) -> Iterator[tuple[int, int]]:
-    """(words before the suffix, hash) of its windows with at most `right` words of it."""
-    cut = 4 * SEED
-    most = SEED + (len(suffix) - cut) // 2
-    for o in range(MIN_WORDS - min(right, most), len(prior) // 2 + 1):
-        content = bytes([o]) + prior[:2 * o] + suffix[:cut + 2 * (MIN_WORDS - SEED - o)]
-        yield o, int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "big", signed=True)
+def windows_within(row, right: int) -> tuple[int, int] | None:
+    """First and last start of the windows of a suffix with at most `right` of its words."""
+    most = SEED + (len(row[2]) - 4 * SEED) // 2
+    least, many = MIN_WORDS - min(right, most), len(row[3]) // 2
+    return (row[1] - many, row[1] - max(least, 0)) if least <= many else None
 
 
-FOUND = "doc_id bigint, first bigint, last bigint, key bigint, pos bigint, suffix binary, prior binary, right bigint"
+FOUND = "key bigint, first bigint, last bigint, twin boolean, pos bigint, suffix binary, prior binary, whole bigint, right bigint"
 
 
 def matches(sorted_suffixes: DataFrame, ends: bool) -> DataFrame:
-    """Rows equal to a neighbour as (first, last), windows that can be repeated as (key, first), and the first and
-    last suffix of each task as edges (pos, suffix, prior, right so far). ends: the rows are all edges, in one task."""
+    """Rows equal to a neighbour as twin (first, last) words, starts of windows that can be repeated as (first, last), and
+    the first and last suffix of each task as edges (pos, suffix, prior, whole, right so far). ends: the rows are all
+    edges, in one task."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cols = [x.split()[0] for x in FOUND.split(", ")]
-        kinds = {x: "Int64" for x in ("doc_id", "first", "last", "key", "pos", "right")}
+        kinds = {x: "Int64" for x in ("key", "first", "last", "pos", "whole", "right")}
 
         def settled(row, right, twin, edge):
             if edge and not ends:
-                out.append((row[0], None, None, None, row[1], row[2], row[3], right))
+                out.append((row[0], None, None, False, *row[1:5], right))
             elif right and (ends or not twin):
-                out.extend((row[0], row[1] - o, None, key, None, None, None, None) for o, key in window_keys(row[2], row[3], right))
+                starts = windows_within(row, right)
+                if starts:
+                    out.append((row[0], *starts, False, None, None, None, None, None))
 
         held, right, twin, edge = None, 0, False, True
         for b in batches:
             out = []
-            for row in zip(b["doc_id"].astype("Int64"), b["pos"], b["suffix"], b["prior"], b["right"]):
+            for row in zip(b["key"], b["pos"], b["suffix"], b["prior"], b["whole"], b["right"]):
                 if held is None:
-                    held, right = row, row[4]
+                    held, right = row, row[5]
                     continue
                 r = reach(held[2], row[2])
-                same = held[2] == row[2] and held[3] == row[3]
+                same = held[4] == row[4] and held[2] == row[2] and held[3] == row[3]
                 if same:
-                    out += [(x[0], x[1] - len(x[3]) // 2, x[1] + r - 1, None, None, None, None, None) for x in (held, row)]
+                    out += [(x[0], x[1] - len(x[3]) // 2, x[1] + r - 1, True, None, None, None, None, None) for x in (held, row)]
                 settled(held, max(right, r), twin, edge)
-                held, right, twin, edge = row, max(r, row[4]), same, False
+                held, right, twin, edge = row, max(r, row[5]), same, False
             yield pd.DataFrame(out, columns=cols, dtype=object).astype(kinds)
         if held is not None:
             out = []
@@ -121,51 +146,67 @@ def matches(sorted_suffixes: DataFrame, ends: bool) -> DataFrame:
     return sorted_suffixes.mapInPandas(run, FOUND)
 
 
+def windows_of(texts: DataFrame) -> DataFrame:
+    """key, first and hash of the exact words of each window that starts in one of the ranges of a text."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for key, terms, ranges in zip(b["key"], b["w"], b["ranges"]):
+                h = word_hashes(terms)
+                first = np.unique(np.concatenate([np.arange(r["first"], r["last"] + 1) for r in ranges]))
+                yield pd.DataFrame({"key": key, "first": first, "content": span_hashes(h, first, first + MIN_WORDS)})
+
+    return texts.select("key", words(lower_ascii(F.col("text")), ITEM_WORD).alias("w"), "ranges").mapInPandas(run, "key bigint, first bigint, content bigint")
+
+
 def equal_windows(sorted_windows: DataFrame) -> DataFrame:
-    """doc_id, first, key of rows whose key is a neighbour's, and the first and last row of each task as edges."""
+    """key, first, content of rows whose content is a neighbour's, and the first and last row of each task as edges."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, rows = None, 0
         for b in batches:
             if not len(b):
                 continue
             rows += len(b)
-            b = b.astype({"doc_id": "Int64"}).assign(edge=False)
+            b = b.assign(edge=False)
             if held is None:
                 yield b.iloc[:1].assign(edge=True)
             else:
                 b = pd.concat([held, b], ignore_index=True)
-            key = b["key"].to_numpy()
+            content = b["content"].to_numpy()
             equal = np.zeros(len(b), dtype=bool)
-            equal[1:] = key[1:] == key[:-1]
+            equal[1:] = content[1:] == content[:-1]
             equal[:-1] |= equal[1:]
             yield b[equal]
             held = b.iloc[-1:]
         if rows > 1:
             yield held.assign(edge=True)
 
-    return sorted_windows.mapInPandas(run, "doc_id bigint, first bigint, key bigint, edge boolean")
+    return sorted_windows.mapInPandas(run, "key bigint, first bigint, content bigint, edge boolean")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_repeat_words, spans [first, last] of repeated passages; a row per document."""
     parts = max(docs.sparkSession.sparkContext.defaultParallelism * 4, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    order = ["suffix", "prior", "doc_id", "pos"]
-    ranked = suffixes(docs).withColumn("right", F.lit(0).cast("bigint")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    rows = docs.select("doc_id", "text", row_key("doc_id", "text").alias("key"))
+    order = ["suffix", "prior", "whole", "key", "pos"]
+    ranked = suffixes(rows).withColumn("right", F.lit(0).cast("bigint")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     found = settle(matches(ranked, ends=False))
     # at most two rows per task: neighbours that lie in different tasks
-    edges = settle(matches(found.where("suffix is not null").select("doc_id", "pos", "suffix", "prior", "right").repartition(1).sortWithinPartitions(*order), ends=True))
+    edges = settle(matches(found.where("suffix is not null").select("key", "pos", "suffix", "prior", "whole", "right").repartition(1).sortWithinPartitions(*order), ends=True))
     found = found.where("suffix is null").unionByName(edges)
-    order = ["key", "doc_id", "first"]
-    windows = settle(equal_windows(found.where("key is not null").select("doc_id", "first", "key").repartitionByRange(parts, *order).sortWithinPartitions(*order)))
-    ends = equal_windows(windows.where("edge").select("doc_id", "first", "key").repartition(1).sortWithinPartitions(*order))
-    windows = windows.where("not edge").unionByName(ends.where("not edge")).select("doc_id", "first", (F.col("first") + MIN_WORDS - 1).alias("last"))
-    spans = found.where("last is not null").select("doc_id", "first", "last").unionByName(windows).distinct()
+    # one text per key: equal rows share it
+    ranges = found.where("not twin").groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+    texts = rows.select("key", "text").join(ranges.select("key"), "key", "left_semi").dropDuplicates(["key"]).join(ranges, "key")
+    order = ["content", "key", "first"]
+    windows = settle(equal_windows(windows_of(texts).repartitionByRange(parts, *order).sortWithinPartitions(*order)))
+    ends = equal_windows(windows.where("edge").select("key", "first", "content").repartition(1).sortWithinPartitions(*order))
+    windows = windows.where("not edge").unionByName(ends.where("not edge")).select("key", "first", (F.col("first") + MIN_WORDS - 1).alias("last"))
+    spans = found.where("twin").select("key", "first", "last").unionByName(windows).distinct()
     # spans that touch become one
-    w = W.partitionBy("doc_id").orderBy("first", "last")
+    w = W.partitionBy("key").orderBy("first", "last")
     reached = spans.withColumn("reach", F.max("last").over(w.rowsBetween(W.unboundedPreceding, -1)))
     island = reached.withColumn("nth", F.sum(F.when(F.col("reach") >= F.col("first") - 1, 0).otherwise(1)).over(w))
-    merged = island.groupBy("doc_id", "nth").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    per = merged.groupBy("doc_id").agg(F.sum(F.col("last") - F.col("first") + 1).alias("n"), F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
-    total = docs.select("doc_id", F.regexp_count(lower_ascii(F.col("text")), F.lit(ITEM_WORD)).cast("bigint").alias("n_words"))
-    return total.join(per.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", "n_words", F.coalesce("n", F.lit(0).cast("bigint")).alias("n_repeat_words"),
-                                                    F.coalesce("spans", F.array().cast("array<struct<first:bigint,last:bigint>>")).alias("spans"))
+    merged = island.groupBy("key", "nth").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    per = merged.groupBy("key").agg(F.sum(F.col("last") - F.col("first") + 1).alias("n"), F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
+    total = rows.select("doc_id", "key", F.regexp_count(lower_ascii(F.col("text")), F.lit(ITEM_WORD)).cast("bigint").alias("n_words"))
+    return total.join(per, "key", "left").select("doc_id", "n_words", F.coalesce("n", F.lit(0).cast("bigint")).alias("n_repeat_words"),
+                                                 F.coalesce("spans", F.array().cast("array<struct<first:bigint,last:bigint>>")).alias("spans"))

@@ -110,3 +110,47 @@ def test_pipeline(spark):
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert 0 < len(out) == len({r.doc_id for r in out})
+
+
+def test_words_of_equal_short_hash_do_not_repeat(spark):
+    """Texts that differ in one word only, by two words whose hashes agree in the low bits of step 1."""
+    import pandas as pd
+
+    names = [f"w{i}" for i in range(2000)]
+    low = defaultdict(list)
+    for name, h in zip(names, pd.util.hash_array(pd.Series(names).to_numpy(), categorize=False)):
+        low[int(h) & 0xFFFF].append(name)
+    pairs = [v[:2] for v in low.values() if len(v) > 1][:20]
+    assert pairs
+    rows = []
+    for i, pair in enumerate(pairs):
+        for j, odd in enumerate(pair):
+            rows.append((2 * i + j, " ".join([*(f"a{i}x{k}" for k in range(44)), odd, *(f"b{i}x{k}" for k in range(30))])))
+    got = suffixes.repeated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert [r.n_repeat_words for r in got] == [0] * len(rows)
+
+
+def test_null_large_and_repeated_ids_in_repeats(spark):
+    same, other = " ".join(f"s{k}" for k in range(80)), " ".join(f"o{k}" for k in range(60))
+    big = 2 ** 53
+    rows = [(big + 1, same), (big + 3, same), (None, "two words"), (5, same), (5, "two words"), (None, other), (7, None), (8, "")]
+    got = Counter((r.doc_id, r.n_words, r.n_repeat_words) for r in suffixes.repeated(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == Counter([(big + 1, 80, 80), (big + 3, 80, 80), (None, 2, 0), (5, 80, 80), (5, 2, 0), (None, 60, 0), (7, 0, 0), (8, 0, 0)])
+
+
+def test_weak_labels_with_null_and_repeated_ids(spark):
+    good = " ".join(f"Sentence {k} has some plain words." for k in range(20))
+    rows = [(None, good), (None, "###"), (None, None)] + [(5, good)] * 300 + [(5, "$$ 11 %%")]
+    got = weak.score(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(got) == len(rows) and sum(r.doc_id is None for r in got) == 3
+    none = weak.score(spark.createDataFrame([(None, good), (None, "#")], "doc_id bigint, text string")).collect()
+    assert len(none) == 2
+
+
+def test_hash_range_is_widened_to_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(weak, "MAX_FIT", 7)
+    v = spark.range(400).select(F.xxhash64(F.col("id") % 20).alias("h"))
+    want = sorted(r.h for r in v.distinct().collect())
+    assert weak.smallest_hashes(v, 400) == want[6]
+    monkeypatch.setattr(weak, "MAX_FIT", 50)
+    assert weak.smallest_hashes(v, 400) == want[-1]

@@ -3,7 +3,7 @@
 Candidates are runs of 16 or more key characters with the words around them. The forest sees length,
 character transitions, dictionary coverage, path signs and neighbouring words. Labelled findings are
 the candidates that strict signatures settle: known key shapes or an assignment to a secret's name
-(positive), and plain words or paths without digits (negative). At most MAX_LABELLED of them, those with the
+(positive), and plain words or paths without digits (negative). At most MAX_LABELLED of each class, those with the
 smallest hash, train the forest; every candidate is scored. With one class only (also on empty
 tables) the strict signature decides. Null and empty texts have no candidates; equal candidates of
 one row count once; each row is judged by itself, also if its id is repeated or null: rows are told
@@ -21,14 +21,17 @@ from pyspark.sql import functions as F
 from ..session import settle
 from .text import row_key
 
-MAX_LABELLED = 20_000
-#: Candidate shape with up to 40 characters before it, secret names, common words.
-CANDIDATE = r"(?:[^\n]{0,40}?)(?<![A-Za-z0-9_+/=\-])[A-Za-z0-9_+/=\-]{16,}"
-TAIL = r"([A-Za-z0-9_+/=\-]{16,})$"
+#: Labelled candidates of each class that train the forest.
+MAX_LABELLED = 10_000
+#: Candidate shape, secret names, common words.
+CANDIDATE = r"[A-Za-z0-9_+/=\-]{16,}+"
+#: Characters of the same line that are read before and after a candidate.
+CONTEXT = 40
 NAMES = r"(?:token|secret|passw(?:or)?d|pwd|api_?key|access_?key|auth|credential|key)"
 KNOWN = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|xox[abpr]-[A-Za-z0-9\-]{10,}|sk-[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{30,}|eyJ[A-Za-z0-9_\-]{20,})"
 DICTIONARY = r"(?:the|and|for|with|that|this|from|have|able|ing|tion|ment|ness|http|www|com|org|html|index|page|user|name|data|file|path|test|example|sample|value|version|public|private|license|ation|ence|ance|ight|ound|ther|ouse|est|ere|ent|and|her|ver|ist)"
-FEATURES = ("length", "digits", "uppers", "signs", "flips", "cases", "covered", "slashes", "dots", "named", "assigned", "placeholder")
+PROSE = r"\b(?:the|a|an|of|and|or|in|to|is|for|with|on|by|see|at)\b"
+FEATURES = ("length", "digits", "uppers", "signs", "flips", "cases", "covered", "slashes", "dots", "named", "assigned", "placeholder", "prose_before", "prose_after", "closed")
 
 
 def share(c: Column, pattern: str) -> Column:
@@ -37,15 +40,20 @@ def share(c: Column, pattern: str) -> Column:
 
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, secret, features and the strict label (1, 0 or null)."""
-    ctx = F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(CANDIDATE), F.lit(0)))).alias("ctx")
-    c = docs.select("doc_id", ctx).withColumn("secret", F.regexp_extract("ctx", TAIL, 1)).where("secret <> ''")
-    before = F.lower(F.substring(F.col("ctx"), F.lit(1), F.length("ctx") - F.length("secret")))
+    text = F.coalesce("text", F.lit(""))
+    # what lies between the candidates gives the words on both sides
+    found = docs.select("doc_id", F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("s"), F.split(text, CANDIDATE).alias("gap")).where("size(s) > 0")
+    each = F.transform("s", lambda v, i: F.struct(v.alias("secret"), F.regexp_extract(F.right(F.col("gap")[i], F.lit(CONTEXT)), r"[^\n]*$", 0).alias("before"),
+                                                  F.regexp_extract(F.left(F.col("gap")[i + 1], F.lit(CONTEXT)), r"^[^\n]*", 0).alias("after")))
+    c = found.select("doc_id", F.explode(F.array_distinct(each)).alias("c")).select("doc_id", "c.secret", F.lower("c.before").alias("before"), F.lower("c.after").alias("after"))
+    before, after = F.col("before"), F.col("after")
     s = F.col("secret")
     c = c.select(
         "doc_id", "secret", F.length(s).cast("double").alias("length"), share(s, "[0-9]").alias("digits"), share(s, "[A-Z]").alias("uppers"), share(s, r"[_+/=\-]").alias("signs"),
         share(s, "(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])").alias("flips"), share(s, "(?<=[a-z])(?=[A-Z])").alias("cases"),
         (1 - F.length(F.regexp_replace(F.lower(s), DICTIONARY, "")) / F.length(s)).alias("covered"), share(s, "/").alias("slashes"), F.regexp_count(before, F.lit(r"[./]")).cast("double").alias("dots"),
-        before.rlike(NAMES).cast("double").alias("named"), before.rlike(r"[=:]\s*[\"']?$").cast("double").alias("assigned"), F.lower(s).rlike("example|xxxx|sample|changeme|placeholder").cast("double").alias("placeholder"))
+        before.rlike(NAMES).cast("double").alias("named"), before.rlike(r"[=:]\s*[\"']?$").cast("double").alias("assigned"), F.lower(s).rlike("example|xxxx|sample|changeme|placeholder").cast("double").alias("placeholder"),
+        before.rlike(PROSE).cast("double").alias("prose_before"), after.rlike(PROSE).cast("double").alias("prose_after"), after.rlike(r"^[\"']?\s*(?:$|[,;)}])").cast("double").alias("closed"))
     strict = s.rlike(KNOWN) | ((F.col("named") > 0) & (F.col("assigned") > 0) & (F.col("digits") > 0))
     label = F.when(strict & (F.col("placeholder") == 0), 1.0).when(((F.col("digits") == 0) & (F.col("named") == 0)) | (F.col("placeholder") > 0) | ((F.col("slashes") > 0) & (F.col("dots") > 0)), 0.0)
     return c.withColumn("label", label)
@@ -53,9 +61,12 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 def findings(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, secret, score, is_secret: one row per distinct candidate of a document."""
-    c = candidates(docs)
+    # kept once: labels and scores both read it
+    c = settle(candidates(docs))
     vector = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    labelled = settle(c.where("label is not null").select("label", *FEATURES).dropDuplicates().withColumn("h", F.xxhash64(*FEATURES)).orderBy("h").limit(MAX_LABELLED))
+    rows = c.where("label is not null").select("label", *FEATURES).dropDuplicates().withColumn("h", F.xxhash64(*FEATURES))
+    # each class apart, so that rare secrets are not crowded out
+    labelled = settle(rows.where("label = 1").orderBy("h").limit(MAX_LABELLED).union(rows.where("label = 0").orderBy("h").limit(MAX_LABELLED)))
     if labelled.select("label").distinct().count() == 2:
         # both classes weigh the same
         share_of_one = labelled.agg(F.avg("label")).first()[0]

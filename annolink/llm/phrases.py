@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .text import ITEM_WORD, grams, lower_ascii, row_key, words
+from .text import ANY_CASE, ITEM_WORD, grams, lower_ascii, row_key, words
 
 #: Terms asked for are broadcast up to this number (some 30 MB); beyond it they are joined by a shuffle.
 SMALL = 200_000
@@ -32,9 +32,9 @@ def limited(asked: DataFrame, rows: int) -> DataFrame:
 
 
 def postings(docs: DataFrame, asked: DataFrame, rows: int) -> DataFrame:
-    """Positional lists of the terms asked for."""
+    """Positional lists of the terms asked for, with what asks for them."""
     every = docs.select("doc_id", F.posexplode(words(lower_ascii(F.col("text")), ITEM_WORD)).alias("pos", "term"))
-    return every.join(limited(asked, rows), "term", "left_semi")
+    return every.join(limited(asked, rows), "term")
 
 
 def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
@@ -51,21 +51,27 @@ def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
     ranked = settle(ranked.where(F.col("r")[0]["df"] > 0).select("wid", "len", F.slice("r", 1, 2).alias("r")))
     probes = ranked.select("wid", "len", F.size("r").alias("need"), F.explode("r").alias("x")).select("wid", "len", "need", "x.off", "x.term")
     n_probes = probes.count()
-    lists = postings(docs.withColumnRenamed("row", "doc_id"), probes.select("term").distinct(), n_probes)
-    shifted = lists.join(limited(probes, n_probes), "term").where("pos >= off").withColumnRenamed("doc_id", "row")
+    lists = postings(docs.withColumnRenamed("row", "doc_id"), probes, n_probes)
+    shifted = lists.where("pos >= off").withColumnRenamed("doc_id", "row")
     met = shifted.groupBy("row", "wid", (F.col("pos") - F.col("off")).alias("start")).agg(
         F.count_distinct("off").alias("got"), F.first("need").alias("need"), F.first("len").alias("len"))
     met = met.where("got = need").select("row", "wid", "start", "len")
-    met = met.join(windows.select("wid", "terms"), "wid")
-    asked = met.groupBy("row").agg(F.collect_list(F.struct("wid", "start", "len", "terms")).alias("m"))
-    text = docs.select("row", words(lower_ascii(F.col("text")), ITEM_WORD).alias("w"))
-    exact = asked.join(text, "row").select("row", F.filter("m", lambda x: F.slice(F.col("w"), x["start"] + 1, x["len"]) == x["terms"]).alias("m"))
+    met = settle(met)
+    holders = met.select("row").distinct()
+    n_holders = holders.count()
+    text = docs
+    if n_holders <= SMALL:
+        # texts without a candidate stay where they are; beyond that number the join below moves texts, not words
+        text = docs.join(F.broadcast(holders), "row", "left_semi")
+    asked = met.join(windows.select("wid", "terms"), "wid").groupBy("row").agg(F.collect_list(F.struct("wid", "start", "len", "terms")).alias("m"))
+    read = asked.join(text, "row").select("row", "m", words(lower_ascii(F.col("text")), ITEM_WORD).alias("w"))
+    exact = read.select("row", F.filter("m", lambda x: F.slice(F.col("w"), x["start"] + 1, x["len"]) == x["terms"]).alias("m"))
     return exact.select("row", F.explode("m").alias("m")).select("row", "m.wid", "m.start", "m.len")
 
 
 def near(docs: DataFrame, first: str, second: str, within: int) -> DataFrame:
-    """Proximity: (doc_id, pos, other) where two terms stand at most `within` words apart."""
-    asked = docs.sparkSession.createDataFrame([(first,), (second,)], "term string")
+    """Proximity: (doc_id, pos, other) where two terms stand at most `within` words apart, at different places."""
+    asked = docs.sparkSession.createDataFrame([(term,) for term in sorted({first, second})], "term string")
     lists = postings(docs, asked, 2).withColumn("cell", F.floor(F.col("pos") / (within + 1)))
     a = lists.where(F.col("term") == first).select("doc_id", "pos", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
     b = lists.where(F.col("term") == second).select("doc_id", F.col("pos").alias("other"), "cell")
@@ -81,7 +87,7 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
         F.sequence(F.col("start"), F.col("start") + F.col("len") - 1))))).cast("bigint").alias("n_hit"))
     which = found.select("row", "wid").distinct().join(owners, "wid").groupBy("row").agg(
         F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    total = docs.select("doc_id", row_key("doc_id", "text").alias("row"), F.regexp_count(lower_ascii(F.col("text")), F.lit(ITEM_WORD)).cast("bigint").alias("n_words"))
+    total = docs.select("doc_id", row_key("doc_id", "text").alias("row"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(ANY_CASE)).cast("bigint").alias("n_words"))
     out = total.join(hit, "row", "left").join(which, "row", "left")
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
                       F.coalesce("items", F.array().cast("array<string>")).alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))

@@ -7,8 +7,11 @@ import string
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words are runs of letters, digits and everything outside ASCII.
-ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words are runs of letters, digits and everything outside ASCII. Stated as what belongs to a word: Java matches the
+#: complement of the ASCII rest, which is the same set, several times slower.
+ITEM_WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
+#: The same words in a text whose capitals still stand, for counts.
+ANY_CASE = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 #: Words are runs of anything but ASCII white space.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 

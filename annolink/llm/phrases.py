@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .text import ANY_CASE, ITEM_WORD, grams, lower_ascii, row_key, words
+from .text import ANY_CASE, ITEM_WORD, grams, let, lower_ascii, lower_word, row_key, words
 
 #: Terms asked for are broadcast up to this number (some 30 MB); beyond it they are joined by a shuffle.
 SMALL = 200_000
@@ -33,8 +33,8 @@ def limited(asked: DataFrame, rows: int) -> DataFrame:
 
 def postings(docs: DataFrame, asked: DataFrame, rows: int) -> DataFrame:
     """Positional lists of the terms asked for, with what asks for them."""
-    every = docs.select("doc_id", F.posexplode(words(lower_ascii(F.col("text")), ITEM_WORD)).alias("pos", "term"))
-    return every.join(limited(asked, rows), "term")
+    every = docs.select("doc_id", F.posexplode(words(F.col("text"), ANY_CASE)).alias("pos", "term"))
+    return every.withColumn("term", lower_word(F.col("term"))).join(limited(asked, rows), "term")
 
 
 def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
     slots = windows.select("wid", F.size("terms").alias("len"), F.posexplode("terms").alias("off", "term"))
     vocabulary = settle(slots.select("term").distinct())
     n_terms = vocabulary.count()
-    every = docs.select(F.explode(words(lower_ascii(F.col("text")), ITEM_WORD)).alias("term"))
+    every = docs.select(F.explode(words(F.col("text"), ANY_CASE)).alias("term")).select(lower_word(F.col("term")).alias("term"))
     df = every.join(limited(vocabulary, n_terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     # the rarest two places of each window; a window with a term that no document has is dropped
     ranked = slots.join(df, "term", "left").groupBy("wid", "len").agg(
@@ -64,8 +64,9 @@ def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
         # texts without a candidate stay where they are; beyond that number the join below moves texts, not words
         text = docs.join(F.broadcast(holders), "row", "left_semi")
     asked = met.join(windows.select("wid", "terms"), "wid").groupBy("row").agg(F.collect_list(F.struct("wid", "start", "len", "terms")).alias("m"))
-    read = asked.join(text, "row").select("row", "m", words(lower_ascii(F.col("text")), ITEM_WORD).alias("w"))
-    exact = read.select("row", F.filter("m", lambda x: F.slice(F.col("w"), x["start"] + 1, x["len"]) == x["terms"]).alias("m"))
+    # the words of a text are taken once, not once for each of its windows
+    exact = asked.join(text, "row").select("row", let(words(lower_ascii(F.col("text")), ITEM_WORD), lambda w: F.filter(
+        "m", lambda x: F.slice(w, x["start"] + 1, x["len"]) == x["terms"])).alias("m"))
     return exact.select("row", F.explode("m").alias("m")).select("row", "m.wid", "m.start", "m.len")
 
 

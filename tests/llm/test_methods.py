@@ -154,3 +154,34 @@ def test_hash_range_is_widened_to_the_sample(spark, monkeypatch):
     assert weak.smallest_hashes(v, 400) == want[6]
     monkeypatch.setattr(weak, "MAX_FIT", 50)
     assert weak.smallest_hashes(v, 400) == want[-1]
+
+
+def test_proximity_against_brute_force(spark):
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["Alpha", "beta", "gamma", "Öl", "x1"]) for _ in range(r.randint(0, 60))) for _ in range(40)] + [None, "", "beta"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for first, second, within in (("alpha", "beta", 3), ("alpha", "alpha", 2), ("beta", "none", 5)):
+        want = Counter()
+        for i, t in enumerate(texts):
+            w = ITEM.findall((t or "").translate(LOWER))
+            want.update((i, p, q) for p in range(len(w)) for q in range(len(w)) if p != q and abs(p - q) <= within and w[p] == first and w[q] == second)
+        assert Counter(tuple(x) for x in phrases.near(docs, first, second, within).collect()) == want
+
+
+def test_word_classes_are_equal(spark):
+    """The positive class and the stated complement give the same words, surrogate pairs and controls included."""
+    from annolink.llm.text import ANY_CASE, ITEM_WORD, lower_ascii, lower_word, words
+    text = "".join(map(chr, range(1, 0x180))) + " İstanbul straße A\U0001F600b \u212a KELVIN \U0010FFFF end"
+    got = spark.createDataFrame([(text,)], "text string").select(
+        words(lower_ascii(F.col("text")), ITEM_WORD).alias("a"), F.transform(words(F.col("text"), ANY_CASE), lower_word).alias("b")).first()
+    assert got.a == got.b == ITEM.findall(text.translate(LOWER))
+
+
+def test_secret_context(spark):
+    """Words on both sides stay in the line; equal candidates of a row count once."""
+    key = "Ab3" * 8
+    rows = [(1, f'first line\ntoken = "{key}", the end\n{key}'), (2, key), (3, "short"), (4, None)]
+    got = secrets.candidates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((g.doc_id, g.secret, g.named, g.assigned, g.prose_after, g.closed) for g in got) == [
+        (1, key, 0.0, 0.0, 0.0, 1.0), (1, key, 1.0, 1.0, 1.0, 1.0), (2, key, 0.0, 0.0, 0.0, 1.0)]
+    assert {r.doc_id: r.n_candidates for r in secrets.report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == {1: 1, 2: 1, 3: 0, 4: 0}

@@ -226,9 +226,9 @@ p AS (SELECT a.vec_id AS click_id, b.vec_id AS cand_id, (a.x - b.x) * (a.x - b.x
 r AS (SELECT *, row_number() OVER (PARTITION BY click_id ORDER BY d2, cand_id) AS rk FROM p)
 SELECT click_id, CASE WHEN sqrt(d2) <= 8 THEN cand_id END AS cand_id, d2 AS distance2 FROM r WHERE rk = 1""")
 def jn_17(spark, d):
-    e = t(spark, d, "embeddings").select(
-        "vec_id", (F.col("label") % 2).alias("side"), F.lit(0).alias("block"), F.floor((F.get("embedding", F.lit(0)) + 1) * 500).cast("bigint").alias("x"),
-        F.floor((F.get("embedding", F.lit(1)) + 1) * 500).cast("bigint").alias("y"))
+    # single precision throughout: a literal without a type would make the vector's entries doubles
+    at = lambda i: F.floor((F.get("embedding", F.lit(i)) + F.lit(1).cast("float")) * F.lit(500).cast("float")).cast("bigint")
+    e = t(spark, d, "embeddings").select("vec_id", (F.col("label") % 2).alias("side"), F.lit(0).alias("block"), at(0).alias("x"), at(1).alias("y"))
     a = e.where("side = 0").withColumnRenamed("vec_id", "click_id")
-    b = e.where("side = 1").withColumnRenamed("vec_id", "cand_id")
+    b = e.where("side <> 0").withColumnRenamed("vec_id", "cand_id")
     return J.snap_points(a, b, ["block"], "click_id", "cand_id", "x", "y", 8.0).drop("block")

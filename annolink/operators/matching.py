@@ -13,10 +13,10 @@ from ..functions.classes import threshold_for
 from ..functions.text import _c
 from ..session import settle
 from .assignment import least_cost
-from .nearest import Axis, nearest_l1
+from .nearest import Axis
 from .ordering import top_k
 from .pick import smallest
-from .plane import k_nearest, weighted_l1
+from .plane import k_nearest, nearest_lists, weighted_l1
 from .scan import Fold, cell_of, number_rows, scan, stack
 
 EXCLUDED = 1_000_000  # fixed value: a cost from here on means "never"
@@ -48,27 +48,55 @@ def greedy_match(edges: DataFrame, block, left: str, right: str, cost: str, limi
 
 
 def greedy_l1(left: DataFrame, right: DataFrame, block, search, left_id: str, right_id: str, lx: str, rx: str, wx,
-              axes: Sequence[Axis], back_axes: Sequence[Axis]) -> DataFrame:
+              axes: Sequence[Axis], back_axes: Sequence[Axis], k: int = 32) -> DataFrame:
     """Greedy one-to-one matching under a weighted L1 cost, without forming the pairs.
 
     block: keys within which ids are unique. search: further keys that must agree. An id may
-    occur on several search keys. Rounds of mutual nearest rows, as in greedy_match.
-    back_axes describe the same cost seen from the right side.
+    occur on several search keys. back_axes describe the same cost seen from the right side.
+
+    The side with fewer rows asks: each of its rows has a list of its k nearest rows, and greedy_match runs on these
+    pairs. Rows in one place share a list; the j-th of them begins at the j-th entry, as those before it take the
+    entries ahead or lose them. A row that gets nothing from a cut list waits. Pairs cheaper than all that the waiting
+    rows of their block have not seen are final and leave; the waiting rows get longer lists of what is left.
     """
     block, keys = list(block), [*block, *search]
-    l, r, done = settle(left), settle(right), None
+    l, r = settle(left), settle(right)
+    if l.count() < r.count():
+        asks, live, me, you, x0, x1, rule = l, r, left_id, right_id, lx, rx, axes
+    else:
+        asks, live, me, you, x0, x1, rule = r, l, right_id, left_id, rx, lx, back_axes
+    where = F.struct(*[F.col(c).alias(f"s{i}") for i, c in enumerate([*search, x0, *[a.left for a in rule]])])
+    shapes = settle(asks.groupBy(*block, me).agg(F.to_json(F.sort_array(F.collect_list(where))).alias("__shape")))
+    waiting, edges, bounds, final = shapes, None, None, None
+    one = Window.partitionBy(*block, me)
     while True:
-        f = nearest_l1(l, r, keys, left_id, right_id, lx, rx, wx, axes, out="__n")
-        f = f.groupBy(*block, left_id).agg(F.min("__n").alias("__n")).select(
-            *block, left_id, F.col("__n.id").alias(right_id), F.col("__n.cost").alias("cost"))
-        b = nearest_l1(r, l, keys, right_id, left_id, rx, lx, wx, back_axes, out="__n")
-        b = b.groupBy(*block, right_id).agg(F.min("__n").alias("__n")).select(*block, F.col("__n.id").alias(left_id), right_id)
-        won = settle(f.join(b, [*block, left_id, right_id]))
-        if won.isEmpty():
-            return done if done is not None else won
-        done = won if done is None else done.unionByName(won)
-        l = settle(l.join(won.select(*block, left_id), [*block, left_id], "left_anti"))
-        r = settle(r.join(won.select(*block, right_id), [*block, right_id], "left_anti"))
+        mates = settle(number_rows(waiting, [*block, "__shape"], [me], "__j", [cell_of(me, 1 << 16)]))
+        first = mates.where("__j = 1").select(*block, "__shape", me)
+        lists = nearest_lists(asks.join(first.select(*block, me), [*block, me], "left_semi"), live, keys, me, you, x0, x1, wx, rule, k)
+        # an id on several search keys knows all only up to the nearest end of a cut list
+        lists = lists.withColumn("__end", F.min(F.when(F.col("rank") == k, F.struct("cost", you))).over(one))
+        lists = lists.where(F.col("__end").isNull() | (F.struct("cost", you) <= F.col("__end")))
+        lists = lists.groupBy(*block, me, you).agg(F.min("cost").alias("cost"), F.max("__end.cost").alias("__bound"))
+        lists = lists.withColumn("__r", F.row_number().over(one.orderBy("cost", you)))
+        lists = settle(lists.join(first, [*block, me]).drop(me))
+        more = mates.join(lists, [*block, "__shape"]).where("__r >= __j").select(*block, me, you, "cost")
+        cut = mates.join(lists.where("__bound is not null").select(*block, "__shape", "__bound").distinct(), [*block, "__shape"]).select(*block, me, "__bound")
+        edges = settle(more if edges is None else edges.unionByName(more))
+        bounds = settle(cut if bounds is None else bounds.unionByName(cut))
+        held = greedy_match(edges, block, left_id, right_id, "cost", 1 << 62).select(*block, left_id, right_id, "cost")
+        stuck = settle(bounds.join(held, [*block, me], "left_anti"))
+        if stuck.isEmpty():
+            break
+        held = held.join(stuck.groupBy(*block).agg(F.min("__bound").alias("__least")), block, "left")
+        sure = held.where("__least is null or cost < __least").drop("__least")
+        final = settle(sure if final is None else final.unionByName(sure))
+        held = settle(held.where("cost >= __least").drop("__least"))
+        live = settle(live.join(final.select(*block, you), [*block, you], "left_anti"))
+        edges = edges.join(held.select(*block, me), [*block, me], "left_semi").join(final.select(*block, you), [*block, you], "left_anti")
+        bounds = bounds.join(held.select(*block, me), [*block, me], "left_semi")
+        waiting = shapes.join(stuck.select(*block, me), [*block, me], "left_semi")
+        k *= 4
+    return held if final is None else final.unionByName(held)
 
 
 def _confidence(cost: Column) -> Column:
@@ -123,6 +151,7 @@ def match_ties(boxes: DataFrame, ties: DataFrame, bits: int = 13) -> DataFrame:
     ends = F.array(place("local", F.col("start_system"), F.col("x0"), F.col("y0"), F.lit(0)), place("local", F.col("end_system"), F.col("x1"), F.col("y1"), F.lit(0)))
     t = ties.withColumn("__p", F.explode(F.when(same, F.array(mid)).otherwise(ends))).select("page_id", "tie_id", "page_w", "page_h", "__p.*")
     b = boxes.withColumn("kind", F.explode(F.array(F.lit("same"), F.lit("local"))))
+    b = b.withColumn("w", F.when(F.col("kind") == "same", F.col("w")).otherwise(0))  # a local end has no width
 
     def weigh(df):
         local = F.col("kind") == "local"

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..session import settle
 from .dyadic import shr
+from .nearest import Axis
 from .ordering import top_k
 
 #: A cell is opened into at most 4 ** STEP cells.
@@ -82,3 +83,60 @@ def k_nearest(rows: DataFrame, points: DataFrame, keys: Sequence[str], row_id: s
     named = {"x": "__x", "y": "__y"}
     best = top_k(found, [*keys, row_id], [F.col("__near"), *[F.col(named[t]) for t in ties], F.col("__id")], k)
     return best.select(*keys, row_id, "rank", F.col("__id").alias(point_id), F.col("__x").alias("point_x"), F.col("__y").alias("point_y"), F.col("__near").alias(out))
+
+
+def nearest_lists(asks: DataFrame, live: DataFrame, keys: Sequence[str], ask_id: str, live_id: str, ax: str, lx: str, wx: int | str, axes: Sequence[Axis], k: int) -> DataFrame:
+    """k nearest live rows of each asking row under wx*|dx| + sum of weight*|d axis| (+ extras): keys, ask_id, live_id, cost, rank.
+
+    The same descent with any number of axes. Axes and weights are those of `nearest_l1`, seen from the asking side; weights and
+    extras are constant per key. Ties go by live_id. Rows without all coordinates have no result. ask_id is unique inside keys.
+    """
+    keys, dims = list(keys), range(len(axes) + 1)
+    step = max(1, 6 // len(dims))
+    weight = lambda w: (F.col(w) if isinstance(w, str) else F.lit(w)).cast("bigint")
+    given = lambda c, d: (c if c is not None else d)
+    xs = [f"__c{i}" for i in dims]
+    cells = [f"__g{i}" for i in dims]
+    around = [f"__p{i}" for i in dims]
+    whole = " and ".join(f"{c} is not null" for c in xs)
+    pts = live.select(*keys, F.col(live_id).alias("__id"), *[F.col(c).cast("bigint").alias(xs[i]) for i, c in enumerate([lx, *[a.right for a in axes]])]).where(whole)
+    lists = settle(top_k(pts, [*keys, *xs], [F.col("__id")], k).drop("rank"))
+    spots = lists.groupBy(*keys, *xs).agg(F.count(F.lit(1)).alias("__n"))
+    ends = lists.agg(*[F.min(c) for c in xs], *[F.max(c) for c in xs]).first()
+    low = [v if v is not None else 0 for v in ends[:len(xs)]]
+    wide = max((v if v is not None else 0) - o for v, o in zip(ends[len(xs):], low))
+    up = lambda c: shr(F.col(c), F.lit(step))
+    at = spots.withColumns({g: F.col(c) - o for g, c, o in zip(cells, xs, low)})
+    levels = [settle(at.select(*keys, *cells, *[up(g).alias(q) for g, q in zip(cells, around)], *[F.col(c).alias(f"__lo{i}") for i, c in enumerate(xs)], *[F.col(c).alias(f"__hi{i}") for i, c in enumerate(xs)], "__n"))]
+    while wide >> step:
+        wide >>= step
+        above = levels[-1].groupBy(*keys, *[F.col(q).alias(g) for g, q in zip(cells, around)]).agg(
+            *[F.min(f"__lo{i}").alias(f"__lo{i}") for i in dims], *[F.max(f"__hi{i}").alias(f"__hi{i}") for i in dims], F.sum("__n").alias("__n"))
+        levels.append(settle(above.withColumns({q: up(g) for g, q in zip(cells, around)})))
+    asked = [weight(wx).alias("__w0")]
+    for i, a in enumerate(axes, 1):
+        asked += [weight(a.weight).alias(f"__w{i}"), given(a.low_extra, F.lit(0)).cast("bigint").alias(f"__a{i}"), given(a.high_extra, F.lit(0)).cast("bigint").alias(f"__b{i}"),
+                  given(a.equal_is_low, F.lit(True)).alias(f"__e{i}")]
+    places = [F.col(c).cast("bigint").alias(f"__q{i}") for i, c in enumerate([ax, *[a.left for a in axes]])]
+    asks = asks.select(*keys, ask_id, *places, *asked).where(" and ".join(f"__q{i} is not null" for i in dims))
+    own = [c for c in asks.columns if c not in keys]
+    front = asks.withColumns({q: F.lit(0).cast("bigint") for q in around})
+    near = far = F.lit(0).cast("bigint")
+    for i in dims:
+        q, lo, hi, w = F.col(f"__q{i}"), F.col(f"__lo{i}"), F.col(f"__hi{i}"), F.col(f"__w{i}")
+        near = near + w * F.greatest(F.lit(0), lo - q, q - hi)
+        far = far + w * F.greatest(F.abs(q - lo), F.abs(hi - q))
+        if i and (axes[i - 1].low_extra is not None or axes[i - 1].high_extra is not None):
+            even = F.col(f"__e{i}")
+            under, over = F.when((lo < q) | ((lo == q) & even), F.col(f"__a{i}")), F.when((hi > q) | ((hi == q) & ~even), F.col(f"__b{i}"))
+            near, far = near + F.coalesce(F.least(under, over), F.lit(0)), far + F.coalesce(F.greatest(under, over), F.lit(0))
+    mine = Window.partitionBy(*keys, ask_id)
+    for level in reversed(levels):
+        f = front.join(level, [*keys, *around]).withColumns({"__near": near, "__far": far})
+        f = f.withColumn("__seen", F.sum("__n").over(mine.orderBy("__far", *cells).rowsBetween(Window.unboundedPreceding, 0)))
+        f = f.withColumn("__bound", F.min(F.when(F.col("__seen") >= k, F.col("__far"))).over(mine)).where("__bound is null or __near <= __bound")
+        front = f.select(*keys, *own, *[F.col(g).alias(q) for g, q in zip(cells, around)], *[F.col(f"__lo{i}").alias(c) for i, c in enumerate(xs)], F.col("__near").alias("cost"))
+        if level is not levels[0]:
+            front = front.drop(*xs, "cost")
+    found = front.select(*keys, ask_id, *xs, "cost").join(lists, [*keys, *xs])
+    return top_k(found.select(*keys, ask_id, F.col("__id").alias(live_id), "cost"), [*keys, ask_id], [F.col("cost"), F.col(live_id)], k)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from ..session import settle
 from .assignment import least_cost
 from .nearest import Axis
 from .ordering import top_k
-from .pick import smallest
+from .pick import WHOLE, smallest
 from .plane import k_nearest, nearest_lists, weighted_l1
 from .scan import Fold, cell_of, number_rows, scan, stack
 
@@ -23,19 +25,30 @@ EXCLUDED = 1_000_000  # fixed value: a cost from here on means "never"
 
 
 # MT-01 -----------------------------------------------------------------
-def greedy_match(edges: DataFrame, block, left: str, right: str, cost: str, limit=EXCLUDED) -> DataFrame:
+def greedy_match(edges: DataFrame, block, left: str, right: str, cost: str, limit=EXCLUDED, in_task: int = 1_000_000) -> DataFrame:
     """One-to-one choice of edges by (cost, left, right), equal to taking them one by one.
 
     Each round keeps every edge that is the best of both its ends and drops all edges at
     those ends. The best of an end is an aggregation with partial minima, so an end or a
-    block that holds a large share of the edges stays spread over the tasks.
+    block that holds a large share of the edges stays spread over the tasks. As soon as a
+    block has at most `in_task` edges left, one sorted pass takes them one by one: chains
+    of ends that wait for each other cost no rounds there.
     """
     block = list(block)
-    active = settle(
-        edges.where(F.col(cost) < limit).groupBy(*block, left, right).agg(F.min(cost).alias(cost))
-    )
+    whole = [F.col(c).isNotNull() for c in [*block, left, right]]
+    active = edges.where(F.col(cost) < limit).groupBy(*block, left, right).agg(F.min(F.col(cost)).alias(cost))
+    active = settle(reduce(DataFrame.where, whole, active))
     done = None
-    while not active.isEmpty():
+    while True:
+        sizes = settle(active.groupBy(*block).agg(F.count(F.lit(1)).alias("__n")))
+        few, many = sizes.where(F.col("__n") <= in_task).drop("__n"), sizes.where(F.col("__n") > in_task).drop("__n")
+        if many.isEmpty():
+            rest = settle(_one_by_one(active, block, left, right, cost))
+            return rest if done is None else done.unionByName(rest)
+        if not few.isEmpty():
+            rest = settle(_one_by_one(_of_blocks(active, few, block), block, left, right, cost))
+            done = rest if done is None else done.unionByName(rest)
+            active = settle(_of_blocks(active, many, block))
         bl = smallest(active, [*block, left], cost, right)
         br = smallest(active, [*block, right], cost, left).drop(cost)
         won = settle(bl.join(br, [*block, left, right]))
@@ -44,7 +57,37 @@ def greedy_match(edges: DataFrame, block, left: str, right: str, cost: str, limi
             active.join(won.select(*block, left), [*block, left], "left_anti")
             .join(won.select(*block, right), [*block, right], "left_anti")
         )
-    return done if done is not None else active
+
+
+def _of_blocks(edges: DataFrame, blocks: DataFrame, block) -> DataFrame:
+    return edges.join(blocks, block, "left_semi") if block else edges
+
+
+def _one_by_one(edges: DataFrame, block, left: str, right: str, cost: str) -> DataFrame:
+    """The same choice in one pass per block over edges in order; only the ends in use are kept."""
+    types = dict(edges.dtypes)
+    # ends of several fields are told apart by their text
+    plain = lambda c: F.col(c) if types[c] in WHOLE else F.to_json(F.struct(c))
+    place = F.to_json(F.struct(*block)) if block else F.lit("")
+    rows = edges.select(*block, left, right, cost)
+    rows = (rows.repartition(*block) if block else rows.coalesce(1)).sortWithinPartitions(*block, cost, left, right)
+    rows = rows.withColumns({"__b": place, "__l": plain(left), "__r": plain(right)})
+
+    def take(batches):
+        now, lefts, rights = None, set(), set()
+        for batch in batches:
+            keep = []
+            for b, l, r in zip(*(batch.column(c).to_pylist() for c in ("__b", "__l", "__r"))):
+                if b != now:
+                    now, lefts, rights = b, set(), set()
+                free = l not in lefts and r not in rights
+                if free:
+                    lefts.add(l)
+                    rights.add(r)
+                keep.append(free)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(take, rows.schema).drop("__b", "__l", "__r")
 
 
 def greedy_l1(left: DataFrame, right: DataFrame, block, search, left_id: str, right_id: str, lx: str, rx: str, wx,
@@ -240,18 +283,26 @@ def expected_height() -> Column:
     return F.when(F.col("orientation") == "under", note_y + lift).otherwise(note_y - lift)
 
 
+def segment_shape(df: DataFrame) -> DataFrame:
+    """What the score asks of a segment alone; taken once per segment, not once per pair."""
+    span = predicted_span()
+    return df.withColumns({"__middle": (F.col("seg_x0") + F.col("seg_x1")) / 2, "__span": span, "__tol": F.greatest(F.lit(18.0), span * 0.35),
+                           "__sp": F.greatest(F.lit(1.0), F.col("staff_spacing")), "__side": _note_side(), "__height": expected_height(), "__below": F.col("orientation") == "under"})
+
+
 def segment_score(df: DataFrame, out="score") -> DataFrame:
     """Geometric agreement of a box and a segment in [0, 1].
 
     Needs center_x, center_y, width_px, seg_x0, seg_x1, seg_y0, seg_y1, staff_spacing, orientation.
     """
-    span, note_y = predicted_span(), _note_side()
-    x_err = F.abs(F.col("center_x") - (F.col("seg_x0") + F.col("seg_x1")) / 2)
-    x_tol = F.greatest(F.lit(18.0), span * 0.35)
+    shape = ["__middle", "__span", "__tol", "__sp", "__side", "__height", "__below"]
+    if "__height" not in df.columns:
+        df = segment_shape(df)
+    span, x_tol, sp, note_y = (F.col(c) for c in ("__span", "__tol", "__sp", "__side"))
+    x_err = F.abs(F.col("center_x") - F.col("__middle"))
     ratio = F.greatest(F.lit(0.05), F.col("width_px") / span)
-    sp = F.greatest(F.lit(1.0), F.col("staff_spacing"))
-    wrong = F.greatest(F.lit(0.0), F.when(F.col("orientation") == "under", note_y - F.col("center_y")).otherwise(F.col("center_y") - note_y))
-    y_err = F.abs(F.col("center_y") - expected_height())
+    wrong = F.greatest(F.lit(0.0), F.when(F.col("__below"), note_y - F.col("center_y")).otherwise(F.col("center_y") - note_y))
+    y_err = F.abs(F.col("center_y") - F.col("__height"))
     parts = {
         "x_center_score": F.exp(-0.5 * (x_err / x_tol) * (x_err / x_tol)),
         "width_score": F.exp(-F.abs(F.log(ratio)) / 0.65),
@@ -262,7 +313,7 @@ def segment_score(df: DataFrame, out="score") -> DataFrame:
     total = None
     for name, weight in SPAN_WEIGHTS.items():
         total = weight * F.col(name) if total is None else total + weight * F.col(name)
-    return df.withColumn(out, total)
+    return df.withColumn(out, total).drop(*shape)
 
 
 # MT-07 -----------------------------------------------------------------

@@ -10,17 +10,19 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.classes import threshold_for
 from ..session import settle
-from .matching import SPAN_WEIGHTS, expand_segments, expected_height, greedy_match, predicted_span, segment_score
+from .matching import SPAN_WEIGHTS, expand_segments, expected_height, greedy_match, predicted_span, segment_score, segment_shape
 from .ordering import top_k
 
 #: Agreement in x below which width and height must carry the score.
 NEAR = 0.05
 SLACK = 1 + 1e-9
+#: Floor of the first look for lists; only rows that do not find enough look further down.
+GOOD = 0.9
 
 
 def _level(reach: Column) -> Column:
@@ -52,14 +54,19 @@ def span_edges(boxes: DataFrame, segments: DataFrame, keys, floor: float = 0.42)
         raise ValueError("below this floor neither width nor height bounds the pairs")
     # far in x, width and height can still carry the score only where all of it is enough
     carried = rest <= w + v + o
-    ratio = -0.65 * math.log((rest - v - o) / w) * SLACK if carried else 1.0
+    # else all pairs need this much agreement in x; from 0.05 * w on, very narrow boxes (which count as 1/20) have none in width
+    close = max(NEAR, (floor - w - v - o) / x)
+    alike = rest - v - o if carried else max(floor - x - v - o, 0.0)
+    by_width = alike > 0.05 * w
+    ratio = -0.65 * math.log(alike / w) * SLACK if carried or by_width else 1.0
     rise = 2 * math.sqrt(-2 * math.log((rest - w - o) / v)) * SLACK if carried else 1.0
 
     real = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
     b = boxes.where(real("center_x") & real("center_y") & real("width_px"))
     s = segments.where(real("seg_x0") & real("seg_x1") & real("seg_y0") & real("seg_y1") & real("staff_spacing"))
+    s = segment_shape(s)
     own = F.struct(*[c for c in s.columns if c not in (*keys, "system")])
-    reach = F.greatest(F.lit(18.0), predicted_span() * 0.35) * math.sqrt(-2 * math.log(NEAR)) * SLACK
+    reach = F.greatest(F.lit(18.0), predicted_span() * 0.35) * math.sqrt(-2 * math.log(close)) * SLACK
     tall = F.greatest(F.lit(1.0), F.col("staff_spacing").cast("double")) * rise
     s = s.select(*keys, "system", own.alias("segment"), ((F.col("seg_x0") + F.col("seg_x1")) / 2).alias("__mid"), reach.alias("__reach"),
                  expected_height().alias("__up"), tall.alias("__tall"), F.floor(F.log(predicted_span()) / ratio).cast("bigint").alias("__w"))
@@ -68,25 +75,81 @@ def span_edges(boxes: DataFrame, segments: DataFrame, keys, floor: float = 0.42)
     b = b.select(*keys, "system", box.alias("box"), F.col("center_x").cast("double").alias("__x"), F.col("center_y").cast("double").alias("__y"),
                  F.floor(F.log(F.when(F.col("width_px") > 0, F.col("width_px").cast("double"))) / ratio).cast("bigint").alias("__bw"))
     off = F.abs(F.col("__x") - F.col("__mid"))
+    # few bytes go in and many pairs come out: the number of tasks is given, not taken from the bytes
+    tasks = int(b.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    near = s.select(*keys, "system", "segment", "__mid", "__reach", F.col("__lx").alias("__l"), F.explode(_cells(F.col("__mid") - F.col("__reach"), F.col("__mid") + F.col("__reach"), F.col("__lx"))).alias("__c"))
-    asked = b.withColumn("__l", F.explode(_levels(s, "__lx"))).withColumn("__c", F.floor(F.col("__x") / F.pow(F.lit(2.0), F.col("__l"))).cast("bigint"))
-    by_x = asked.join(near, [*keys, "system", "__l", "__c"]).where(off <= F.col("__reach"))
+    def meet(boxes, segments, on):
+        return boxes.repartition(tasks, *on).join(segments.repartition(tasks, *on), on)
+
+    near = s.select(*keys, "system", "segment", "__mid", "__reach", "__w", F.col("__lx").alias("__l"), F.explode(_cells(F.col("__mid") - F.col("__reach"), F.col("__mid") + F.col("__reach"), F.col("__lx"))).alias("__c"))
+    sized = b.where("__bw is not null").withColumn("__w", F.explode(F.array(F.col("__bw") - 1, F.col("__bw"), F.col("__bw") + 1)))
+    also = ["__w"] if by_width and not carried else []
+    asked = (sized if also else b).withColumn("__l", F.explode(_levels(s, "__lx"))).withColumn("__c", F.floor(F.col("__x") / F.pow(F.lit(2.0), F.col("__l"))).cast("bigint"))
+    by_x = meet(asked, near if also else near.drop("__w"), [*keys, "system", "__l", "__c", *also]).where(off <= F.col("__reach"))
 
     met = by_x.select(*keys, "system", "box", "segment")
     if not carried:
         return segment_score(met.select(*keys, "system", "box.*", "segment.*")).where(F.col("score") >= floor)
     alike = s.select(*keys, "system", "segment", "__mid", "__reach", "__w", F.col("__ly").alias("__l"), F.explode(_cells(F.col("__up") - F.col("__tall"), F.col("__up") + F.col("__tall"), F.col("__ly"))).alias("__c"))
-    asked = b.where("__bw is not null").withColumn("__w", F.explode(F.array(F.col("__bw") - 1, F.col("__bw"), F.col("__bw") + 1)))
-    asked = asked.withColumn("__l", F.explode(_levels(s, "__ly"))).withColumn("__c", F.floor(F.col("__y") / F.pow(F.lit(2.0), F.col("__l"))).cast("bigint"))
-    by_size = asked.join(alike, [*keys, "system", "__w", "__l", "__c"]).where(off > F.col("__reach"))
+    asked = sized.withColumn("__l", F.explode(_levels(s, "__ly"))).withColumn("__c", F.floor(F.col("__y") / F.pow(F.lit(2.0), F.col("__l"))).cast("bigint"))
+    by_size = meet(asked, alike, [*keys, "system", "__w", "__l", "__c"]).where(off > F.col("__reach"))
 
     met = met.unionByName(by_size.select(*keys, "system", "box", "segment"))
     return segment_score(met.select(*keys, "system", "box.*", "segment.*")).where(F.col("score") >= floor)
 
 
+def _pairs(boxes, segments, keys, claimed: str, floor: float) -> DataFrame:
+    e = span_edges(boxes, segments, keys, floor)
+    return e.withColumns({"cost": 1 - F.col("score"), "__claim": F.col(claimed)})
+
+
+def _pick(boxes, segments, keys, box: str, claimed: str, floor: float, k: int) -> tuple[DataFrame, DataFrame]:
+    """(known pairs, chosen ones of them): greedy one-to-one choice of all pairs, without keeping them all.
+
+    The choice by one common order of pairs is the only stable one, whoever asks. So the side with fewer rows asks with
+    lists of its best pairs, from k on and up to a power of the cost that the counts of all its pairs give. A row that
+    gets nothing from a cut list has lost all of it to better pairs, for good; it gets a longer list of what is better
+    for the other side than what that has.
+    """
+    claims = settle(segments.select(*keys, F.col(claimed).alias("__claim")).distinct())
+    me, you = ("__claim", box) if claims.count() <= boxes.count() else (box, "__claim")
+    marked = [boxes.withColumn("__mine", F.col(box)), segments.withColumn("__mine", F.col(claimed))]
+    asking, other = (1, 0) if me == "__claim" else (0, 1)
+    waiting = settle(marked[asking].select(*keys, "__mine").distinct())
+    step = F.floor(F.log2(F.greatest(F.col("cost"), F.lit(2.0 ** -20))) * 4).cast("int")
+    known = held = unsure = None
+    tier = max(floor, GOOD)
+    while True:
+        sides = [boxes, segments]
+        sides[asking] = marked[asking].join(waiting, [*keys, "__mine"], "left_semi").drop("__mine")
+        free = F.lit(True)
+        if held is not None:
+            now = held.select(*keys, F.col(you).alias("__mine"), F.col("cost").alias("__hc"), F.col(me).alias("__hm"))
+            sides[other] = marked[other].join(now, [*keys, "__mine"], "left").drop("__mine")
+            free = F.col("__hc").isNull() | (F.col("cost") < F.col("__hc")) | ((F.col("cost") == F.col("__hc")) & (F.col(me) < F.col("__hm")))
+        counts = _pairs(*sides, keys, claimed, tier).where(free).groupBy(*keys, me, step.alias("__step")).agg(F.count(F.lit(1)).alias("n"))
+        so_far = Window.partitionBy(*keys, me).orderBy("__step")
+        ends = counts.withColumn("__seen", F.sum("n").over(so_far)).groupBy(*keys, F.col(me).alias("__mine")).agg(
+            F.min(F.when(F.col("__seen") >= k, F.col("__step"))).alias("__end"), F.max("__step").alias("__last"))
+        ends = settle(ends if tier == floor else ends.where("__end is not null"))
+        sides[asking] = sides[asking].withColumn("__mine", F.col(box if asking == 0 else claimed)).join(ends, [*keys, "__mine"]).drop("__mine")
+        more = _pairs(*sides, keys, claimed, tier).where(free & (F.col("__end").isNull() | (step <= F.col("__end"))))
+        more = more.select(*keys, box, "__claim", "span_id", "system", "segment", "segment_type", "confirmed", "score", "cost")
+        # rows with a cut list, or none yet, may ask again, also when a later row takes what they hold
+        cut = ends.where(F.lit(tier > floor) | (F.col("__end") < F.col("__last"))).select(*keys, "__mine")
+        if tier > floor:
+            cut = cut.unionByName(waiting.join(ends, [*keys, "__mine"], "left_anti"))
+        unsure = settle(cut if unsure is None else cut.unionByName(unsure.join(waiting, [*keys, "__mine"], "left_anti")))
+        known = settle(more if known is None else known.unionByName(more))
+        held = settle(greedy_match(known, keys, box, "__claim", "cost"))
+        waiting = settle(unsure.join(held.select(*keys, F.col(me).alias("__mine")), [*keys, "__mine"], "left_anti"))
+        if waiting.isEmpty():
+            return known, held.select(*keys, box, "__claim")
+        tier, k = floor, k if tier > floor else k * 4
+
+
 # MT-07 -----------------------------------------------------------------
-def match_spans(boxes: DataFrame, spans: DataFrame, systems: DataFrame, keys=("page_id",), floor: float = 0.42, claim: str = "segment") -> DataFrame:
+def match_spans(boxes: DataFrame, spans: DataFrame, systems: DataFrame, keys=("page_id",), floor: float = 0.42, claim: str = "segment", k: int = 32) -> DataFrame:
     """One-to-one choice of span segments by slur boxes, taken from the best pair down over a whole page.
 
     boxes: keys, system, yolo_line, center_x, center_y, width_px. spans: keys, span_id, start_system, end_system, x0, y0,
@@ -99,18 +162,21 @@ def match_spans(boxes: DataFrame, spans: DataFrame, systems: DataFrame, keys=("p
     A second segment below `floor` counts as 0: it cannot bring the margin of an accepted pair below 0.12.
     """
     keys, box = list(keys), "yolo_line"
-    segments = expand_segments(spans, systems, keys)
-    edges = span_edges(boxes, segments, keys, floor).select(
-        *keys, box, "span_id", "system", "segment_type", "confirmed", "score", (1 - F.col("score")).alias("cost"), F.struct("span_id", "system").alias("segment"))
-    edges = edges.withColumn("__claim", F.col("segment") if claim == "segment" else F.col("span_id"))
-    edges = settle(edges)
-    picked = greedy_match(edges, keys, box, "__claim", "cost")
-    two = top_k(edges.select(*keys, box, "segment", "score"), [*keys, box], [F.col("score").desc(), F.col("segment")], 2)
+    claimed = "segment" if claim == "segment" else "span_id"
+    boxes, segments = settle(boxes), expand_segments(spans, systems, keys)
+    segments = settle(segments.withColumn("segment", F.struct("span_id", "system")))
+    edges, picked = _pick(boxes, segments, keys, box, claimed, floor, k)
+    picked = settle(picked.join(edges, [*keys, box, "__claim"]))
+    # only boxes and segments with a pair are compared with all the others
+    mine = boxes.join(picked.select(*keys, box), [*keys, box], "left_semi")
+    two = top_k(_pairs(mine, segments, keys, claimed, floor).select(*keys, box, "segment", "score"), [*keys, box], [F.col("score").desc(), F.col("segment")], 2)
     two = two.groupBy(*keys, box).agg(F.max(F.when(F.col("rank") == 1, F.col("segment"))).alias("__best"), F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("score"))), F.lit(0.0)).alias("second_score"))
-    first = edges.groupBy(*keys, "segment").agg(F.min(F.struct("cost", box)).alias("__first"))
-    out = picked.select(*keys, box, "__claim").join(edges, [*keys, box, "__claim"]).join(two, [*keys, box]).join(first, [*keys, "segment"])
+    rival = segments.join(picked.select(*keys, "segment", F.col("cost").alias("__cost"), F.col(box).alias("__box")), [*keys, "segment"])
+    better = (F.col("cost") < F.col("__cost")) | ((F.col("cost") == F.col("__cost")) & (F.col(box) < F.col("__box")))
+    beaten = settle(_pairs(boxes, rival, keys, claimed, floor).where(better).select(*keys, "segment").distinct().withColumn("__beaten", F.lit(True)))
+    out = picked.join(two, [*keys, box]).join(beaten, [*keys, "segment"], "left")
     out = out.withColumn("confidence", F.least(F.lit(0.99), 1 - F.col("cost")))
-    out = out.withColumns({"margin": F.col("confidence") - F.col("second_score"), "mutual_best": F.col(f"__first.{box}") == F.col(box), "box_best": F.col("__best") == F.col("segment")})
+    out = out.withColumns({"margin": F.col("confidence") - F.col("second_score"), "mutual_best": F.col("__beaten").isNull(), "box_best": F.col("__best") == F.col("segment")})
     ok = (F.col("confirmed") & (F.col("confidence") >= threshold_for(F.lit("slur"), 0.82)) & (F.col("margin") >= 0.12)
           & F.col("mutual_best") & F.col("box_best") & (F.col("segment_type") == "full"))
     return out.select(*keys, box, "span_id", "system", "segment_type", "confidence", "second_score", "margin", "mutual_best", "box_best",

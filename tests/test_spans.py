@@ -147,3 +147,12 @@ def test_whole_page_alignment(spark):
     assert got == {1: ("musicxml_dynamic", 77, "matched"), 2: ("musicxml_staccato", 33, "matched"), 3: (near, 101, "review"), 4: ("musicxml_slur_full_endpoint_candidate", 40, "matched"),
                    5: ("musicxml_slur_start_endpoint_candidate", 41, "review"), 6: ("musicxml_tie_endpoints", 60, "matched"), 7: ("musicxml_tuplet", 70, "review"), 8: (near, 100, "review"), 9: ("grouped_nearest", 90, "inferred"), 10: (near, 100, "review"),
                    11: ("no_musicxml_anchor", None, "unmatched")}
+
+
+@pytest.mark.parametrize("claim", ["segment", "span"])
+@pytest.mark.parametrize("n_boxes", [60, 12])
+def test_lists_that_end_too_soon_ask_again(spark, claim, n_boxes):
+    boxes, spans, systems = pages(11, n_boxes, 16, [6.0, 10.0])
+    frames = spark.createDataFrame(boxes, BOX), spark.createDataFrame(spans, SPAN), spark.createDataFrame(systems, SYSTEM)
+    short, long = (sorted(map(str, match_spans(*frames, claim=claim, k=k).collect())) for k in (1, 1000))
+    assert short == long and short

@@ -1,51 +1,109 @@
-"""Least-cost perfect matching of one small block (used inside a task)."""
+"""Least-cost perfect matching of one block (used inside a task)."""
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
 
 def least_cost(lefts, rights, costs):
-    """Textbook assignment with potentials over exact integers; [] when no perfect matching exists.
+    """Assignment by shortest augmenting paths over exact integers; [] when no perfect matching exists.
 
     Among equal totals the answer that gives the first left row the smallest right row wins,
-    then the second, and so on: a rank term below one cost unit is added to every edge.
+    then the second, and so on: the potentials leave the edges that any optimal answer can use,
+    and among these each left row in turn takes the smallest right row that the rest can spare.
     """
     ls, rs = sorted(set(lefts)), sorted(set(rights))
     n = len(ls)
     if n != len(rs):
         return []
-    li, ri = {v: i + 1 for i, v in enumerate(ls)}, {v: i + 1 for i, v in enumerate(rs)}
-    unit = (n + 1) ** (n + 1)
-    cost, raw = [dict() for _ in range(n + 1)], {}
+    li, ri = {v: i for i, v in enumerate(ls)}, {v: i for i, v in enumerate(rs)}
+    cost = [{} for _ in range(n)]
     for l, r, c in zip(lefts, rights, costs):
-        i, j = li[l], ri[r]
-        raw[i, j] = int(c)
-        cost[i][j] = int(c) * unit + (j - 1) * (n + 1) ** (n - i)
-    u, v, owner = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-    for start in range(1, n + 1):
-        owner[0], col = start, 0
-        slack, came, used = {}, {}, set()
+        cost[li[l]][ri[r]] = int(c)
+    u, v = [min(row.values()) for row in cost], [0] * n
+    mate, owner = [-1] * n, [-1] * n
+    for start in range(n):
+        # distances from start; a column's owner goes on at the column's distance
+        best, came, done, heap = {}, {}, [], []
+        row, base, free = start, 0, -1
         while True:
-            used.add(col)
-            row = owner[col]
             for j, c in cost[row].items():
-                if j not in used:
-                    d = c - u[row] - v[j]
-                    if j not in slack or d < slack[j]:
-                        slack[j], came[j] = d, col
-            reach = [(d, j) for j, d in slack.items() if j not in used]
-            if not reach:
+                d = base + c - u[row] - v[j]
+                if j not in best or d < best[j]:
+                    best[j], came[j] = d, row
+                    # free columns first among equals: the path ends there
+                    heappush(heap, (d, owner[j] >= 0, j))
+            while heap and heap[0][0] > best[heap[0][2]]:
+                heappop(heap)
+            if not heap:
                 return []
-            delta, nxt = min(reach)
-            for j in used:
-                u[owner[j]] += delta
-                v[j] -= delta
-            for j in slack:
-                if j not in used:
-                    slack[j] -= delta
-            col = nxt
-            if owner[col] == 0:
+            base, taken, j = heappop(heap)
+            if not taken:
+                free = j
+                break
+            done.append(j)
+            row = owner[j]
+        u[start] += base
+        for j in done:
+            u[owner[j]] += base - best[j]
+            v[j] -= base - best[j]
+        j = free
+        while j >= 0:
+            row = came[j]
+            owner[j], mate[row], j = row, j, mate[row]
+    tight = [sorted(j for j, c in row.items() if c == u[i] + v[j]) for i, row in enumerate(cost)]
+    users = [[] for _ in range(n)]
+    for i, row in enumerate(tight):
+        for j in row:
+            users[j].append(i)
+    for i in range(n):
+        for j in tight[i]:
+            if j == mate[i]:
+                break
+            if owner[j] > i and (path := _swap(owner[j], mate[i], i, tight, users, mate, owner)):
+                # every row on the path moves to the next column, the last one to what i leaves
+                for row, col in path:
+                    mate[row], owner[col] = col, row
+                mate[i], owner[j] = j, i
                 break
-        while col:
-            owner[col] = owner[came[col]]
-            col = came[col]
-    return sorted((ls[owner[j] - 1], rs[j - 1], raw[owner[j], j]) for j in range(1, n + 1))
+    return [(ls[i], rs[j], cost[i][j]) for i, j in enumerate(mate)]
+
+
+def _swap(first, goal, fixed, tight, users, mate, owner):
+    """(row, new column) for rows after `fixed`, from `first` to the column `goal`; None where there is no way.
+
+    Sought from both ends in turn, so a small dead end on either side ends it.
+    """
+    ahead, back = {first: None}, {goal: None}
+
+    def way(row, col):
+        path, r, c = [], row, col
+        while r is not None:
+            path.append((r, c))
+            c, r = mate[r], ahead[r]
+        while col != goal:
+            path.append((owner[col], back[col]))
+            col = back[col]
+        return path
+
+    front, rear = [first], [goal]
+    while front and rear:
+        step = []
+        for row in front:
+            for col in tight[row]:
+                if col in back and col != mate[row]:
+                    return way(row, col)
+                nxt = owner[col]
+                if nxt > fixed and nxt not in ahead:
+                    ahead[nxt] = row
+                    step.append(nxt)
+        front, step = step, []
+        for col in rear:
+            for row in users[col]:
+                if row in ahead and mate[row] != col:
+                    return way(row, col)
+                if row > fixed and mate[row] not in back:
+                    back[mate[row]] = col
+                    step.append(mate[row])
+        rear = step
+    return None

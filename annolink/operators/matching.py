@@ -361,9 +361,14 @@ def rank_with_locks(scored: DataFrame, reviews: DataFrame, boxes: DataFrame, blo
         F.when(F.col("match_status") == "matched", F.col(candidate)).alias(candidate), F.lit(None).cast("double").alias("best_score"),
         F.lit(None).cast("double").alias("second_score"), F.lit(None).cast("double").alias("margin"),
         F.when(F.col("match_status") == "matched", "locked_xml_match").otherwise("locked_scan_only").alias("status"), F.lit("decided by a reviewer").alias("reason"))
-    done = open_.unionByName(locked)
-    rest = boxes.select(*block, box).join(done.select(*block, box), [*block, box], "left_anti")
-    return done.unionByName(rest.withColumns({"status": F.lit("possible_scan_only"), "reason": F.lit("no candidate in this system")}), allowMissingColumns=True)
+    # boxes without an open or locked row are found beside these rows, so that the race is not run again for them
+    asked = boxes.select(*block, box).withColumn("__rest", F.lit(True))
+    rows = open_.unionByName(locked).withColumn("__rest", F.lit(False)).unionByName(asked, allowMissingColumns=True)
+    rows = rows.withColumn("__known", F.min("__rest").over(Window.partitionBy(*block, box)))
+    rest, unknown = F.col("__rest"), reduce(Column.__or__, [F.col(c).isNull() for c in [*block, box]])
+    rows = rows.where(~rest | F.col("__known") | unknown).withColumns({
+        "status": F.when(rest, "possible_scan_only").otherwise(F.col("status")), "reason": F.when(rest, "no candidate in this system").otherwise(F.col("reason"))})
+    return rows.drop("__rest", "__known")
 
 
 # MT-09 -----------------------------------------------------------------

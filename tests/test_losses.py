@@ -2,6 +2,7 @@
 
 import pytest
 
+from annolink.operators.matching import rank_with_locks
 from annolink.operators.joins import lookup_one_near
 from annolink.operators.matching import allocate_groups
 from annolink.operators.nearest import Axis, nearest_l1
@@ -43,3 +44,16 @@ def test_equal_left_rows_stay_apart(spark):
     right = spark.createDataFrame([("k", 6, 1)], "k string, x int, id bigint")
     got = sorted((r.x, r.matches, r.id) for r in lookup_one_near(left, right, ["k"], "x", "id", 1).select("x", "matches", "id").collect() if r.x < 50)
     assert got == [(5, 1, 1), (5, 1, 1)]
+
+
+def test_rank_with_locks_runs_its_race_once(spark):
+    """Boxes without a row are found in one pass; the race has two anti joins and is planned twice, before four times."""
+    scored = spark.createDataFrame([(1, 7, 70, "full", 0.9), (2, 7, 70, "full", 0.5), (3, 8, 80, "full", 0.9), (4, 9, 90, "start", 0.3)], "box long, seg long, cand long, segment_type string, score double")
+    reviews = spark.createDataFrame([(3, "matched", 80), (5, "scan", None)], "box long, match_status string, cand long")
+    boxes = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5, 6, 6, None)], "box long")
+    out = rank_with_locks(scored.where("score > 0"), reviews, boxes, [], "box", "seg", "cand", "score")
+    want = [(None, "possible_scan_only"), (1, "high_confidence_candidate"), (2, "needs_review"), (3, "locked_xml_match"), (4, "possible_scan_only"), (5, "locked_scan_only"), (6, "possible_scan_only"), (6, "possible_scan_only")]
+    assert sorted(((r.box, r.status) for r in out.collect()), key=str) == sorted(want, key=str)
+    assert {r.box: r.reason for r in out.collect()}[6] == "no candidate in this system"
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftAnti") == 4

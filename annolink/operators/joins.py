@@ -166,21 +166,25 @@ def containing_band(points: DataFrame, bands: DataFrame, keys, point_id: str, x:
 
     Inside: bands and points meet on dyadic blocks and the nearest centre is scanned per
     block. Outside: the nearest upper or lower edge; equal edges prefer the nearer centre.
+    Each place under a key is asked for once, however many points share it.
     """
     keys = list(keys)
     bx = cover_rows(bands.select(*keys, F.col(center).alias(x), band_id, F.col(lo).alias("__from"), F.col(hi).alias("__to")), F.col("__from"), F.col("__to"), bits).drop("__from", "__to")
-    px = node_rows(points.select(*keys, point_id, x), F.col(x), bits)
+    places = points.select(*keys, x, F.col(x).alias("__at")).distinct()
+    px = node_rows(places, F.col(x), bits)
     near = nearest_1d(px, bx, [*keys, "node"], x, band_id, width).where(F.col("near").isNotNull())
-    inside = near.groupBy(*keys, point_id).agg(F.min("near").alias("near")).select(
-        *keys, point_id, F.col("near.id").alias(band_id), F.lit(0).cast("bigint").alias("outside"))
-    rest = points.select(*keys, point_id, x).join(inside, [*keys, point_id], "left_anti")
+    inside = near.groupBy(*keys, "__at").agg(F.min("near").alias("near")).select(
+        *keys, "__at", F.lit(0).cast("bigint").alias("outside"), F.col("near.gap").alias("c"), F.col("near.id").alias("b"))
+    rest = places.join(inside, [*keys, "__at"], "left_anti")
     below = bands.select(*keys, F.col(hi).alias(x), F.struct((F.col(hi) - F.col(center)).alias("c"), F.col(band_id).alias("b")).alias("k"))
     above = bands.select(*keys, F.col(lo).alias(x), F.struct((F.col(center) - F.col(lo)).alias("c"), F.col(band_id).alias("b")).alias("k"))
-    a = nearest_side(rest, below, keys, point_id, x, "k", width, forward=False)
-    b = nearest_side(rest, above, keys, point_id, x, "k", width, forward=True)
-    edge = a.unionByName(b).groupBy(*keys, point_id).agg(F.min(F.struct("gap", F.expr("k.c + gap").alias("c"), F.col("k.b").alias("b"))).alias("e"))
-    outside = edge.select(*keys, point_id, F.col("e.b").alias(band_id), F.col("e.gap").alias("outside"))
-    return inside.unionByName(outside)
+    a = nearest_side(rest, below, keys, "__at", x, "k", width, forward=False)
+    b = nearest_side(rest, above, keys, "__at", x, "k", width, forward=True)
+    edge = a.unionByName(b).groupBy(*keys, "__at").agg(F.min(F.struct("gap", F.expr("k.c + gap").alias("c"), F.col("k.b").alias("b"))).alias("e"))
+    outside = edge.select(*keys, "__at", F.col("e.gap").alias("outside"), F.col("e.c").alias("c"), F.col("e.b").alias("b"))
+    found = points.select(*keys, point_id, F.col(x).alias("__at")).join(inside.unionByName(outside), [*keys, "__at"])
+    return found.groupBy(*keys, point_id).agg(F.min(F.struct("outside", "c", "b")).alias("m")).select(
+        *keys, point_id, F.col("m.b").alias(band_id), F.col("m.outside").alias("outside"))
 
 
 def nearest_side(left, right, keys, left_id, x, right_id, width=None, forward=False) -> DataFrame:

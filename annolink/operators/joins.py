@@ -267,11 +267,12 @@ def prefer_join(left, right, hard, prefs: Sequence[str], x: str, left_id: Sequen
     important first; a NULL wish is neutral. rank: a right column 0..ranks-1 of which less is
     better, weighed after the first `rank_after` wishes. left_id must be unique.
 
-    Ordering by the negated wishes and then by time equals a nearest search for every set of
+    Left rows that agree in hard, prefs and x are asked for once, and only under a hard key that the
+    right side has; the smallest of right rows that agree in them stands for all. Ordering by the negated wishes and then by time equals a nearest search for every set of
     kept wishes. The set is part of the key, so all of them run as one scan, and a large
     hard key never meets itself. Returns left with struct near(gap, id), NULL if none.
     """
-    hard, prefs, left_id = list(hard), list(prefs), list(left_id)
+    hard, prefs = list(hard), list(prefs)
     axes = [[("p", p, 1), ("p", p, 0)] for p in prefs]
     if rank is not None:
         axes.insert(rank_after, [("r", rank, i) for i in range(ranks)])
@@ -289,14 +290,17 @@ def prefer_join(left, right, hard, prefs: Sequence[str], x: str, left_id: Sequen
         return df.select(*hard, "mask", "level", *[F.when(bit(i), F.col(p).cast("string")).otherwise("").alias(f"__p{i}") for i, p in enumerate(prefs)],
                          F.col(x), *[c for c in df.columns if c in ("__rid", "opt") or c.startswith("__id")])
 
-    ids = {f"__id{i}": F.col(c) for i, c in enumerate(left_id)}
-    l = keyed(left.withColumns(ids).withColumn("o", F.explode(F.array(*options))).select("*", "o.*"))
-    r = right.withColumns({"__rid": F.col(right_id), "level": F.col(rank) if rank else F.lit(0)}).withColumn("mask", F.explode(masks))
+    alike = [*hard, *prefs, x]
+    r = right.withColumn("level", F.col(rank) if rank else F.lit(0))
+    r = r.groupBy(*alike, "level").agg(F.min(right_id).alias("__rid")).withColumn("mask", F.explode(masks))
+    ids = {f"__id{i}": F.col(c) for i, c in enumerate(alike)}
+    asked = left.select(*alike).distinct().join(right.select(*hard).distinct(), hard, "left_semi")
+    l = keyed(asked.withColumns(ids).withColumn("o", F.explode(F.array(*options))).select("*", "o.*"))
     keys = [*hard, "mask", "level", *[f"__p{i}" for i in range(len(prefs))]]
     near = nearest_1d(l, keyed(r), keys, x, "__rid", width).where("near is not null")
-    best = near.groupBy(*ids).agg(F.min(F.struct("opt", "near")).alias("__b")).select(
-        *[F.col(f"__id{i}").alias(c) for i, c in enumerate(left_id)], F.col("__b.near").alias("near"))
-    return left.join(best, left_id, "left")
+    best = near.groupBy(*ids).agg(F.min(F.struct("opt", "near")).alias("__b")).select(*ids, F.col("__b.near").alias("near"))
+    same = [F.col(c).eqNullSafe(F.col(n)) for n, c in zip(ids, alike)]
+    return left.join(best, same, "left").drop(*ids)
 
 
 # JN-13 -----------------------------------------------------------------

@@ -20,3 +20,18 @@ def test_containing_band_asks_once_per_place(spark, monkeypatch):
 
     assert sorted((r.p, r.b, r.outside) for r in out.collect()) == sorted((p, want(x)[2], want(x)[0]) for p, k, x in pts if k == "k")
     assert seen == [10]
+
+
+def test_prefer_join_asks_once_per_wish_and_place(spark, monkeypatch):
+    seen = counted(monkeypatch, "nearest_1d")
+    left = [(i, i % 4, None if i % 3 == 0 else "a", i % 7 * 10) for i in range(400)]
+    right = [(j, j % 3, "a" if j % 2 else "b", j % 5 * 15) for j in range(60)]
+    out = J.prefer_join(spark.createDataFrame(left, "l long, g int, s string, x long"), spark.createDataFrame(right, "r long, g int, s string, x long"), ["g"], ["s"], "x", ["l"], "r").collect()
+
+    def want(g, s, x):
+        best = min(((s not in (None, rs), abs(x - rx), r) for r, rg, rs, rx in right if rg == g), default=None)
+        return best and best[1:]
+
+    assert sorted((r.l, tuple(r.near) if r.near else None) for r in out) == sorted((i, want(g, s, x)) for i, g, s, x in left)
+    # 3 of the 4 keys have right rows; a null wish has one option, another has two
+    assert seen == [3 * 7 * 3]

@@ -111,16 +111,20 @@ def interval_join(points: DataFrame, spans: DataFrame, keys, point_id: str, x: s
     """The containing span that starts nearest before each point (ties: smaller id); spans are reusable.
 
     Integer ticks in [0, 2**bits). Spans are cut into dyadic blocks and reduced to one row
-    per block before the join, so overlap never multiplies rows. Returns keys, point_id,
-    span_id, gap for points inside some span.
+    per block before the join, so overlap never multiplies rows. Only spans under a key of some
+    point take part, one of equal ones; each tick of a key is asked for once, however many points
+    share it. Returns keys, point_id, span_id, gap for points inside some span.
     """
     keys = list(keys)
-    s = spans.where(F.col(start) <= F.col(end)).select(
-        *keys, (-F.col(start)).alias("__neg"), F.col(span_id).alias("__sid"), F.col(start).alias("__start"), F.col(end).alias("__end"))
+    p = points.select(*keys, point_id, F.col(x).alias("__px"))
+    s = spans.where(F.col(start) <= F.col(end)).select(*keys, F.col(start).alias("__start"), F.col(end).alias("__end"), F.col(span_id).alias("__sid"))
+    s = s.join(p.select(*keys).distinct(), keys, "left_semi").groupBy(*keys, "__start", "__end").agg(F.min("__sid").alias("__sid"))
+    s = s.withColumn("__neg", -F.col("__start"))
     best = smallest(cover_rows(s, F.col("__start"), F.col("__end"), bits, levels=levels), [*keys, "node"], "__neg", "__sid")
-    ask = node_rows(points.select(*keys, point_id, F.col(x).alias("__px")), F.col("__px"), bits, levels=levels)
-    hit = ask.join(best, [*keys, "node"]).select(*keys, point_id, (F.col("__px") + F.col("__neg")).alias("gap"), F.col("__sid").alias(span_id))
-    return smallest(hit, [*keys, point_id], "gap", span_id).select(*keys, point_id, span_id, "gap")
+    ask = node_rows(p.select(*keys, "__px").distinct(), F.col("__px"), bits, levels=levels)
+    hit = ask.join(best, [*keys, "node"]).select(*keys, "__px", (F.col("__px") + F.col("__neg")).alias("gap"), F.col("__sid").alias(span_id))
+    found = p.join(smallest(hit, [*keys, "__px"], "gap", span_id), [*keys, "__px"])
+    return smallest(found, [*keys, point_id], "gap", span_id).select(*keys, point_id, span_id, "gap")
 
 
 # JN-06 -----------------------------------------------------------------

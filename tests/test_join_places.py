@@ -35,3 +35,18 @@ def test_prefer_join_asks_once_per_wish_and_place(spark, monkeypatch):
     assert sorted((r.l, tuple(r.near) if r.near else None) for r in out) == sorted((i, want(g, s, x)) for i, g, s, x in left)
     # 3 of the 4 keys have right rows; a null wish has one option, another has two
     assert seen == [3 * 7 * 3]
+
+
+def test_interval_join_asks_once_per_tick(spark, monkeypatch):
+    asked, covered = counted(monkeypatch, "node_rows"), counted(monkeypatch, "cover_rows")
+    pts = [(i, i % 2, i % 5 * 9) for i in range(300)]
+    spans = [(j, j % 6, j % 4 * 5, j % 4 * 5 + 12) for j in range(240)]
+    out = J.interval_join(spark.createDataFrame(pts, "p long, k int, x long"), spark.createDataFrame(spans, "sid long, k int, s long, e long"), ["k"], "p", "x", "s", "e", "sid", 8)
+    want = []
+    for p, k, x in pts:
+        best = min(((x - s, sid) for sid, sk, s, e in spans if sk == k and s <= x <= e), default=None)
+        if best:
+            want.append((p, best[1], best[0]))
+    assert sorted((r.p, r.sid, r.gap) for r in out.collect()) == sorted(want)
+    # equal spans and spans under keys without points take no part
+    assert asked == [10] and covered == [4]

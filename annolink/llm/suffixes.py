@@ -12,7 +12,7 @@ minimiser, with exactly the words of the windows that belong to it.
 2. Texts that have such windows are read again. 64-bit hashes of the exact words of these windows are sorted in
    the same way; equal neighbours are repeated windows, whatever stands to the left or right of them.
 
-Step 1 compares words by 32-bit (seed) and 16-bit (extension) hashes, which can only name windows too many; rows
+Step 1 compares words by 8-bit hashes, which can only name windows too many; rows
 count as equal in all words if a 64-bit hash of all their words agrees as well. Null and empty texts have no words.
 Each row is judged by its own text, whatever its id: rows of one id are rows like any others, ids may be null, and
 equal rows of one id repeat each other.
@@ -24,14 +24,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .text import ITEM_WORD, lower_ascii, row_key, words
+from .near import LOWER, pieces
+from .text import ITEM_WORD, lower_ascii, row_key
 
 GRAM, WINDOW, SEED, MIN_WORDS = 8, 24, 28, 51
+#: Bytes that ITEM_WORD does not hold become blanks; all bytes of a character outside ASCII belong to words.
+FOLD = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in LOWER)
+
+
+def terms_of(text: bytes | None) -> list[bytes]:
+    """The words of a text in UTF-8, as ITEM_WORD finds them after lower-casing A-Z."""
+    return (text or b"").translate(FOLD).split()
 
 
 def minimisers(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,38 +79,45 @@ def span_hashes(h: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
-    """key, pos, suffix (seed and what follows), prior (words before, nearest first), whole (hash of all their words)."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for key, terms in zip(b["key"], b["w"]):
+    """key, pos, suffix (seed and what follows), prior (words before, nearest first), whole (hash of all their words).
+
+    A few texts at a time: their words, as Python objects, are many times a text.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            out = [[], [], [], [], []]
+            for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
+                terms = terms_of(text)
                 if len(terms) < MIN_WORDS:
                     continue
                 h = word_hashes(terms)
-                seed, rest = (h >> np.uint64(32)).astype(">u4"), (h & np.uint64(0xFFFF)).astype(">u2")
+                short = (h & np.uint64(0xFF)).astype(np.uint8)
+                ahead, behind = short.tobytes(), short[::-1].tobytes()
                 place, firsts, lasts = minimisers(h)
-                whole = span_hashes(h, firsts, lasts + MIN_WORDS)
-                for p, first, last, exact in zip(*(x.tolist() for x in (place, firsts, lasts, whole))):
-                    out.append((key, p, seed[p:p + SEED].tobytes() + rest[p + SEED:last + MIN_WORDS].tobytes(), rest[first:p][::-1].tobytes(), exact))
-            yield pd.DataFrame(out, columns=["key", "pos", "suffix", "prior", "whole"])
+                for x, values in zip(out, (
+                        [key] * len(place), place.tolist(), [ahead[p:last + MIN_WORDS] for p, last in zip(place.tolist(), lasts.tolist())],
+                        [behind[len(h) - p:len(h) - first] for p, first in zip(place.tolist(), firsts.tolist())],
+                        span_hashes(h, firsts, lasts + MIN_WORDS).tolist())):
+                    x += values
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["key", "pos", "suffix", "prior", "whole"])
 
-    return docs.select("key", words(lower_ascii(F.col("text")), ITEM_WORD).alias("w")).mapInPandas(run, "key bigint, pos bigint, suffix binary, prior binary, whole bigint")
+    return docs.select("key", F.col("text").cast("binary").alias("text")).mapInArrow(run, "key bigint, pos bigint, suffix binary, prior binary, whole bigint")
 
 
 def reach(a: bytes, b: bytes) -> int:
     """Leading equal words of two suffixes; 0 if their seeds differ."""
-    cut, n = 4 * SEED, min(len(a), len(b))
-    if a[:cut] != b[:cut]:
+    n = min(len(a), len(b))
+    if a[:SEED] != b[:SEED]:
         return 0
     if a[:n] == b[:n]:
-        return SEED + (n - cut) // 2
-    return SEED + next(i for i in range((n - cut) // 2) if a[cut + 2 * i:cut + 2 * i + 2] != b[cut + 2 * i:cut + 2 * i + 2])
+        return n
+    return next(i for i in range(SEED, n) if a[i] != b[i])
 
 
 def windows_within(row, right: int) -> tuple[int, int] | None:
     """First and last start of the windows of a suffix with at most `right` of its words."""
-    most = SEED + (len(row[2]) - 4 * SEED) // 2
-    least, many = MIN_WORDS - min(right, most), len(row[3]) // 2
+    least, many = MIN_WORDS - min(right, len(row[2])), len(row[3])
     return (row[1] - many, row[1] - max(least, 0)) if least <= many else None
 
 
@@ -134,7 +150,7 @@ def matches(sorted_suffixes: DataFrame, ends: bool) -> DataFrame:
                 r = reach(held[2], row[2])
                 same = held[4] == row[4] and held[2] == row[2] and held[3] == row[3]
                 if same:
-                    out += [(x[0], x[1] - len(x[3]) // 2, x[1] + r - 1, True, None, None, None, None, None) for x in (held, row)]
+                    out += [(x[0], x[1] - len(x[3]), x[1] + r - 1, True, None, None, None, None, None) for x in (held, row)]
                 settled(held, max(right, r), twin, edge)
                 held, right, twin, edge = row, max(r, row[5]), same, False
             yield pd.DataFrame(out, columns=cols, dtype=object).astype(kinds)
@@ -148,14 +164,15 @@ def matches(sorted_suffixes: DataFrame, ends: bool) -> DataFrame:
 
 def windows_of(texts: DataFrame) -> DataFrame:
     """key, first and hash of the exact words of each window that starts in one of the ranges of a text."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for key, terms, ranges in zip(b["key"], b["w"], b["ranges"]):
-                h = word_hashes(terms)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, 32):
+            for key, text, ranges in zip(*(b.column(c).to_pylist() for c in ("key", "text", "ranges"))):
+                h = word_hashes(terms_of(text))
                 first = np.unique(np.concatenate([np.arange(r["first"], r["last"] + 1) for r in ranges]))
-                yield pd.DataFrame({"key": key, "first": first, "content": span_hashes(h, first, first + MIN_WORDS)})
+                columns = [pa.array(np.full(len(first), key, dtype=np.int64)), pa.array(first), pa.array(span_hashes(h, first, first + MIN_WORDS))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "first", "content"])
 
-    return texts.select("key", words(lower_ascii(F.col("text")), ITEM_WORD).alias("w"), "ranges").mapInPandas(run, "key bigint, first bigint, content bigint")
+    return texts.select("key", F.col("text").cast("binary").alias("text"), "ranges").mapInArrow(run, "key bigint, first bigint, content bigint")
 
 
 def equal_windows(sorted_windows: DataFrame) -> DataFrame:

@@ -185,3 +185,18 @@ def test_secret_context(spark):
     assert sorted((g.doc_id, g.secret, g.named, g.assigned, g.prose_after, g.closed) for g in got) == [
         (1, key, 0.0, 0.0, 0.0, 1.0), (1, key, 1.0, 1.0, 1.0, 1.0), (2, key, 0.0, 0.0, 0.0, 1.0)]
     assert {r.doc_id: r.n_candidates for r in secrets.report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == {1: 1, 2: 1, 3: 0, 4: 0}
+
+
+def test_suffixes_get_texts_and_not_words(spark):
+    import re
+
+    from annolink.llm import suffixes
+
+    rows = spark.createDataFrame([(1, "One two, three " * 40), (2, None)], "key bigint, text string")
+    made = suffixes.suffixes(rows)
+    # words as objects of a whole batch took an executor's memory
+    assert "regexp" not in made._jdf.queryExecution().toString()
+    assert {r.key for r in made.collect()} == {1}
+    text = "".join(map(chr, range(0x300))) + "  x　퟿\U0001f600 A\x1cb İzé"
+    lower = text.translate({c: c + 32 for c in range(65, 91)})
+    assert [x.decode() for x in suffixes.terms_of(text.encode())] == re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)

@@ -8,11 +8,14 @@ stands for its class.
 1. Inverted lists of the sketch values. A member is held against the first of the lists that it meets
    most often; this joins most groups of near copies without pairs.
 2. Lists of up to WHOLE members: all members still apart are candidates. The overlap of the sketches
-   estimates the similarity; a candidate goes only where so small an overlap has a chance below 1e-12.
+   estimates the similarity; a candidate goes only where so small an overlap has a chance below 1e-12, or where
+   step 3 rules it out.
 3. Members of longer lists that are still apart get a second sketch of the same size, in which rare
    shingles (by counts in 2**BITS hash buckets) come first. Under any one order similar sets share a value of
-   their prefixes, so this loses no link; common passages no longer fill the lists. Members of one list are
-   candidates if what follows the value in both could hold the overlap, filtered by the same estimate. No list is cut and no partner is dropped.
+   their prefixes, so this loses no link; common passages no longer fill the lists. For TURNS turns each member is
+   held against one member of a list, another one in each turn, which joins most groups without pairs. Then members of
+   one list that are still apart are candidates if what follows the value in both could hold the overlap and the parities
+   of both sets allow it (an exact bound), filtered by the same estimate. No list is cut and no partner is dropped.
 
 Every candidate is confirmed on full sets. Null texts and texts without words have empty sets, linked
 with nothing, and stay. Rows of one repeated id are linked with each other; a null id never links.
@@ -25,11 +28,11 @@ import math
 import string
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -37,7 +40,7 @@ from pyspark.sql import Window as W
 from ..operators.matching import components
 from ..session import ensure_checkpoint_dir, settle
 
-WHOLE, SALTS, SMALL, CROWD, BITS = 32, 16, 500_000, 64, 18
+WHOLE, SALTS, SMALL, CROWD, BITS, PARITIES, FOLDS, TURNS = 32, 16, 500_000, 64, 18, 1024, 2, 1
 LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -132,20 +135,61 @@ def rare_first(s: np.ndarray, table: np.ndarray, percent: int) -> np.ndarray:
     return s[np.lexsort((s, table[bucket(s)]))[:k]]
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """PARITIES bits as 64-bit words: whether a set has an odd number of values with these low bits."""
+    return np.packbits(np.bincount(s & (PARITIES - 1), minlength=PARITIES) & 1).view(np.int64)
+
+
 def rare_values(rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """node, n, v, at: the second sketch of (node, text), with the place of each shingle in order of frequency."""
+    """node, n, low, odd: the second sketch of (node, text) in order of frequency, and the parities of the set."""
     shared = rows.sparkSession.sparkContext.broadcast(frequencies(rows, size))
 
     def run(batches):
         for b in pieces(batches, 64):
             sets = [shingle_set(t, size) for t in b.column("text").to_pylist()]
-            got = [rare_first(x, shared.value, percent) for x in sets]
-            row = np.repeat(np.arange(len(got)), [len(x) for x in got])
-            at = np.concatenate([np.zeros(0, dtype=np.int64), *[np.arange(len(x)) for x in got]])
-            n = np.array([len(x) for x in sets], dtype=np.int64)[row]
-            yield pa.RecordBatch.from_arrays([pc.take(b.column("node"), pa.array(row)), pa.array(n), lists(got).flatten(), pa.array(at)], names=["node", "n", "v", "at"])
+            n = pa.array([len(x) for x in sets], pa.int64())
+            low, odd = lists([rare_first(x, shared.value, percent) for x in sets]), lists([parities(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([b.column("node"), n, low, odd], names=["node", "n", "low", "odd"])
+
+    kind = rows.schema["node"].dataType.simpleString()
+    return rows.select("node", "text").mapInArrow(run, f"node {kind}, n bigint, low array<bigint>, odd array<bigint>")
+
+
+def short_parities(odd: str) -> Column:
+    """The same of fewer of the low bits, PARITIES // FOLDS in all."""
+    step = PARITIES // 64 // FOLDS
+    return F.array(*[reduce(Column.bitwiseXOR, [F.col(odd)[i + step * j] for j in range(FOLDS)]) for i in range(step)])
+
+
+def unlike(a: str, b: str, folds: int = 1) -> Column:
+    """In how many parities two sets differ: at most the number of values that only one of them has."""
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(PARITIES // 64 // folds)), F.lit(0))
+
+
+def may_reach(n: Column, m: Column, differ: Column, percent: int) -> Column:
+    """Whether sets of n and m values of which at least `differ` are in one only can reach the similarity."""
+    return (100 + percent) * (n + m - differ) >= 2 * percent * (n + m)
 
-    return rows.select("node", "text").mapInArrow(run, f"node {rows.schema['node'].dataType.simpleString()}, n bigint, v bigint, at bigint")
+
+def allowed(pairs: DataFrame, rare: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their parities allow, and those of which a side is not among the rare."""
+    both = pairs.join(rare.select(F.col("node").alias("a"), "n", "odd"), "a", "left")
+    both = both.join(rare.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("odd").alias("odd_")), "b", "left")
+    return both.where(F.coalesce(may_reach(F.col("n"), F.col("m"), unlike("odd", "odd_"), percent), F.lit(True))).select("a", "b")
+
+
+def still_mixed(rows: DataFrame) -> DataFrame:
+    """The rows (v, component) of lists whose members are not all in one component."""
+    mixed = rows.groupBy("v").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").select("v")
+    return rows.join(mixed, "v", "left_semi")
+
+
+def merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, component) after further links (a, b)."""
+    joined = links.join(label.toDF("a", "node"), "a").join(label.toDF("b", "other"), "b").select("node", "other").distinct()
+    joined = kept_table(joined.where("node <> other"))
+    upper = components(joined.select("node").union(joined.select("other")).distinct(), joined, []).toDF("component", "upper")
+    return kept_table(label.join(upper, "component", "left").select("node", F.coalesce("upper", "component").alias("component")))
 
 
 def needed(k: Column, percent: int) -> Column:
@@ -219,8 +263,7 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     label = kept_table(components(nodes, edges, []))
     # members of one list that are still apart
     open_ = post.select("v", "node", "n", "k", "len").join(label, "node")
-    mixed = open_.groupBy("v").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").select("v")
-    open_ = kept_table(open_.join(mixed, "v", "left_semi"))
+    open_ = kept_table(still_mixed(open_))
     crowded = kept_table(open_.where(F.col("len") > WHOLE).groupBy("node").agg(F.count("*").alias("crowded"), F.first("n").alias("n"), F.first("component").alias("component")))
     # step 2: short lists; values of long lists may all be shared too
     row = F.struct("node", "n", "k", "component")
@@ -234,23 +277,35 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     pair = pair.where(F.col("shared") + more >= needed(F.col("k"), percent)).select("a", "b")
     # step 3: long lists, by rare values
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(bounded(crowded.select("node")), "node", "left_semi")
-    rare = kept_table(rare_values(texts, size, percent).join(bounded(crowded.select("node", "component")), "node"))
-    apart = rare.groupBy("v").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").select("v")
-    rare = rare.join(apart, "v", "left_semi")
-    other = rare.select("v", F.col("node").alias("other"), F.col("n").alias("m"), F.col("at").alias("place"), F.col("component").alias("c"))
+    rare = kept_table(rare_values(texts, size, percent))
+    listed = rare.join(bounded(crowded.select("node", "component")), "node").select("node", "n", "component", F.posexplode("low").alias("at", "v"))
+    listed = kept_table(still_mixed(listed).drop("component"))
+    odd = rare.select("node", "odd")
     # at the first value that a similar pair shares, what follows in both holds the whole overlap
-    room = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("place"))
-    met = rare.join(other, "v").where((F.col("node") < F.col("other")) & (F.col("component") != F.col("c")) & ((100 + percent) * room >= percent * (F.col("n") + F.col("m"))))
+    room = (100 + percent) * F.least(F.col("n") - F.col("at"), F.col("m") - F.col("place")) >= percent * (F.col("n") + F.col("m"))
+    for turn in range(TURNS):
+        now = still_mixed(listed.join(label, "node"))
+        chosen = F.struct(F.xxhash64("node", F.lit(turn)), F.col("node").alias("other"), F.col("n").alias("m"), F.col("at").alias("place"), F.col("component").alias("c"))
+        near_ = now.join(now.groupBy("v").agg(F.min(chosen).alias("chosen")), "v").select("node", "n", "at", "component", "chosen.*")
+        near_ = near_.where((F.col("component") != F.col("c")) & room).select("node", "other", "n", "m").distinct()
+        near_ = near_.join(odd, "node").join(odd.toDF("other", "odd_"), "other").withColumn("differ", unlike("odd", "odd_"))
+        near_ = near_.where(may_reach(F.col("n"), F.col("m"), F.col("differ"), percent)).groupBy("node").agg(F.min(F.struct("differ", "other")).alias("best"))
+        found = verified(kept_table(near_.select(F.col("best.other").alias("a"), F.col("node").alias("b"))), docs, size, percent)
+        if found.isEmpty():
+            break
+        label = merged(label, found)
+    listed = kept_table(still_mixed(listed.join(label, "node")).join(rare.select("node", short_parities("odd").alias("odd")), "node"))
+    other = listed.select("v", F.col("node").alias("other"), F.col("n").alias("m"), F.col("at").alias("place"), F.col("component").alias("c"), F.col("odd").alias("odd_"))
+    met = listed.join(other, "v").where((F.col("node") < F.col("other")) & (F.col("component") != F.col("c")) & room & may_reach(F.col("n"), F.col("m"), unlike("odd", "odd_", FOLDS), percent))
     met = met.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+    # those of short lists may have been joined meanwhile; parities are known of members of long lists
+    pair = pair.join(label.toDF("a", "ca"), "a").join(label.toDF("b", "cb"), "b").where("ca <> cb").select("a", "b")
+    pair = allowed(pair, rare, percent)
+    met = allowed(met, rare, percent)
     low = classes.join(crowded.select("node"), "node", "left_semi").select("node", F.col("sketch"))
     met = met.join(low.toDF("a", "la"), "a").join(low.toDF("b", "lb"), "b")
     met = met.where(F.size(F.array_intersect("la", "lb")) >= needed(F.least(F.size("la"), F.size("lb")), percent)).select("a", "b")
-    more_links = verified(kept_table(pair.union(met).distinct()), docs, size, percent)
-    # components of components
-    joined = more_links.join(label.toDF("a", "node"), "a").join(label.toDF("b", "other"), "b").select("node", "other").distinct()
-    joined = kept_table(joined.where("node <> other"))
-    upper = components(joined.select("node").union(joined.select("other")).distinct(), joined, []).toDF("component", "upper")
-    label = kept_table(label.join(upper, "component", "left").select("node", F.coalesce("upper", "component").alias("component")))
+    label = merged(label, verified(kept_table(pair.union(met).distinct()), docs, size, percent))
     # only labels that differ from the node are asked for; a hot class is salted
     moved = label.where("component <> node").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     out = member.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(moved, ["node", "salt"], "left")

@@ -69,3 +69,31 @@ def test_repeated_and_null_ids(spark):
     got = near.similar_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 85).collect()
     assert len(got) == 6
     assert {r.component_id for r in got if r.doc_id in (2, 5, 9)} == {2}
+
+
+def test_parities_never_pass_the_difference():
+    rng = np.random.default_rng(7)
+    for n in (1, 3, 50, 400, 6000):
+        a = np.unique(rng.integers(-2**63, 2**63 - 1, n, dtype=np.int64))
+        b = np.unique(np.concatenate([a[n // 9:], rng.integers(-2**63, 2**63 - 1, n // 7, dtype=np.int64)]))
+        differ = sum(int(x).bit_count() for x in (near.parities(a) ^ near.parities(b)).view(np.uint64))
+        assert differ <= len(np.setxor1d(a, b)) and len(near.parities(a)) * 64 == near.PARITIES
+    assert not near.parities(a[:0]).any()
+
+
+def test_group_below_the_threshold_makes_no_pairs(spark, monkeypatch):
+    """Forty texts of one rare passage and two frequent lines each: every two are just below the threshold."""
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(100_000)}"
+    passage, lines = " ".join(word() for _ in range(150)), [" ".join(word() for _ in range(9)) for _ in range(80)]
+    rows = [(i, f"{lines[2 * i]} {passage} {lines[2 * i + 1]}") for i in range(40)]
+    rows += [(100 + i, " ".join(rng.sample(lines, len(lines)))) for i in range(100)]
+    asked, whole = [], near.verified
+
+    def counted(pairs, *rest):
+        asked.append(pairs.count())
+        return whole(pairs, *rest)
+    monkeypatch.setattr(near, "verified", counted)
+    got = near.similar_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 3, 85)
+    assert sum(asked) < 2 * len(rows)

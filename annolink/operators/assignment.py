@@ -11,6 +11,7 @@ def least_cost(lefts, rights, costs):
     Among equal totals the answer that gives the first left row the smallest right row wins,
     then the second, and so on: the potentials leave the edges that any optimal answer can use,
     and among these each left row in turn takes the smallest right row that the rest can spare.
+    Where rows near in order share their right rows, a sweep over the rows finds the same answer in linear time.
     """
     ls, rs = sorted(set(lefts)), sorted(set(rights))
     n = len(ls)
@@ -20,6 +21,8 @@ def least_cost(lefts, rights, costs):
     cost = [{} for _ in range(n)]
     for l, r, c in zip(lefts, rights, costs):
         cost[li[l]][ri[r]] = int(c)
+    if (swept := _sweep(cost)) is not None:
+        return [(ls[i], rs[j], cost[i][j]) for i, j in enumerate(swept)]
     u, v = [min(row.values()) for row in cost], [0] * n
     mate, owner = [-1] * n, [-1] * n
     for start in range(n):
@@ -69,6 +72,58 @@ def least_cost(lefts, rights, costs):
     return [(ls[i], rs[j], cost[i][j]) for i, j in enumerate(mate)]
 
 
+def _sweep(cost, wide=4096, states=1_000_000):
+    """Right row of each left row by the same rule, [] when no perfect matching exists, None where the sweep is too wide.
+
+    From the last left row to the first: for each set of the right rows in reach (those with rows on both sides) that
+    the later rows can take, what this costs at least. A right row leaves the sets at its first left row, taken.
+    """
+    n = len(cost)
+    first, last = {}, {}
+    for i, row in enumerate(cost):
+        for j in row:
+            first.setdefault(j, i)
+            last[j] = i
+    begin, end = [[] for _ in range(n)], [[] for _ in range(n)]
+    for j in first:
+        begin[first[j]].append(j)
+        end[last[j]].append(j)
+    bit, spare, used = {}, [], 0
+    for i in range(n):
+        for j in begin[i]:
+            if not spare:
+                spare.append(1 << used)
+                used += 1
+            bit[j] = spare.pop()
+        spare += [bit[j] for j in end[i]]
+    after, now, seen = [None] * n, {0: 0}, 0
+    leave = [sum(bit[j] for j in b) for b in begin]
+    for i in range(n - 1, -1, -1):
+        after[i], must, before = now, leave[i], {}
+        for j, c in cost[i].items():
+            one = bit[j]
+            for taken, least in now.items():
+                if not taken & one and (taken | one) & must == must:
+                    key = (taken | one) ^ must
+                    if key not in before or least + c < before[key]:
+                        before[key] = least + c
+        now = before
+        seen += len(now)
+        if not now:
+            return []
+        if len(now) > wide or seen > states:
+            return None
+    taken, out = 0, []
+    for i in range(n):
+        have, least = taken | leave[i], now[taken]
+        for j in sorted(cost[i]):
+            if have & bit[j] and (rest := after[i].get(have ^ bit[j])) is not None and rest + cost[i][j] == least:
+                break
+        out.append(j)
+        taken, now = have ^ bit[j], after[i]
+    return out
+
+
 def _swap(first, goal, fixed, tight, users, mate, owner):
     """(row, new column) for rows after `fixed`, from `first` to the column `goal`; None where there is no way.
 

@@ -514,20 +514,22 @@ def optimal_match(edges: DataFrame, block, left: str, right: str, cost: str, sma
     left and right are bigint ids. Among equal totals the answer that gives the first left row the smallest right row
     wins, then the second, and so on, whatever the size of the block.
 
-    Blocks of up to `small` edges are solved inside one task, by exact potentials without rounds. Larger ones run as an auction over the edge table: every
-    free left row bids for its best right row, prices rise, and with integer costs scaled by the block size the result
-    is optimal. The prices then show which edges can be part of any optimal answer; what these edges connect is solved
-    for itself, with the tie rule. Such a group of more than `ties` edges raises instead of being gathered.
+    Blocks of up to `small` edges are solved inside one task, without rounds. Larger ones run as an auction over the edge
+    table: every free left row bids for its best right row, prices rise, and with integer costs scaled by the block size the
+    result is optimal. The prices then show which edges can be part of any optimal answer; what these edges connect is
+    solved for itself, with the tie rule. Such a group of more than `ties` edges raises instead of being gathered.
     """
     block = list(block)
-    e = edges.groupBy(*block, left, right).agg(F.min(F.col(cost).cast("bigint")).alias("cost"))
-    sizes = e.groupBy(*block).agg(F.count(F.lit(1)).alias("__edges"))
-    nl = e.select(*block, left).distinct().groupBy(*block).agg(F.count(F.lit(1)).alias("__nl"))
-    nr = e.select(*block, right).distinct().groupBy(*block).agg(F.count(F.lit(1)).alias("__nr"))
-    sizes = sizes.join(nl, block).join(nr, block).where(F.col("__nl") == F.col("__nr"))
-    e = settle(e.join(sizes, block))
-    small_part = _solved(e.where(F.col("__edges") <= small), block, block, left, right)
-    big = e.where(F.col("__edges") > small)
+    e = reduce(DataFrame.where, [F.col(c).isNotNull() for c in block], edges)
+    e = settle(e.groupBy(*block, left, right).agg(F.min(F.col(cost).cast("bigint")).alias("cost")))
+    many = settle(e.groupBy(*block).agg(F.count(F.lit(1)).alias("__edges")).where(F.col("__edges") > small))
+    if many.isEmpty():
+        return _solved(e, block, block, left, right)
+    small_part = _solved(e.join(many, block, "left_anti"), block, block, left, right)
+    big = e.join(many, block)
+    nl = big.select(*block, left).distinct().groupBy(*block).agg(F.count(F.lit(1)).alias("__nl"))
+    nr = big.select(*block, right).distinct().groupBy(*block).agg(F.count(F.lit(1)).alias("__nr"))
+    big = settle(big.join(nl.join(nr, block).where(F.col("__nl") == F.col("__nr")), block))
     if big.isEmpty():
         return small_part
     close = settle(_auction(big, block, left, right))
